@@ -1,0 +1,351 @@
+"""Text classifiers on Spark ML, scoring and evaluation.
+
+Fitted models hold one number per term, so the number of terms is counted
+before any of them reaches the driver. Up to ``MAX_TERMS`` the vocabulary is
+exact; beyond it terms are hashed into ``HASHED_TERMS`` slots with the same
+weighting, and no term is dropped. Scoring is a narrow map.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (
+    LinearSVC,
+    LinearSVCModel,
+    LogisticRegression,
+    MultilayerPerceptronClassifier,
+)
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    HashingTF,
+    NGram,
+    Normalizer,
+    RegexTokenizer,
+    SQLTransformer,
+    StopWordsRemover,
+    VectorAssembler,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from reviewfold.functions.labels import CLASS_NAME, case_map
+from reviewfold.functions.text import WORD_PATTERN, to_class
+from reviewfold.operators.aggregates import run_summary
+from reviewfold.operators.skew import skew_join
+from reviewfold.operators.split import holdout_borders, in_test, union_runs
+from reviewfold.operators.terms import document_frequency, kept_terms
+from reviewfold.sources.tables import append_table
+from reviewfold.storage import materialize
+
+MAX_TERMS = 1 << 18
+HASHED_TERMS = 1 << 20
+# A word-vector table up to this many numbers is broadcast.
+BROADCAST_NUMBERS = 1 << 26
+
+
+def _term_stages(text: str, stop_words: Iterable[str]) -> list:
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=True),
+        StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop_words), caseSensitive=True),
+        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
+        NGram(n=3, inputCol="_kept", outputCol="_triples"),
+        SQLTransformer(statement="SELECT *, concat(_kept, _pairs, _triples) AS _terms FROM __THIS__"),
+    ]
+
+
+def fit_tfidf(
+    train: DataFrame,
+    text: str,
+    stop_words: Iterable[str] = (),
+    min_df: int = 2,
+    max_df: float = 0.95,
+    max_terms: int = MAX_TERMS,
+) -> PipelineModel:
+    """TF-IDF of 1- to 3-grams as sparse vectors in ``features``.
+
+    Weight ``tf * (ln((1 + n) / (1 + df)) + 1)``, normalized to length 1.
+    """
+    split = PipelineModel(_term_stages(text, stop_words))
+    bags = split.transform(train).select("_terms")
+    n_texts = train.count()
+    kept = materialize(kept_terms(document_frequency(bags, F.col("_terms")), n_texts, min_df, max_df))
+    if 0 < kept.count() <= max_terms:
+        rows = sorted((r.term, r.df) for r in kept.select("term", "df").collect())
+        counter = CountVectorizerModel.from_vocabulary([r[0] for r in rows], inputCol="_terms", outputCol="_tf")
+        frequencies = np.array([r[1] for r in rows], dtype=float)
+    else:
+        counter = HashingTF(numFeatures=HASHED_TERMS, inputCol="_terms", outputCol="_tf")
+        fitted = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(bags))
+        frequencies = np.array(fitted.docFreq, dtype=float)
+    weights = np.log((1.0 + n_texts) / (1.0 + frequencies)) + 1.0
+    weights[(frequencies < min_df) | (frequencies > max_df * n_texts)] = 0.0
+    return PipelineModel(
+        [
+            *split.stages,
+            counter,
+            ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_weighted"),
+            Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
+        ]
+    )
+
+
+def fit_logistic(
+    train: DataFrame,
+    text: str,
+    label: str = "label",
+    C: float = 2.5,
+    stop_words: Iterable[str] = (),
+    penalize_intercept: bool = True,
+    max_iter: int = 100,
+    **tfidf,
+) -> PipelineModel:
+    """L2 logistic regression on TF-IDF.
+
+    ``C`` weighs the summed loss against half the squared norm, so the penalty
+    on the mean loss is ``1 / (C n)``. With ``penalize_intercept`` the intercept
+    is a constant feature and shrinks like any weight.
+    """
+    features = fit_tfidf(train, text, stop_words, **tfidf)
+    stages = list(features.stages)
+    inputs = ["features"]
+    if penalize_intercept:
+        stages.append(SQLTransformer(statement="SELECT *, 1.0D AS _one FROM __THIS__"))
+        inputs.append("_one")
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_x"))
+    ready = PipelineModel(stages).transform(train).select("_x", label)
+    estimator = LogisticRegression(
+        featuresCol="_x",
+        labelCol=label,
+        regParam=1.0 / (C * train.count()),
+        elasticNetParam=0.0,
+        standardization=False,
+        fitIntercept=not penalize_intercept,
+        maxIter=max_iter,
+        tol=1e-8,
+    )
+    return PipelineModel([*stages, estimator.fit(ready)])
+
+
+def score(df: DataFrame, model: PipelineModel, keep: Sequence[str]) -> DataFrame:
+    """Probability of the positive class, class number and class name per row."""
+    prob = vector_to_array("probability")[1]
+    scored = model.transform(df).select(*keep, prob.alias("prob")).withColumn("class", to_class(F.col("prob")))
+    return scored.withColumn("predicted", case_map(F.col("class"), CLASS_NAME))
+
+
+def _hash_uniform(index: np.ndarray, column: np.ndarray, seed: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) that depend only on (index, column, seed)."""
+    with np.errstate(over="ignore"):
+        z = index.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        z = z + column.astype(np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def rbf_features(df: DataFrame, features: str, out: str, gamma: float, n_features: int, seed: int) -> DataFrame:
+    """Random Fourier features of an RBF kernel (Rahimi and Recht, 2007).
+
+    The projection matrix is never stored: its entries are hashed from the term
+    index, so the step is a map with no broadcast, however many terms there are.
+    """
+    columns = np.arange(n_features, dtype=np.int64)
+    shift = 2.0 * math.pi * _hash_uniform(np.zeros(1, dtype=np.int64), columns, seed + 2)[0]
+
+    def project(indices: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at = np.asarray(indices, dtype=np.int64)
+        size = np.sqrt(-2.0 * np.log(_hash_uniform(at, columns, seed)))
+        normal = size * np.cos(2.0 * math.pi * _hash_uniform(at, columns, seed + 1))
+        angle = math.sqrt(2.0 * gamma) * (np.asarray(values, dtype=float) @ normal) + shift
+        return math.sqrt(2.0 / n_features) * np.cos(angle)
+
+    @F.pandas_udf("array<double>")
+    def fourier(indices: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([project(i, v) for i, v in zip(indices, values, strict=True)])
+
+    parts = F.unwrap_udt(F.col(features))
+    return df.withColumn(out, array_to_vector(fourier(parts["indices"], parts["values"])))
+
+
+@dataclass(frozen=True)
+class RbfSvm:
+    """Approximate RBF-kernel support vector machine."""
+
+    features: PipelineModel
+    svm: LinearSVCModel
+    gamma: float
+    n_features: int
+    seed: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        ready = self.features.transform(df)
+        return self.svm.transform(rbf_features(ready, "features", "_rbf", self.gamma, self.n_features, self.seed))
+
+
+def fit_rbf_svm(
+    train: DataFrame,
+    text: str,
+    label: str = "label",
+    C: float = 10.0,
+    gamma: float = 0.1,
+    n_features: int = 256,
+    seed: int = 1,
+    stop_words: Iterable[str] = (),
+    max_iter: int = 100,
+    **tfidf,
+) -> RbfSvm:
+    """Hinge loss on random Fourier features of TF-IDF; approximate by design."""
+    features = fit_tfidf(train, text, stop_words, **tfidf)
+    ready = rbf_features(features.transform(train), "features", "_rbf", gamma, n_features, seed).select("_rbf", label)
+    estimator = LinearSVC(
+        featuresCol="_rbf",
+        labelCol=label,
+        regParam=1.0 / (C * train.count()),
+        standardization=False,
+        maxIter=max_iter,
+    )
+    return RbfSvm(features, estimator.fit(ready), gamma, n_features, seed)
+
+
+def embedding_pool(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int) -> DataFrame:
+    """Mean and maximum of the word vectors of each text.
+
+    A word counts as often as it occurs; texts without any known word are left
+    out. The vectors are broadcast if their measured size allows it, and then
+    all words of a text meet in one task before the shuffle. Otherwise the
+    words are joined with a salt.
+    """
+    rows = vectors.count()
+    words = df.select(id_col, F.explode(tokens).alias("word")).groupBy(id_col, "word").agg(
+        F.count(F.lit(1)).cast("double").alias("_times")
+    )
+    if rows * dims <= BROADCAST_NUMBERS:
+        joined = words.join(F.broadcast(vectors), "word")
+    else:
+        joined = skew_join(words, vectors, "word", right_rows=rows)
+    vector = array_to_vector(F.col("vector").cast("array<double>"))
+    pooled = joined.groupBy(id_col).agg(
+        Summarizer.metrics("mean", "max").summary(vector, F.col("_times")).alias("_pool")
+    )
+    return pooled.select(
+        id_col,
+        vector_to_array("_pool.mean").alias("mean_vector"),
+        vector_to_array("_pool.max").alias("max_vector"),
+    )
+
+
+def fit_embedding_mlp(
+    pooled: DataFrame, dims: int, label: str = "label", hidden: int = 16, seed: int = 1, max_iter: int = 60
+) -> PipelineModel:
+    """Feed-forward classifier over pooled word vectors."""
+    ready = pooled_features(pooled)
+    mlp = MultilayerPerceptronClassifier(
+        featuresCol="features", labelCol=label, layers=[2 * dims, hidden, 2], blockSize=128, seed=seed, maxIter=max_iter
+    )
+    return PipelineModel([mlp.fit(ready)])
+
+
+def pooled_features(pooled: DataFrame) -> DataFrame:
+    return pooled.withColumn("features", array_to_vector(F.concat("mean_vector", "max_vector")))
+
+
+def binary_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, precision, recall and F1 in one pass; the positive class is 1.
+
+    An empty denominator gives precision or recall 0; F1 is then NULL when both
+    are 0.
+    """
+    truth, guess = F.col(label) == 1, F.col(pred) == 1
+    counts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col(label) == F.col(pred), 1)).alias("_right"),
+        F.count(F.when(truth & guess, 1)).alias("_tp"),
+        F.count(F.when(guess, 1)).alias("_guessed"),
+        F.count(F.when(truth, 1)).alias("_true"),
+    )
+
+    def ratio(over: str, under: str) -> Column:
+        return F.when(F.col(under) > 0, F.col(over) / F.col(under)).otherwise(F.lit(0.0))
+
+    rated = counts.select(
+        *by,
+        "n",
+        F.when(F.col("n") > 0, F.col("_right") / F.col("n")).alias("accuracy"),
+        ratio("_tp", "_guessed").alias("precision"),
+        ratio("_tp", "_true").alias("recall"),
+    )
+    return rated.withColumn("f1", f1_score("precision", "recall"))
+
+
+def f1_score(precision: str, recall: str) -> Column:
+    total = F.col(precision) + F.col(recall)
+    return F.when(total > 0, 2 * F.col(precision) * F.col(recall) / total)
+
+
+def repeated_holdout(
+    df: DataFrame,
+    id_col: str,
+    fit: Callable[[DataFrame], object],
+    runs: int,
+    label: str = "label",
+    test_size: float = 0.2,
+    seed: int = 22,
+    log_path: str | None = None,
+) -> DataFrame:
+    """Metrics of ``runs`` random holdouts, one row per run.
+
+    ``fit`` maps a training frame to anything with ``transform`` that yields
+    ``prediction``. The borders of all splits are found together. With
+    ``log_path`` each finished run is appended to a log.
+    """
+    parts = []
+    for run, border in enumerate(holdout_borders(df, id_col, test_size, [seed + r for r in range(runs)])):
+        is_test = in_test(id_col, border)
+        model = fit(df.filter(~is_test))
+        metrics = binary_metrics(model.transform(df.filter(is_test)), label, "prediction")
+        part = metrics.select(F.lit(run).alias("run"), "*")
+        if log_path:
+            append_table(part, log_path)
+        parts.append(part)
+    return union_runs(parts)
+
+
+def summarize_runs(runs: DataFrame, metrics: Sequence[str] = ("accuracy", "f1")) -> DataFrame:
+    return run_summary(runs, metrics)
+
+
+def token_attribution(df: DataFrame, model: PipelineModel, id_col: str) -> DataFrame:
+    """Weight of each term in the prediction of its text: the absolute gradient
+    of the predicted probability with respect to the term's count.
+
+    ``model`` is a fitted ``fit_logistic`` with an exact vocabulary; its weights,
+    at most one row per term, are broadcast.
+    """
+    stages = {type(stage).__name__: stage for stage in model.stages}
+    if "CountVectorizerModel" not in stages:
+        raise ValueError("hashed terms have no names to attribute to")
+    vocabulary = stages["CountVectorizerModel"].vocabulary
+    idf = stages["ElementwiseProduct"].getScalingVec().toArray()
+    weights = stages["LogisticRegressionModel"].coefficients.toArray()[: len(vocabulary)]
+    table = pd.DataFrame({"_at": np.arange(len(vocabulary)), "term": vocabulary, "_slope": np.abs(weights * idf)})
+    slopes = df.sparkSession.createDataFrame(table)
+    parts = F.unwrap_udt(F.col("_tf"))
+    p = vector_to_array("probability")[1]
+    found = model.transform(df).select(
+        id_col, (p * (1 - p)).alias("_steep"), F.explode(parts["indices"]).alias("_at")
+    )
+    return found.join(F.broadcast(slopes), F.col("_at").cast("bigint") == slopes["_at"]).select(
+        id_col, "term", (F.col("_steep") * F.col("_slope")).alias("attribution")
+    )
