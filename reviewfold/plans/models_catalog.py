@@ -1,0 +1,98 @@
+"""Queries that fit and apply classifiers. Fitted numbers have no SQL form, so
+these are checked by rows here and by value in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reviewfold.functions.labels import CLASS_NAME, case_map
+from reviewfold.operators import models
+from reviewfold.operators.split import holdout_split
+from reviewfold.plans.inputs import DIMS, SEED, STOP_WORDS, TEST_SIZE, Inputs
+from reviewfold.plans.registry import query, rounded
+from reviewfold.plans.storage_catalog import evaluated
+from reviewfold.sources.tables import load_model, save_model
+from reviewfold.storage import new_path
+
+
+def _split(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    return holdout_split(t.labelled.select("review_id", "clean", "label"), "review_id", TEST_SIZE, SEED)
+
+
+def _fit(train: DataFrame):
+    return models.fit_logistic(train, "clean", stop_words=STOP_WORDS)
+
+
+def _predictions(df: DataFrame) -> DataFrame:
+    return df.select("review_id", "label", "prediction", case_map(F.col("prediction"), CLASS_NAME).alias("predicted"))
+
+
+@query("logistic_predict")
+def logistic_predict(t: Inputs) -> DataFrame:
+    train, test = _split(t)
+    return rounded(models.score(test, _fit(train), ["review_id", "label"]), "prob")
+
+
+@query("rbf_svm_predict")
+def rbf_svm_predict(t: Inputs) -> DataFrame:
+    train, test = _split(t)
+    return _predictions(models.fit_rbf_svm(train, "clean", stop_words=STOP_WORDS).transform(test))
+
+
+@query("embedding_mlp")
+def embedding_mlp(t: Inputs) -> DataFrame:
+    pooled = models.embedding_pool(t.tokens, "review_id", F.col("tokens"), t.vectors(t.vocab()), DIMS)
+    known = pooled.join(t.labelled.select("review_id", "label"), "review_id")
+    train, test = holdout_split(known, "review_id", TEST_SIZE, SEED)
+    model = models.fit_embedding_mlp(train, DIMS)
+    return _predictions(model.transform(models.pooled_features(test)))
+
+
+@query("score_reviews")
+def score_reviews(t: Inputs) -> DataFrame:
+    """Fit on all labelled reviews and score every review."""
+    texts = t.predictions.select("review_id", F.lower(F.translate("review", ".,?!", "")).alias("clean"))
+    return rounded(models.score(texts.filter(F.col("clean").isNotNull()), _fit(t.labelled), ["review_id"]), "prob")
+
+
+@query("model_roundtrip")
+def model_roundtrip(t: Inputs) -> DataFrame:
+    train, test = _split(t)
+    path = new_path(t.spark, "model")
+    save_model(_fit(train), path)
+    return rounded(models.score(test, load_model(path), ["review_id", "label"]), "prob")
+
+
+_METRICS = (
+    "count(*) as n, round(avg(case when label = pred then 1.0 else 0.0 end), 6) as accuracy, "
+    "round(coalesce(sum(label * pred) / nullif(sum(pred), 0), 0.0)::double, 6) as precision, "
+    "round(coalesce(sum(label * pred) / nullif(sum(label), 0), 0.0)::double, 6) as recall"
+)
+
+
+@query("binary_metrics", f"select {_METRICS} from p_evaluated")
+def binary_metrics(t: Inputs) -> DataFrame:
+    out = models.binary_metrics(evaluated(t), "label", "pred").drop("f1")
+    return rounded(out, "accuracy", "precision", "recall")
+
+
+@query(
+    "f1_score",
+    "select lang, round((2 * sum(label * pred) / nullif(sum(label) + sum(pred), 0))::double, 6) as f1 "
+    "from p_evaluated group by lang",
+)
+def f1_score(t: Inputs) -> DataFrame:
+    return rounded(models.binary_metrics(evaluated(t), "label", "pred", ["lang"]).select("lang", "f1"), "f1")
+
+
+@query("repeated_holdout")
+def repeated_holdout(t: Inputs) -> DataFrame:
+    rows = t.labelled.select("review_id", "clean", "label")
+    return models.repeated_holdout(rows, "review_id", _fit, runs=2, log_path=new_path(t.spark, "runs"))
+
+
+@query("token_attribution")
+def token_attribution(t: Inputs) -> DataFrame:
+    train, test = _split(t)
+    return models.token_attribution(test, _fit(train), "review_id")
