@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _STEPS = 300
 _TINY = 1e-300
@@ -91,17 +92,17 @@ def _nullable(values: np.ndarray) -> pd.Series:
     return series.where(series.notna(), None).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_cdf_values(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_two_sided_values(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_ppf_values(p.to_numpy(float), df.to_numpy(float)))
 

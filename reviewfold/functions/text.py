@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,17 +85,26 @@ def drop_words(words: Column, stop_words: Iterable[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
+def bound(col: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once. A lambda that names an expression
+    would evaluate it again for every element it visits."""
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
 def word_ngrams(words: Column, low: int = 1, high: int = 3) -> Column:
     """All n-grams of ``low`` to ``high`` words in one bag."""
-    nothing = F.array().cast("array<string>")
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
-        return F.when(F.size(words) >= n, joined).otherwise(nothing)
+    def grams(list_: Column, n: int) -> Column:
+        def joined(word: Column, i: Column) -> Column:
+            return F.concat_ws(" ", word, *[F.get(list_, i + k) for k in range(1, n)])
+
+        starts = F.slice(list_, F.lit(1), F.greatest(F.size(list_) - (n - 1), F.lit(0)))
+        return F.transform(starts, joined)
+
+    def bags(list_: Column) -> Column:
+        return F.concat(*[list_ if n == 1 else grams(list_, n) for n in range(low, high + 1)])
 
-    bags = [words if n == 1 else grams(n) for n in range(low, high + 1)]
-    return F.concat(*bags)
+    return bound(words, bags)
 
 
 def pad_sequence(ids: Column, length: Column | int, side: str = "pre") -> Column:

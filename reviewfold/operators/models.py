@@ -340,12 +340,12 @@ def token_attribution(df: DataFrame, model: PipelineModel, id_col: str) -> DataF
     idf = stages["ElementwiseProduct"].getScalingVec().toArray()
     weights = stages["LogisticRegressionModel"].coefficients.toArray()[: len(vocabulary)]
     table = pd.DataFrame({"_at": np.arange(len(vocabulary)), "term": vocabulary, "_slope": np.abs(weights * idf)})
-    slopes = df.sparkSession.createDataFrame(table)
+    slopes = df.sparkSession.createDataFrame(table).withColumn("_at", F.col("_at").cast("int"))
     parts = F.unwrap_udt(F.col("_tf"))
     p = vector_to_array("probability")[1]
     found = model.transform(df).select(
         id_col, (p * (1 - p)).alias("_steep"), F.explode(parts["indices"]).alias("_at")
     )
-    return found.join(F.broadcast(slopes), F.col("_at").cast("bigint") == slopes["_at"]).select(
+    return found.join(F.broadcast(slopes), "_at").select(
         id_col, "term", (F.col("_steep") * F.col("_slope")).alias("attribution")
     )

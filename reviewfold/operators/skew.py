@@ -36,7 +36,7 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     if rows is not None:
         return rows <= BROADCAST_ROWS
     plan = df._jdf.queryExecution().optimizedPlan()
-    return _only_shrinks(plan) and int(plan.stats().sizeInBytes().toString()) <= limit
+    return _only_shrinks(plan) and int(str(plan.stats().sizeInBytes())) <= limit
 
 
 def skew_join(
