@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewfold.operators.skew import skew_join
+from reviewfold.operators.skew import DEFAULT_SALTS, skew_join
 
 
 def join_labels(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
@@ -26,17 +26,20 @@ def join_dimension(
     right_key: str,
     suffix: str = "_dim",
     null_safe: bool = False,
+    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Inner join of facts with a dimension whose key has another name.
 
     Columns of the dimension that clash with a fact column get ``suffix``. The
     key keeps its fact-side name. With ``null_safe`` a NULL key matches a NULL
     key; it is joined on a text form of the key so that it stays an equi-join.
+    ``salts=1`` is for facts already reduced to one row per key.
     """
     clash = (set(df.columns) - {left_key}) & (set(dim.columns) - {right_key})
     right = dim.withColumnsRenamed({c: f"{c}{suffix}" for c in clash})
     if not null_safe:
-        return skew_join(df, right.withColumnRenamed(right_key, left_key), left_key)
+        return skew_join(df, right.withColumnRenamed(right_key, left_key), left_key, salts=salts)
+
     # Two columns stand for one nullable key: "is NULL" and the value or a filler.
     def flagged(frame: DataFrame, key: str) -> DataFrame:
         text = F.coalesce(F.col(key).cast("string"), F.lit(""))

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from reviewfold.functions.labels import CLASS_NAME, case_map
 from reviewfold.functions.text import WORD_PATTERN, to_class
 from reviewfold.operators.aggregates import run_summary
+from reviewfold.operators.layout import spread
 from reviewfold.operators.skew import skew_join
 from reviewfold.operators.split import holdout_borders, in_test, union_runs
 from reviewfold.operators.terms import document_frequency, kept_terms
@@ -51,7 +52,7 @@ from reviewfold.storage import materialize
 MAX_TERMS = 1 << 18
 HASHED_TERMS = 1 << 20
 # A word-vector table up to this many numbers is broadcast.
-BROADCAST_NUMBERS = 1 << 26
+BROADCAST_NUMBERS = 1 << 25
 
 
 def _term_stages(text: str, stop_words: Iterable[str]) -> list:
@@ -77,7 +78,7 @@ def fit_tfidf(
     Weight ``tf * (ln((1 + n) / (1 + df)) + 1)``, normalized to length 1.
     """
     split = PipelineModel(_term_stages(text, stop_words))
-    bags = split.transform(train).select("_terms")
+    bags = split.transform(spread(train.select(text))).select("_terms")
     n_texts = train.count()
     kept = materialize(kept_terms(document_frequency(bags, F.col("_terms")), n_texts, min_df, max_df))
     if 0 < kept.count() <= max_terms:
@@ -100,6 +101,16 @@ def fit_tfidf(
     )
 
 
+def _training_table(df: DataFrame, features: str, label: str) -> DataFrame:
+    """Vectors and labels with their lineage cut.
+
+    A fit runs one job per iteration. Without the cut every task of every job
+    carries the plan, with a name for each slot of the vectors, and a lost
+    executor means splitting the texts again.
+    """
+    return materialize(df.select(F.col(features).alias(features, metadata={}), label))
+
+
 def fit_logistic(
     train: DataFrame,
     text: str,
@@ -123,7 +134,8 @@ def fit_logistic(
         stages.append(SQLTransformer(statement="SELECT *, 1.0D AS _one FROM __THIS__"))
         inputs.append("_one")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_x"))
-    ready = PipelineModel(stages).transform(train).select("_x", label)
+    stacked = PipelineModel(stages).transform(spread(train))
+    ready = _training_table(stacked, "_x", label)
     estimator = LogisticRegression(
         featuresCol="_x",
         labelCol=label,
@@ -132,7 +144,6 @@ def fit_logistic(
         standardization=False,
         fitIntercept=not penalize_intercept,
         maxIter=max_iter,
-        tol=1e-8,
     )
     return PipelineModel([*stages, estimator.fit(ready)])
 
@@ -140,7 +151,7 @@ def fit_logistic(
 def score(df: DataFrame, model: PipelineModel, keep: Sequence[str]) -> DataFrame:
     """Probability of the positive class, class number and class name per row."""
     prob = vector_to_array("probability")[1]
-    scored = model.transform(df).select(*keep, prob.alias("prob")).withColumn("class", to_class(F.col("prob")))
+    scored = model.transform(spread(df)).select(*keep, prob.alias("prob")).withColumn("class", to_class(F.col("prob")))
     return scored.withColumn("predicted", case_map(F.col("class"), CLASS_NAME))
 
 
@@ -208,7 +219,8 @@ def fit_rbf_svm(
 ) -> RbfSvm:
     """Hinge loss on random Fourier features of TF-IDF; approximate by design."""
     features = fit_tfidf(train, text, stop_words, **tfidf)
-    ready = rbf_features(features.transform(train), "features", "_rbf", gamma, n_features, seed).select("_rbf", label)
+    mapped = rbf_features(features.transform(spread(train)), "features", "_rbf", gamma, n_features, seed)
+    ready = _training_table(mapped, "_rbf", label)
     estimator = LinearSVC(
         featuresCol="_rbf",
         labelCol=label,
@@ -228,13 +240,12 @@ def embedding_pool(df: DataFrame, id_col: str, tokens: Column, vectors: DataFram
     words are joined with a salt.
     """
     rows = vectors.count()
-    words = df.select(id_col, F.explode(tokens).alias("word")).groupBy(id_col, "word").agg(
-        F.count(F.lit(1)).cast("double").alias("_times")
-    )
+    words = spread(df.select(id_col, tokens.alias("_tokens"))).select(id_col, F.explode("_tokens").alias("word"))
     if rows * dims <= BROADCAST_NUMBERS:
-        joined = words.join(F.broadcast(vectors), "word")
+        joined = words.withColumn("_times", F.lit(1.0)).join(F.broadcast(vectors), "word")
     else:
-        joined = skew_join(words, vectors, "word", right_rows=rows)
+        counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_times"))
+        joined = skew_join(counts, vectors, "word", right_rows=rows)
     vector = array_to_vector(F.col("vector").cast("array<double>"))
     pooled = joined.groupBy(id_col).agg(
         Summarizer.metrics("mean", "max").summary(vector, F.col("_times")).alias("_pool")
@@ -250,7 +261,7 @@ def fit_embedding_mlp(
     pooled: DataFrame, dims: int, label: str = "label", hidden: int = 16, seed: int = 1, max_iter: int = 60
 ) -> PipelineModel:
     """Feed-forward classifier over pooled word vectors."""
-    ready = pooled_features(pooled)
+    ready = _training_table(pooled_features(pooled), "features", label)
     mlp = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol=label, layers=[2 * dims, hidden, 2], blockSize=128, seed=seed, maxIter=max_iter
     )

@@ -54,13 +54,17 @@ def skew_join(
     every right row is repeated once per salt, so a hot key is spread over
     ``salts`` tasks. Both inputs of the join are then plain shuffles on
     ``(key, salt)``, which lets adaptive execution split what is still large,
-    such as many identical rows. The result is the same for any salt.
+    such as many identical rows. The result is the same for any salt. With
+    ``salts=1``, for a left side already reduced to one row per key, the join is
+    left to the optimizer.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep or drop left rows can be salted")
     if fits_broadcast(right, right_rows):
         return left.join(F.broadcast(right), keys, how)
+    if salts == 1:
+        return left.join(right, keys, how)
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from reviewfold.functions.text import md5_uniform, pad_sequence
 from reviewfold.operators.joins import lookup_vectors
+from reviewfold.operators.layout import spread
 from reviewfold.operators.ordering import ranked
 from reviewfold.operators.skew import skew_join
 
 _HEX_GROUPS = 4
+# Most frequent words that are broadcast, a few megabytes whatever the corpus.
+HEAD_WORDS = 100_000
 # The word that stands for every unknown word.
 OOV_WORD = "Out_Of_Vocab_Token"
 
 
 def build_vocab(df: DataFrame, tokens: Column) -> DataFrame:
     """Words by falling frequency with ids from 1; ties go by the word itself."""
-    words = df.select(F.explode(tokens).alias("word"))
+    words = spread(df.select(tokens.alias("_tokens"))).select(F.explode("_tokens").alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return ranked(counts, [F.col("n").desc(), F.col("word").asc()], "token_id")
 
@@ -36,15 +39,26 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: Column, vocab: DataFrame,
     """Id sequence of each text; a word outside the vocabulary gets the OOV id,
     one more than the number of words.
 
-    Only (id, position, word) is shuffled, never the text. Frequent words are
-    spread by the salt of the join. A text without words gives an empty list.
+    The ``HEAD_WORDS`` most frequent words are broadcast and cover most tokens,
+    hot ones included; only the others are shuffled to the rest of the
+    vocabulary. What is shuffled is (id, position, word), never the text. The
+    ids of a text are gathered where it was split before they are exchanged. A
+    text without words gives an empty list.
     """
     size = vocab.count()
-    words = df.select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
-    ids = skew_join(words, vocab.select("word", "token_id"), "word", "left", right_rows=size)
+    known = vocab.select("word", "token_id")
+    words = spread(df.select(id_col, tokens.alias("_tokens"))).select(id_col, F.posexplode_outer("_tokens").alias("_pos", "word"))
+    if size <= HEAD_WORDS:
+        ids = words.join(F.broadcast(known), "word", "left")
+    else:
+        head = F.broadcast(known.filter(F.col("token_id") <= HEAD_WORDS))
+        tail = known.filter(F.col("token_id") > HEAD_WORDS)
+        frequent = words.join(head, "word")
+        others = words.join(head, "word", "left_anti")
+        ids = frequent.unionByName(skew_join(others, tail, "word", "left", right_rows=size))
     entry = F.struct("_pos", F.coalesce("token_id", F.lit(size + 1)).cast("bigint").alias("_id"))
     lists = ids.groupBy(id_col).agg(F.collect_list(F.when(F.col("_pos").isNotNull(), entry)).alias("_entries"))
-    return lists.select(id_col, F.col("_entries"), F.array_sort("_entries")["_id"].alias(out)).drop("_entries")
+    return lists.select(id_col, F.array_sort("_entries")["_id"].alias(out))
 
 
 def longest(df: DataFrame, col: str) -> int:

@@ -135,7 +135,7 @@ def crosstab_owner_cost(t: Inputs) -> DataFrame:
 def entity_rate(t: Inputs) -> DataFrame:
     rates = A.entity_rate(t.reviews, "location_id", "predicted")
     located = joins.join_dimension(
-        rates, t.owned.select("location_id", "segment", "owner", "cost"), "location_id", "location_id"
+        rates, t.owned.select("location_id", "segment", "owner", "cost"), "location_id", "location_id", salts=1
     )
     return rounded(located, "prob")
 

@@ -103,13 +103,13 @@ class Inputs:
     def located_counts(self) -> DataFrame:
         """One row per location: review counts first, then the attributes."""
         counts = label_counts(self.reviews, "location_id", label="predicted")
-        return join_dimension(counts, self.owned, "location_id", "location_id")
+        return join_dimension(counts, self.owned, "location_id", "location_id", salts=1)
 
     @property
     def label_totals(self) -> DataFrame:
         """One row per location and label with the number of reviews."""
         counts = count_by(self.reviews, "location_id", "predicted", out="n_reviews")
-        return join_dimension(counts, self.owned, "location_id", "location_id")
+        return join_dimension(counts, self.owned, "location_id", "location_id", salts=1)
 
     @property
     def rates(self) -> DataFrame:

@@ -27,6 +27,7 @@ def local_session(cpus: str = "8") -> SparkSession:
         .appName("reviewfold")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
