@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -11,10 +14,28 @@ def spread(df: DataFrame) -> DataFrame:
     Splitting texts costs far more than reading them, and a small table often
     sits in one row group that one task would have to work through. An input
     with a full scan partition for every core is returned as it is, so nothing
-    large is ever shuffled here.
+    large is ever shuffled here, and so is one that was dealt out before.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     conf = spark._jsparkSession.sessionState().conf()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size >= cores * conf.filesMaxPartitionBytes() else df.repartition(cores)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    full = int(str(plan.stats().sizeInBytes())) >= cores * conf.filesMaxPartitionBytes()
+    return df if full or _dealt_out(plan) else df.repartition(cores)
+
+
+def _dealt_out(plan) -> bool:
+    """True when only narrow steps lie above an earlier repartition."""
+    while plan.nodeName() in ("Project", "Filter", "Generate"):
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("Repartition")
+
+
+def one_per_element(df: DataFrame, keep: Sequence[str], elements: Column, out: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form with a filter above it: for a plain explode the optimizer
+    adds a test that the array has elements and pushes it to the scan, so the
+    array would be built twice.
+    """
+    return df.select(*keep, F.explode_outer(elements).alias(out)).filter(F.col(out).isNotNull())

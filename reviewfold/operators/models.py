@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from reviewfold.functions.labels import CLASS_NAME, case_map
 from reviewfold.functions.text import WORD_PATTERN, to_class
 from reviewfold.operators.aggregates import run_summary
-from reviewfold.operators.layout import spread
+from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.skew import skew_join
 from reviewfold.operators.split import holdout_borders, in_test, union_runs
 from reviewfold.operators.terms import document_frequency, kept_terms
@@ -240,7 +240,7 @@ def embedding_pool(df: DataFrame, id_col: str, tokens: Column, vectors: DataFram
     words are joined with a salt.
     """
     rows = vectors.count()
-    words = spread(df.select(id_col, tokens.alias("_tokens"))).select(id_col, F.explode("_tokens").alias("word"))
+    words = one_per_element(spread(df), [id_col], tokens, "word")
     if rows * dims <= BROADCAST_NUMBERS:
         joined = words.withColumn("_times", F.lit(1.0)).join(F.broadcast(vectors), "word")
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewfold.functions.text import drop_words, word_ngrams, word_tokens
-from reviewfold.operators.layout import spread
+from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.skew import skew_join
 
 DEFAULT_MIN_DF = 2
@@ -28,7 +28,7 @@ def terms_of(text: Column, stop_words: Iterable[str] = (), low: int = 1, high: i
 def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
     """Number of texts each term occurs in. A term is made distinct inside its
     row, so no shuffle is needed before the count."""
-    each = spread(df).select(F.explode(F.array_distinct(terms)).alias("term"))
+    each = one_per_element(spread(df), [], F.array_distinct(terms), "term")
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -54,9 +54,8 @@ class TermWeights:
     def transform(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
         """L2-normalized weights of every kept term, one row per (text, term)."""
         bag = terms_of(F.col(text), self.stop_words, self.low, self.high)
-        counts = spread(df.select(id_col, text)).select(id_col, F.explode(bag).alias("term")).groupBy(id_col, "term").agg(
-            F.count(F.lit(1)).alias("tf")
-        )
+        each = one_per_element(spread(df.select(id_col, text)), [id_col], bag, "term")
+        counts = each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
         raw = skew_join(counts, self.idf.select("term", "idf"), "term").withColumn("_raw", F.col("tf") * F.col("idf"))
         # The window holds the distinct terms of one text, which one row held before.
         length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewfold.functions.text import md5_uniform, pad_sequence
 from reviewfold.operators.joins import lookup_vectors
-from reviewfold.operators.layout import spread
+from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.ordering import ranked
 from reviewfold.operators.skew import skew_join
 
@@ -20,7 +20,7 @@ OOV_WORD = "Out_Of_Vocab_Token"
 
 def build_vocab(df: DataFrame, tokens: Column) -> DataFrame:
     """Words by falling frequency with ids from 1; ties go by the word itself."""
-    words = spread(df.select(tokens.alias("_tokens"))).select(F.explode("_tokens").alias("word"))
+    words = one_per_element(spread(df), [], tokens, "word")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return ranked(counts, [F.col("n").desc(), F.col("word").asc()], "token_id")
 
@@ -47,7 +47,7 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: Column, vocab: DataFrame,
     """
     size = vocab.count()
     known = vocab.select("word", "token_id")
-    words = spread(df.select(id_col, tokens.alias("_tokens"))).select(id_col, F.posexplode_outer("_tokens").alias("_pos", "word"))
+    words = spread(df).select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
     if size <= HEAD_WORDS:
         ids = words.join(F.broadcast(known), "word", "left")
     else:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from reviewfold.functions.text import SEQUENCE_FILTERS, clean_text, sequence_tokens
 from reviewfold.operators.aggregates import count_by, label_counts, rate_column
 from reviewfold.operators.joins import join_dimension
+from reviewfold.operators.layout import spread
 from reviewfold.operators.projections import fill_from_group
 from reviewfold.operators.rules import Rule
 from reviewfold.operators.split import holdout_split
@@ -156,7 +157,7 @@ class Inputs:
     @property
     def tokens(self) -> DataFrame:
         """Reviews as token sequences."""
-        return self.predictions.select(
+        return spread(self.predictions.select("review_id", "review")).select(
             "review_id", sequence_tokens(F.lower(clean_text(F.col("review")))).alias("tokens")
         )
 

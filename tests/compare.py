@@ -51,39 +51,35 @@ def _plain(value):
     return value
 
 
-def _key(row):
-    return tuple((v is not None, str(type(v)), v) if not isinstance(v, (int, float)) else (True, "", v) for v in row)
-
-
 def normalize(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     names = [columns[i] for i in order]
     return names, sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-def differences(spark, con, query, sql, sf_dir, limit=5):
-    """Empty list when both results are equal, else a few differing rows."""
-    df = query(spark, sf_dir)
-    spark_names, spark_rows = normalize(df.columns, [tuple(r) for r in df.collect()])
-    relation = con.sql(sql)
-    duck_names, duck_rows = normalize(relation.columns, relation.fetchall())
-    if spark_names != duck_names:
-        return [("columns", spark_names, duck_names)]
-    if len(spark_rows) != len(duck_rows):
-        return [("rows", len(spark_rows), len(duck_rows), spark_rows[:2], duck_rows[:2])]
-    return [(a, b) for a, b in zip(spark_rows, duck_rows, strict=True) if a != b][:limit]
+_SAME_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "float": "FLOAT",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 
 
-def schema_differences(spark, con, query, sql, sf_dir):
-    """Pairs of column types that do not correspond."""
-    same = {
-        "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
-        "float": "FLOAT",
-    }
+def differences(spark, con, query, sql, sf_dir, limit=5):
+    """Empty list when both results have equal columns, types and rows."""
     df = query(spark, sf_dir)
     relation = con.sql(sql)
     duck_types = dict(zip(relation.columns, map(str, relation.types), strict=True))
-    return [(n, t, duck_types.get(n)) for n, t in df.dtypes if same.get(t) != duck_types.get(n)]
+    if sorted(df.columns) != sorted(duck_types):
+        return [("columns", sorted(df.columns), sorted(duck_types))]
+    found = [("type", n, t, duck_types[n]) for n, t in df.dtypes if _SAME_TYPES.get(t) != duck_types[n]]
+    _, spark_rows = normalize(df.columns, [tuple(r) for r in df.collect()])
+    _, duck_rows = normalize(relation.columns, relation.fetchall())
+    if len(spark_rows) != len(duck_rows):
+        return [*found, ("rows", len(spark_rows), len(duck_rows), spark_rows[:2], duck_rows[:2])]
+    return found + [(a, b) for a, b in zip(spark_rows, duck_rows, strict=True) if a != b][:limit]
 
 
 if __name__ == "__main__":
@@ -103,7 +99,6 @@ if __name__ == "__main__":
         try:
             if name in oracles:
                 diff = differences(spark, con, query, oracles[name], sf_dir)
-                diff += [("type", d) for d in schema_differences(spark, con, query, oracles[name], sf_dir)] if not name.startswith("csv") else []
                 state = "ok" if not diff else "DIFF"
             else:
                 diff = query(spark, sf_dir).collect()[:2]

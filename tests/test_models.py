@@ -1,0 +1,138 @@
+"""Classifiers on a separable set, metrics, persistence and attribution."""
+
+import random
+
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from reviewfold.operators import models
+from reviewfold.sources.tables import load_model, read_table, save_model
+from reviewfold.storage import new_path
+
+
+@pytest.fixture(scope="module")
+def reviews(spark):
+    """Good and bad reviews that share filler words."""
+    rng = random.Random(11)
+    good, bad, filler = ["great", "fast", "clean", "love"], ["broken", "slow", "dirty", "hate"], ["the", "station", "was", "plug", "car"]
+    rows = []
+    for i in range(160):
+        label = float(i % 2)
+        words = rng.choices(good if label else bad, k=2) + rng.choices(filler, k=4)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), label))
+    return spark.createDataFrame(rows, "id bigint, text string, label double")
+
+
+@pytest.fixture(scope="module")
+def logistic(reviews):
+    return models.fit_logistic(reviews.filter("id < 120"), "text", max_iter=40)
+
+
+def accuracy(df):
+    return models.binary_metrics(df, "label", "prediction").first().accuracy
+
+
+def test_logistic_separates(reviews, logistic):
+    assert accuracy(logistic.transform(reviews.filter("id >= 120"))) > 0.95
+
+
+def test_logistic_minimizes_the_stated_loss(reviews, logistic):
+    """The gradient of the mean loss plus the penalty, the constant included,
+    is zero at the fitted weights."""
+    train = logistic.transform(reviews.filter("id < 120")).select("_x", "label", vector_to_array("probability")[1].alias("p")).collect()
+    weights = logistic.stages[-1].coefficients.toArray()
+    gradient = weights / (2.5 * len(train))
+    for row in train:
+        gradient = gradient + row._x.toArray() * (row.p - row.label) / len(train)
+    assert abs(gradient).max() < 1e-4
+
+
+def test_hashed_terms(reviews):
+    model = models.fit_logistic(reviews.filter("id < 120"), "text", max_iter=20, max_terms=10)
+    assert any(type(s).__name__ == "HashingTF" for s in model.stages)
+    assert accuracy(model.transform(reviews.filter("id >= 120"))) > 0.95
+    with pytest.raises(ValueError):
+        models.token_attribution(reviews, model, "id")
+
+
+def test_svm_separates(reviews):
+    model = models.fit_rbf_svm(reviews.filter("id < 120"), "text", gamma=0.5, n_features=128, max_iter=40)
+    assert accuracy(model.transform(reviews.filter("id >= 120"))) > 0.85
+
+
+def test_random_features_approach_the_kernel(spark):
+    from pyspark.ml.linalg import Vectors
+
+    points = [(0, Vectors.sparse(9, [1, 4], [0.6, 0.8])), (1, Vectors.sparse(9, [1, 7], [0.6, 0.8])), (2, Vectors.sparse(9, [], []))]
+    df = spark.createDataFrame(points, ["id", "f"])
+    z = {r.id: r.z.toArray() for r in models.rbf_features(df, "f", "z", 0.7, 4096, 1).collect()}
+    for a, b, squared in ((0, 1, 1.28), (0, 2, 1.0), (0, 0, 0.0)):
+        import math
+
+        assert float(z[a] @ z[b]) == pytest.approx(math.exp(-0.7 * squared), abs=0.05)
+
+
+def test_embedding_mlp(spark, reviews):
+    rng = random.Random(3)
+    shift = {w: 1.0 for w in ("great", "fast", "clean", "love")} | {w: -1.0 for w in ("broken", "slow", "dirty", "hate")}
+    words = [*shift, "the", "station", "was", "plug", "car"]
+    vectors = spark.createDataFrame([(w, [shift.get(w, 0.0) + rng.gauss(0, 0.1), rng.gauss(0, 1)]) for w in words], "word string, vector array<double>")
+    pooled = models.embedding_pool(reviews, "id", F.split("text", " "), vectors, 2).join(reviews.select("id", "label"), "id")
+    model = models.fit_embedding_mlp(pooled.filter("id < 120"), 2, hidden=4, max_iter=40)
+    assert accuracy(model.transform(models.pooled_features(pooled.filter("id >= 120")))) > 0.95
+
+
+def test_score_and_persistence(spark, reviews, logistic):
+    path = new_path(spark, "model-test")
+    save_model(logistic, path)
+    a = models.score(reviews, logistic, ["id"]).orderBy("id").collect()
+    b = models.score(reviews, load_model(path), ["id"]).orderBy("id").collect()
+    assert a == b
+    assert {r.predicted for r in a} == {"POSITIVE", "NEGATIVE"}
+    assert all((r.prob > 0.5) == (r["class"] == 1.0) for r in a)
+
+
+def test_attribution_is_the_gradient(reviews, logistic):
+    """Against a numeric derivative of the model in one term's weight."""
+    import numpy as np
+
+    rows = models.token_attribution(reviews.filter("id = 121"), logistic, "id").collect()
+    text = reviews.filter("id = 121").first().text
+    present = set(text.split())
+    assert {r.term for r in rows if " " not in r.term} <= present and rows
+    stages = {type(s).__name__: s for s in logistic.stages}
+    p = models.score(reviews.filter("id = 121"), logistic, ["id"]).first().prob
+    counter, scale, fitted = (stages[n] for n in ("CountVectorizerModel", "ElementwiseProduct", "LogisticRegressionModel"))
+    for r in rows:
+        at = counter.vocabulary.index(r.term)
+        slope = fitted.coefficients[at] * scale.getScalingVec()[at]
+        z = np.log(p / (1 - p))
+        numeric = (1 / (1 + np.exp(-(z + 1e-6 * slope))) - p) / 1e-6
+        assert r.attribution == pytest.approx(abs(numeric), rel=1e-3, abs=1e-9)
+
+
+@pytest.mark.parametrize(
+    ("rows", "expected"),
+    [
+        ([(1, 1), (1, 0), (0, 1), (0, 0)], (0.5, 0.5, 0.5, 0.5)),
+        ([(1, 0), (0, 0)], (0.5, 0.0, 0.0, None)),
+        ([(0, 1)], (0.0, 0.0, 0.0, None)),
+        ([(1, 1)], (1.0, 1.0, 1.0, 1.0)),
+    ],
+)
+def test_metrics(spark, rows, expected):
+    row = models.binary_metrics(spark.createDataFrame(rows, "label int, prediction int"), "label", "prediction").first()
+    assert (row.accuracy, row.precision, row.recall, row.f1) == expected
+
+
+def test_repeated_holdout(spark, reviews):
+    log = new_path(spark, "holdout-test")
+    runs = models.repeated_holdout(reviews, "id", lambda train: models.fit_logistic(train, "text", max_iter=10), 2, log_path=log)
+    rows = runs.collect()
+    assert [r.run for r in rows] == [0, 1] and all(r.n == 32 for r in rows)
+    logged = read_table(spark, log, "run int, n bigint, accuracy double, precision double, recall double, f1 double", header=False)
+    assert sorted(map(tuple, logged.collect())) == sorted(map(tuple, rows))
+    summary = models.summarize_runs(runs).collect()
+    assert [r.metric for r in summary] == ["accuracy", "f1"]
