@@ -120,9 +120,7 @@ def pad_sequence(ids: Column, length: Column | int, side: str = "pre") -> Column
     return F.concat(F.slice(wide, F.lit(1), goal), zeros)
 
 
-def md5_uniform(key: Column, digit: int = 0) -> Column:
-    """Uniform number in [0, 1) from eight hex digits of ``md5(key)``.
-
-    ``digit`` selects one of the four groups of eight digits.
-    """
-    return F.conv(F.substring(F.md5(key), 1 + 8 * digit, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def hex_uniform(digest: Column, group: int = 0) -> Column:
+    """Uniform number in [0, 1) from one of the four groups of eight hex digits
+    of an MD5 digest."""
+    return F.conv(F.substring(digest, 1 + 8 * group, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)

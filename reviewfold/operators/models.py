@@ -65,6 +65,15 @@ def _term_stages(text: str, stop_words: Iterable[str]) -> list:
     ]
 
 
+def _counter(terms: DataFrame) -> CountVectorizerModel:
+    """Count vectors over the given terms. They were counted to be few; they go
+    from the executors to the JVM driver without a detour through Python."""
+    encoder = terms.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING()
+    words = getattr(terms._jdf, "as")(encoder).collect()
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
+    return model.setInputCol("_terms").setOutputCol("_tf")
+
+
 def fit_tfidf(
     train: DataFrame,
     text: str,
@@ -82,9 +91,9 @@ def fit_tfidf(
     n_texts = train.count()
     kept = materialize(kept_terms(document_frequency(bags, F.col("_terms")), n_texts, min_df, max_df))
     if 0 < kept.count() <= max_terms:
-        rows = sorted((r.term, r.df) for r in kept.select("term", "df").collect())
-        counter = CountVectorizerModel.from_vocabulary([r[0] for r in rows], inputCol="_terms", outputCol="_tf")
-        frequencies = np.array([r[1] for r in rows], dtype=float)
+        ordered = kept.orderBy("term")
+        counter = _counter(ordered.select("term"))
+        frequencies = ordered.select("df").toPandas()["df"].to_numpy(float)
     else:
         counter = HashingTF(numFeatures=HASHED_TERMS, inputCol="_terms", outputCol="_tf")
         fitted = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(bags))
@@ -347,16 +356,17 @@ def token_attribution(df: DataFrame, model: PipelineModel, id_col: str) -> DataF
     stages = {type(stage).__name__: stage for stage in model.stages}
     if "CountVectorizerModel" not in stages:
         raise ValueError("hashed terms have no names to attribute to")
-    vocabulary = stages["CountVectorizerModel"].vocabulary
     idf = stages["ElementwiseProduct"].getScalingVec().toArray()
-    weights = stages["LogisticRegressionModel"].coefficients.toArray()[: len(vocabulary)]
-    table = pd.DataFrame({"_at": np.arange(len(vocabulary)), "term": vocabulary, "_slope": np.abs(weights * idf)})
+    weights = stages["LogisticRegressionModel"].coefficients.toArray()[: len(idf)]
+    table = pd.DataFrame({"_at": np.arange(len(idf)), "_slope": np.abs(weights * idf)})
     slopes = df.sparkSession.createDataFrame(table).withColumn("_at", F.col("_at").cast("int"))
-    parts = F.unwrap_udt(F.col("_tf"))
     p = vector_to_array("probability")[1]
-    found = model.transform(df).select(
-        id_col, (p * (1 - p)).alias("_steep"), F.explode(parts["indices"]).alias("_at")
-    )
+    scored = model.transform(spread(df)).select(id_col, (p * (1 - p)).alias("_steep"), "_terms")
+    single = one_per_element(scored, [id_col, "_steep"], F.array_distinct("_terms"), "term")
+    # A bag of one term tells the slot of that term, or none if it was pruned.
+    placed = stages["CountVectorizerModel"].transform(single.withColumn("_terms", F.array("term")))
+    slot = F.get(F.unwrap_udt(F.col("_tf"))["indices"], F.lit(0))
+    found = placed.select(id_col, "term", "_steep", slot.alias("_at"))
     return found.join(F.broadcast(slopes), "_at").select(
         id_col, "term", (F.col("_steep") * F.col("_slope")).alias("attribution")
     )

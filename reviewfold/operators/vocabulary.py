@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewfold.functions.text import md5_uniform, pad_sequence
+from reviewfold.functions.text import hex_uniform, pad_sequence
 from reviewfold.operators.joins import lookup_vectors
 from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.ordering import ranked
@@ -76,16 +76,12 @@ def random_vector(word: Column, dims: int, seed: int, low: float = -0.25, high:
     One digest gives four components.
     """
     blocks = F.sequence(F.lit(0), F.lit((dims - 1) // _HEX_GROUPS))
-    quads = F.transform(
-        blocks,
-        lambda b: F.array(
-            *[
-                md5_uniform(F.concat(word, F.lit(f":{seed}:"), b.cast("string")), digit) * (high - low) + low
-                for digit in range(_HEX_GROUPS)
-            ]
-        ),
-    )
-    return F.slice(F.flatten(quads), 1, dims)
+    digests = F.transform(blocks, lambda b: F.md5(F.concat(word, F.lit(f":{seed}:"), b.cast("string"))))
+
+    def quad(digest: Column) -> Column:
+        return F.array(*[hex_uniform(digest, group) * (high - low) + low for group in range(_HEX_GROUPS)])
+
+    return F.slice(F.flatten(F.transform(digests, quad)), 1, dims)
 
 
 def embedding_table(vocab: DataFrame, vectors: DataFrame, dims: int, seed: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewfold.functions import text as T
 from reviewfold.operators import joins, split, terms, vocabulary
+from reviewfold.operators.layout import spread
 from reviewfold.operators.models import embedding_pool as pool
 from reviewfold.plans.inputs import DIMS, SEED, STOP_WORDS, TEST_SIZE, Inputs
 from reviewfold.plans.registry import query, rounded, text_of
@@ -140,13 +141,16 @@ def vector_missing_count(t: Inputs) -> DataFrame:
 def embedding_table(t: Inputs) -> DataFrame:
     vocab = t.vocab()
     table = vocabulary.embedding_table(vocabulary.with_oov(vocab), t.vectors(vocab), DIMS)
-    summed = table.select(
-        "token_id",
-        "word",
-        "in_vectors",
-        F.aggregate("vector", F.lit(0.0), lambda a, v: a + v).alias("total"),
-        F.get("vector", F.lit(0)).alias("first_value"),
-        F.get("vector", F.lit(DIMS - 1)).alias("last_value"),
+    figures = T.bound(
+        F.col("vector"),
+        lambda v: F.struct(
+            F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"),
+            F.get(v, F.lit(0)).alias("first_value"),
+            F.get(v, F.lit(DIMS - 1)).alias("last_value"),
+        ),
+    )
+    summed = table.select("token_id", "word", "in_vectors", figures.alias("_f")).select(
+        "token_id", "word", "in_vectors", "_f.total", "_f.first_value", "_f.last_value"
     )
     return rounded(summed, "total", "first_value", "last_value")
 
@@ -169,7 +173,7 @@ def stop_words(t: Inputs) -> DataFrame:
 
 @query("ngrams", "select review_id, md5(array_to_string(terms, '|')) as digest, len(terms) as n_terms from p_terms")
 def ngrams(t: Inputs) -> DataFrame:
-    bags = t.predictions.select("review_id", terms.terms_of(F.col("review"), STOP_WORDS).alias("terms"))
+    bags = spread(t.predictions).select("review_id", terms.terms_of(F.col("review"), STOP_WORDS).alias("terms"))
     return bags.select(
         "review_id", F.md5(text_of("terms", "|")).alias("digest"), F.size("terms").cast("bigint").alias("n_terms")
     )
