@@ -51,6 +51,8 @@ from reviewfold.storage import materialize
 
 MAX_TERMS = 1 << 18
 HASHED_TERMS = 1 << 20
+# A fit with fewer rows than this per partition merges partitions.
+ROWS_PER_TASK = 10_000
 # A word-vector table up to this many numbers is broadcast.
 BROADCAST_NUMBERS = 1 << 25
 
@@ -115,9 +117,11 @@ def _training_table(df: DataFrame, features: str, label: str) -> DataFrame:
 
     A fit runs one job per iteration. Without the cut every task of every job
     carries the plan, with a name for each slot of the vectors, and a lost
-    executor means splitting the texts again.
+    executor means splitting the texts again. Few rows go into few partitions,
+    since an iteration over a small one is mostly scheduling.
     """
-    return materialize(df.select(F.col(features).alias(features, metadata={}), label))
+    table = materialize(df.select(F.col(features).alias(features, metadata={}), label))
+    return table.coalesce(max(1, table.count() // ROWS_PER_TASK))
 
 
 def fit_logistic(
