@@ -12,6 +12,7 @@ from reviewfold.llm.content_sort import content_groups
 from reviewfold.llm.packing import pack
 from reviewfold.llm.shards import shard_documents
 from reviewfold.llm.token_counts import token_counts
+from reviewfold.llm.word_table import encode_round_trip
 
 N_SHARDS = 8
 
@@ -43,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), limit=2048)
 
 
+def op6_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_round_trip(_documents(spark, sf_dir))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -53,7 +58,7 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op4_content_sort, op5_token_counts, op7_best_fit, op9_jump_shards)
+    named = (op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards)
     return {f.__name__: f for f in named}
 
 
