@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewfold.llm.common import read_table
+from reviewfold.llm.common import crc_mod, read_table
 from reviewfold.llm.content_sort import content_groups
+from reviewfold.llm.ngram_model import score_texts
 from reviewfold.llm.packing import pack
 from reviewfold.llm.shards import shard_documents
 from reviewfold.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def op2_bloom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir), train=crc_mod("doc", 5) != 1)
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(_documents(spark, sf_dir)).drop("points")
 
@@ -58,7 +63,7 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards)
+    named = (op2_bloom_model, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards)
     return {f.__name__: f for f in named}
 
 
