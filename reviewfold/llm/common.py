@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.Re
 
 def lengths(values: pa.Array) -> np.ndarray:
     """Byte length of each value of a string or binary array."""
-    return pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    return pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
 
 
 def split_sums(lengths_: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def token_counts(
                 numbers, counts, _, _ = encoder.encode(pieces)
                 n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
                 n_tokens = split_sums(n_pieces, counts[numbers] if len(numbers) else np.zeros(0, np.int64))
-                n_bytes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
+                n_bytes = pc.binary_length(batch.column(1)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), n_bytes, pa.array(n_tokens, pa.int64()), pa.array(n_tokens > limit)],
                     names=["doc", "n_bytes", "n_tokens", "over_limit"],
