@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewfold.llm.common import crc_mod, read_table
 from reviewfold.llm.content_sort import content_groups
+from reviewfold.llm.near_dup import near_duplicates
 from reviewfold.llm.ngram_model import score_texts
 from reviewfold.llm.packing import pack
 from reviewfold.llm.shards import shard_documents
@@ -62,10 +63,40 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.col("grown_shard"))
 
 
+def op10_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), width=4, threshold=80)
+
+
+OP10_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+  from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), reach as (
+  select doc_id, doc_id as other from documents
+  union select r.doc_id, l.b from reach r join links l on l.a = r.other
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.other) as component_id, d.doc_id = min(r.other) as kept
+from documents d join reach r on r.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id
+group by d.doc_id, s.n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_bloom_model, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards)
+    named = (op2_bloom_model, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards, op10_hamming_join)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_content_sort": OP4_SQL}
+    return {"op4_content_sort": OP4_SQL, "op10_hamming_join": OP10_SQL}
