@@ -13,6 +13,7 @@ from reviewfold.llm.near_dup import near_duplicates
 from reviewfold.llm.ngram_model import score_texts
 from reviewfold.llm.packing import pack
 from reviewfold.llm.shards import shard_documents
+from reviewfold.llm.spans import drop_repeated_spans
 from reviewfold.llm.token_counts import token_counts
 from reviewfold.llm.word_table import encode_round_trip
 
@@ -27,6 +28,10 @@ def op2_bloom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_documents(spark, sf_dir), train=crc_mod("doc", 5) != 1)
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(_documents(spark, sf_dir))
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(_documents(spark, sf_dir)).drop("points")
 
@@ -94,7 +99,7 @@ group by d.doc_id, s.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_bloom_model, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards, op10_hamming_join)
+    named = (op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards, op10_hamming_join)
     return {f.__name__: f for f in named}
 
 
