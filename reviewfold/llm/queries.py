@@ -15,6 +15,7 @@ from reviewfold.llm.packing import pack
 from reviewfold.llm.shards import shard_documents
 from reviewfold.llm.spans import drop_repeated_spans
 from reviewfold.llm.token_counts import token_counts
+from reviewfold.llm.toxicity import fit_toxicity
 from reviewfold.llm.word_table import encode_round_trip
 
 N_SHARDS = 8
@@ -63,6 +64,14 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = fit_toxicity(docs, labels, train=crc_mod("doc", 5) != 0)
+    scored = model.score(docs)
+    return scored.withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_documents(_documents(spark, sf_dir), N_SHARDS)
     return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.col("grown_shard"))
@@ -99,7 +108,7 @@ group by d.doc_id, s.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op9_jump_shards, op10_hamming_join)
+    named = (op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join)
     return {f.__name__: f for f in named}
 
 
