@@ -149,3 +149,21 @@ def content_groups(
         F.col("digest").alias("text_sha256"),
         "points",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all
+    their columns. Of repeated rows with one id and text one stays."""
+    kept = content_groups(docs, id_col, text_col).filter("kept")
+    keys = kept.select(
+        F.col(f"`{id_col}`").alias("__id"), F.col("text_sha256").alias("__digest"), F.col("points").alias("__points")
+    )
+    body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = {"__own_digest": F.sha2(squeeze(body), 256), "__own_points": F.length(body).cast("long")}
+    same = (
+        F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+        & (F.col("__own_digest") == F.col("__digest"))
+        & (F.col("__own_points") == F.col("__points"))
+    )
+    found = docs.withColumns(own).join(keys, same, "left_semi")
+    return found.dropDuplicates([id_col, "__own_digest", "__own_points"]).drop(*own)

@@ -53,7 +53,7 @@ def op2_bloom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_spans(_documents(spark, sf_dir))
+    return drop_repeated_spans(_documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

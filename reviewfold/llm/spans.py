@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewfold.llm.common import slices, texts_of
 
@@ -146,47 +147,55 @@ def _repeats(spans: DataFrame) -> DataFrame:
 def drop_repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """One row per row of ``docs``: the id, ``text`` without the sentences under a
-    repeated run, ``n_sentences`` and ``n_removed``.
+    """All rows and columns of ``docs`` with the sentences under a repeated run
+    removed from the text, and ``n_sentences`` and ``n_removed`` behind them.
 
     The first place of a run is the one of the smallest id (NULL last), then the
-    earliest in its text; runs may repeat within a text. NULL is the empty
-    text. A text with fewer than ``min_words`` words has no run. Repeated rows
-    of one id and text count as one place, so none of them is emptied. An empty
-    table gives no rows.
+    earliest in its text; runs may repeat within a text. A NULL text stays NULL,
+    with no sentences. A text with fewer than ``min_words`` words has no run.
+    Repeated rows of one id and text count as one place, so none of them is
+    emptied. An empty table gives no rows.
     """
     if not 0 < min_words < 1 << _COUNT:
         raise ValueError(f"min_words must be between 1 and {(1 << _COUNT) - 1}")
-    base = texts_of(docs, id_col, text_col)
-    found = _repeats(_spans(base, min_words)).groupBy("doc").agg(F.collect_set("span").alias("spans"))
-    spans = found.withColumnRenamed("doc", "at")
-    joined = base.join(spans, F.col("doc").eqNullSafe(F.col("at")), "left")
+    repeats = _repeats(_spans(texts_of(docs, id_col, text_col), min_words))
+    # At most two runs for each sentence of one text.
+    found = repeats.groupBy("doc").agg(F.collect_set("span").alias("spans"))
+    place, at = docs.columns.index(text_col), docs.columns.index(id_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = F.encode(F.col(f"c{place}").cast("string"), "UTF-8")
+    joined = plain.withColumn(f"c{place}", body).join(found, F.col(f"c{at}").eqNullSafe(F.col("doc")), "left").drop("doc")
+    fields = [T.StructField(f.name, T.StringType() if i == place else f.dataType) for i, f in enumerate(docs.schema)]
+    schema = T.StructType([*fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                pieces = sentences(text)
-                gone = np.zeros(len(pieces) + 1, dtype=np.int64)
-                if mine:
-                    tag = _tag(text)
-                    for span in mine:
-                        if span & ((1 << _TAG) - 1) == tag:
-                            start = span >> (_COUNT + _TAG)
-                            gone[start] += 1
-                            gone[start + ((span >> _TAG) & ((1 << _COUNT) - 1))] -= 1
-                    covered = np.cumsum(gone)[:-1] > 0
-                    text = b"".join(p for p, c in zip(pieces, covered, strict=True) if not c)
-                    removed.append(int(covered.sum()))
-                else:
-                    removed.append(0)
-                texts.append(text.decode("utf-8"))
-                counts.append(len(pieces))
-            columns = [batch.column(0), pa.array(texts, pa.string())]
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(fields)).to_pylist(), strict=True):
+                kept, n, gone = _without(text, spans or [])
+                texts.append(kept)
+                counts.append(n)
+                removed.append(gone)
+            columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(fields))]
             columns += [pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text", "n_sentences", "n_removed"])
-
-    kind = base.schema["doc"].dataType.simpleString()
-    rows = joined.select("doc", F.encode("body", "UTF-8").alias("body"), "spans")
-    result = rows.mapInArrow(cut, f"doc {kind}, text string, n_sentences long, n_removed long")
-    return result.withColumnRenamed("doc", id_col)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return joined.mapInArrow(cut, schema)
+
+
+def _without(text: bytes | None, spans: list[int]) -> tuple[str | None, int, int]:
+    """The text without the sentences under the spans, its number of sentences
+    and how many went."""
+    if text is None:
+        return None, 0, 0
+    pieces = sentences(text)
+    edge = np.zeros(len(pieces) + 1, dtype=np.int64)
+    tag = _tag(text) if spans else 0
+    for span in spans:
+        if span & ((1 << _TAG) - 1) == tag:
+            start = span >> (_COUNT + _TAG)
+            edge[start] += 1
+            edge[start + ((span >> _TAG) & ((1 << _COUNT) - 1))] -= 1
+    gone = np.cumsum(edge)[:-1] > 0
+    kept = b"".join(p for p, g in zip(pieces, gone, strict=True) if not g) if gone.any() else text
+    return kept.decode("utf-8"), len(pieces), int(gone.sum())

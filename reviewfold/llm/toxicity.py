@@ -249,6 +249,23 @@ class ToxicityModel:
         rated = self.margins(docs, id_col, text_col).withColumn("score", score)
         return rated.select(F.col("doc").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
+    def without_toxic(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that are not predicted to be toxic, with all their
+        columns; a narrow map."""
+        weights, limit = self.weights.astype(np.float32), -self.offset / self.slope if self.slope > 0 else np.inf
+        place = docs.columns.index(text_col)
+        none = self.offset >= 0 and not self.slope > 0
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            margins = _Margins(weights)
+            for whole in batches:
+                for batch in slices(whole, place, BATCH_BYTES):
+                    texts = [t.encode("utf-8") if t else b"" for t in batch.column(place).to_pylist()]
+                    found, _ = margins.of(texts)
+                    yield batch.filter(pa.array(np.zeros(len(found), bool) if none else found < limit))
+
+        return docs.mapInArrow(clean, docs.schema)
+
 
 def _label_counts(texts: DataFrame) -> DataFrame:
     """``(part, unit, positive, negative)``: sentences of either label with a word,
