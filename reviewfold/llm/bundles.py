@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from reviewfold.llm.common import n_buckets, texts_of
 
 BUNDLE_BYTES = 24 << 20
-_FLUSH_BYTES = 48 << 20
+_FLUSH_BYTES = 32 << 20
 _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 

@@ -41,6 +41,9 @@ from reviewfold.llm.common import stored
 MIX = 0.15
 BITS_PER_ENTRY = 8
 PROBES = 5
+# Text of a bundle, and tokens whose bigrams are probed at once: what a worker holds.
+BUNDLE_BYTES = 10 << 20
+_AT_ONCE = 1 << 19
 # Bigrams a segment is planned for, and bytes of segments broadcast at once.
 SEGMENT_TOKENS = 8 << 20
 ROUND_BYTES = 192 << 20
@@ -250,7 +253,7 @@ def score_texts(
     estimate of an unseen one. Repeated rows count and are scored each on their
     own. An empty table gives no rows.
     """
-    bundles, n_bundles = text_bundles(docs, id_col, text_col, train=F.coalesce(train, F.lit(False)))
+    bundles, n_bundles = text_bundles(docs, id_col, text_col, BUNDLE_BYTES, train=F.coalesce(train, F.lit(False)))
     answers = stored(_word_counts(bundles, n_bundles), "word-counts")
     n_tokens, n_distinct = _totals(answers)
     segment_bits = max(1, math.ceil(math.log2(max(1, n_tokens) / SEGMENT_TOKENS + 1)))
@@ -274,7 +277,10 @@ def score_texts(
             known = context_count > 0
             mine = known & np.isin(pairs >> np.uint64(_HASH_BITS - segment_bits), np.array(chosen, np.uint64))
             p1 = 10.0 ** base[words.codes[mine]]
-            level = Filter(segment_bits, parts).counts(pairs[mine])
+            model, asked = Filter(segment_bits, parts), pairs[mine]
+            level = np.zeros(len(asked), dtype=np.int8)
+            for at in range(0, len(asked), _AT_ONCE):
+                level[at : at + _AT_ONCE] = model.counts(asked[at : at + _AT_ONCE])
             share = np.minimum(expected_count(level), context_count[mine]) / context_count[mine]
             gain = np.zeros(len(pairs))
             gain[mine] = np.log10((1.0 - mix) * p1 + mix * share) - base[words.codes[mine]]
