@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from reviewfold.functions.text import normalize_name, padded
@@ -37,9 +37,9 @@ class Rule:
 
 def rules_of(table: DataFrame) -> list[Rule]:
     """Rules of a rule table in priority order. The table is a parameter list a
-    person wrote, so it is read to the driver."""
+    person wrote, so it is read to the driver; a NULL list is an empty one."""
     rows = table.orderBy("category_idx", "rule_idx").collect()
-    return [Rule(r.category, r.category_idx, r.rule_idx, tuple(r.options), tuple(r.keywords)) for r in rows]
+    return [Rule(r.category, r.category_idx, r.rule_idx, tuple(r.options or ()), tuple(r.keywords or ())) for r in rows]
 
 
 def parse_options(rules: DataFrame, strict_prefix: bool = True) -> DataFrame:
@@ -69,15 +69,13 @@ def parse_options(rules: DataFrame, strict_prefix: bool = True) -> DataFrame:
     )
 
 
-def _option_lists(rule: Rule, strict_prefix: bool) -> tuple[str, list[str], list[str]]:
-    level, types = "", []
-    for option in rule.options:
-        if TYPE_OPTION in option:
-            loose = not strict_prefix and option.startswith(f"{TYPE_OPTION}s_")
-            types.append(option[len(TYPE_PREFIX) + loose :])
-        elif ACCESS_OPTION in option:
-            level = option[len(ACCESS_PREFIX) :]
-    return level, [t for t in types if not t.startswith("-")], [t[1:] for t in types if t.startswith("-")]
+def _parsed(spark: SparkSession, rules: Sequence[Rule], strict_prefix: bool) -> list[Row]:
+    """What ``parse_options`` makes of the rules, in their order."""
+    if not rules:
+        return []
+    listed = [(number, list(rule.options)) for number, rule in enumerate(rules)]
+    table = spark.createDataFrame(listed, "number int, options array<string>")
+    return sorted(parse_options(table, strict_prefix).collect(), key=lambda row: row.number)
 
 
 def type_predicate(types: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:
@@ -129,9 +127,9 @@ def keyword_hits(padded_name: Column, keywords: Sequence[str]) -> Column:
     return hits
 
 
-def _options_hold(rule: Rule, types: Column, access: Column, strict_prefix: bool) -> Column:
-    level, include, exclude = _option_lists(rule, strict_prefix)
-    return access_predicate(access, level) & type_predicate(types, include, exclude)
+def _options_hold(parsed: Row, types: Column, access: Column) -> Column:
+    wanted = type_predicate(types, parsed.include_types, parsed.exclude_types)
+    return access_predicate(access, parsed.access_level) & wanted
 
 
 def categorize(
@@ -148,13 +146,13 @@ def categorize(
     rule matches.
     """
     with_name = df.withColumn(_NAME, padded(normalize_name(F.col(name))))
+    parsed = _parsed(df.sparkSession, rules, strict_prefix)
     chain = None
     for number, rule in enumerate(rules):
         if all(k.startswith("-") for k in rule.keywords):
             continue  # no wanted word: the rule can never assign
-        matches = _options_hold(rule, F.col(types), F.col(access), strict_prefix) & keyword_predicate(
-            F.col(_NAME), rule.keywords
-        )
+        options = _options_hold(parsed[number], F.col(types), F.col(access))
+        matches = options & keyword_predicate(F.col(_NAME), rule.keywords)
         chain = F.when(matches, F.lit(number)) if chain is None else chain.when(matches, F.lit(number))
     numbered = with_name.withColumn("rule_no", F.lit(None).cast("int") if chain is None else chain)
     names = F.array(*[F.lit(rule.category) for rule in rules]) if rules else F.array().cast("array<string>")
@@ -185,10 +183,11 @@ def rule_counts(
     done = categorize(df, rules, name, access, types, strict_prefix).withColumn(
         _NAME, padded(normalize_name(F.col(name)))
     )
+    parsed = _parsed(df.sparkSession, rules, strict_prefix)
     open_to = lambda i: F.col("rule_no").isNull() | (F.col("rule_no") >= i)
     sums = []
     for i, rule in enumerate(rules):
-        eligible = open_to(i) & _options_hold(rule, F.col(types), F.col(access), strict_prefix)
+        eligible = open_to(i) & _options_hold(parsed[i], F.col(types), F.col(access))
         hits = F.when(eligible, keyword_hits(F.col(_NAME), rule.keywords)).otherwise(0)
         sums.append(F.count(F.when(F.col("rule_no") == i, 1)).alias(f"_assigned_{i}"))
         sums.append(F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias(f"_hits_{i}"))

@@ -161,3 +161,25 @@ def category_table(t: Inputs) -> DataFrame:
 @query("category_fallback", f"with {_MATCHED} select id, coalesce(category, poi) as category from p_categorized")
 def category_fallback(t: Inputs) -> DataFrame:
     return R.with_fallback(R.categorize(t.records, RULES), "poi").select("real.id", "category")
+
+
+@query(
+    "categorize_from_table",
+    """
+    with rules as (
+      select p_brand, lower(p_type) as wanted, list(distinct split_part(p_name, ' ', 1)) as keywords,
+        row_number() over (order by cast(substr(p_brand, 7) as int), p_type) - 1 as rule_no
+      from part group by p_brand, p_type
+    ), held as (
+      select id, rule_no, p_brand from p_records join rules on types[1] = wanted
+      where access_type = 'Public' and not coalesce(list_contains(types, 'promo'), false)
+        and len(list_filter(keywords, lambda k: contains(' ' || translate(lower(name), '/,', ' ') || ' ', ' ' || k || ' '))) > 0
+    ), first_rule as (select id, min(rule_no) as rule_no from held group by id)
+    select r.id, cast(f.rule_no as int) as rule_no, h.p_brand as category
+    from p_records r left join first_rule f using (id) left join held h on h.id = f.id and h.rule_no = f.rule_no
+    """,
+)
+def categorize_from_table(t: Inputs) -> DataFrame:
+    """From the rule file to the categories: load, parse, categorize."""
+    rules = R.rules_of(loaded_rules(t))
+    return R.categorize(t.records, rules).select("real.id", "rule_no", "category")
