@@ -189,12 +189,16 @@ def histogram(
 ) -> DataFrame:
     """Right-closed bins of equal width; the first one includes its low edge.
 
-    Every level of ``by`` gets every bin, empty ones included.
+    Every level of ``by`` gets every bin, empty ones included. A value outside
+    ``[low, high]`` is an error, so none is left out in silence.
     """
     bins = round((high - low) / width)
     steps = F.round((F.col(value) - F.lit(low)) / F.lit(width), 9)
     bin_no = F.greatest(F.lit(1), F.ceil(steps)).cast("int")
-    inside = df.filter((F.col(value) >= low) & (F.col(value) <= high) & F.col(by).isin(list(levels)))
+    outside = (F.col(value) < low) | (F.col(value) > high)
+    message = F.concat(F.lit("value outside the histogram: "), F.col(value).cast("string"))
+    bin_no = F.when(outside, F.raise_error(message).cast("int")).otherwise(bin_no)
+    inside = df.filter(F.col(value).isNotNull() & F.col(by).isin(list(levels)))
     counts = inside.groupBy(F.col(by), bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = df.sparkSession.createDataFrame([(level,) for level in levels], [by]).withColumn(
         "bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))

@@ -17,6 +17,7 @@ from reviewfold.functions.labels import TIER_DISPLAY
 from reviewfold.operators.aggregates import group_summary, label_counts, quantiles, rate_column
 from reviewfold.operators.ordering import running_totals
 from reviewfold.operators.projections import relabel_ordered
+from reviewfold.storage import materialize
 
 _EPSILON = 2.220446049250313e-16
 
@@ -125,23 +126,26 @@ def ks_two_sample(df: DataFrame, value: str, group: str, a: Any, b: Any) -> Data
     """Two-sample Kolmogorov-Smirnov distance and its asymptotic p-value.
 
     Rows become counts per distinct value first, and the running counts are
-    spread over range partitions of the value.
+    spread over range partitions of the value. Without a value in one of the
+    groups the distance and the p-value are NULL.
     """
     of = lambda g: F.count(F.when(F.col(group) == F.lit(g), 1))
     inside = df.filter(F.col(group).isin([a, b]) & F.col(value).isNotNull())
     counts = inside.groupBy(value).agg(of(a).alias("_a"), of(b).alias("_b"))
     running = running_totals(counts, [F.col(value)], {"_fa": "_a", "_fb": "_b"})
-    gap = F.abs(F.col("_fa") / F.col("_fa_all") - F.col("_fb") / F.col("_fb_all"))
-    result = running.agg(F.max(gap).alias("d"), F.max("_fa_all").alias("n_x"), F.max("_fb_all").alias("n_y"))
-    root = F.sqrt(F.col("n_x") * F.col("n_y") / (F.col("n_x") + F.col("n_y")))
+    share = lambda c: F.try_divide(F.col(c), F.col(f"{c}_all"))
+    gap = F.abs(share("_fa") - share("_fb"))
+    result = running.agg(F.max(gap).alias("d"), *[F.coalesce(F.max(c), F.lit(0)).alias(n) for c, n in (("_fa_all", "n_x"), ("_fb_all", "n_y"))])
+    root = F.sqrt(F.try_divide(F.col("n_x") * F.col("n_y"), F.col("n_x") + F.col("n_y")))
     return result.withColumn("p_value", kolmogorov_sf(F.col("d") * root))
 
 
 def tier_groups(df: DataFrame, group: str, value: str, probs: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
     """Group means with their quartile tier, strict on both sides."""
-    means = group_summary(df, group, value).withColumnRenamed("n", "count_locations")
-    cuts = {r.prob: r.value for r in quantiles(means, "mean", probs).collect()}
-    low, high = (F.lit(cuts[p]) for p in probs)
+    # One row a group, written down, so that the facts are read once.
+    means = materialize(group_summary(df, group, value).withColumnRenamed("n", "count_locations"))
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+    low, high = (quantiles(means, "mean", probs).agg(at(p)).scalar() for p in probs)
     tier = F.when(F.col("mean") < low, F.lit("Low")).when(F.col("mean") > high, F.lit("High")).otherwise(F.lit("Mid"))
     return means.withColumn("tier", tier)
 

@@ -46,6 +46,8 @@ def holdout_borders(df: DataFrame, id_col: str, test_size: float, seeds: Sequenc
     The test set has ``ceil(test_size * rows)`` rows. What reaches the driver is
     one line per seed.
     """
+    if not 0 < test_size < 1:
+        raise ValueError("test_size must lie between 0 and 1, both excluded")
     keyed = (
         df.select(id_col)
         .withColumn("_seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))

@@ -21,7 +21,7 @@ _REVIEW_SCHEMA = "review_id bigint, review string, lang string, predicted string
 def csv_roundtrip(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "csv")
     tables.write_table(t.predictions, path)
-    return tables.read_table(t.spark, path, _REVIEW_SCHEMA)
+    return tables.read_table(t.spark, path, _REVIEW_SCHEMA, multi_line=True)
 
 
 @query(
@@ -32,7 +32,7 @@ def csv_roundtrip(t: Inputs) -> DataFrame:
 def csv_latin1(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "latin1")
     tables.write_table(t.predictions, path, encoding="ISO-8859-1")
-    return tables.read_table(t.spark, path, _REVIEW_SCHEMA, encoding="ISO-8859-1")
+    return tables.read_table(t.spark, path, _REVIEW_SCHEMA, encoding="ISO-8859-1", multi_line=True)
 
 
 @query(

@@ -14,7 +14,7 @@ def test_csv_keeps_awkward_text(spark):
     for encoding in ("UTF-8", "ISO-8859-1"):
         path = new_path(spark, "csv-test")
         tables.write_table(df, path, encoding=encoding)
-        read = tables.read_table(spark, path, "id int, text string", encoding=encoding)
+        read = tables.read_table(spark, path, "id int, text string", encoding=encoding, multi_line=True)
         assert sorted(map(tuple, read.collect())) == [*rows, (4, None)]
 
 
@@ -59,3 +59,16 @@ def test_append_and_report(spark):
     report = new_path(spark, "report-test")
     tables.write_report(spark.createDataFrame([("b", 2), ("a", 1)], "line string, k int"), report, ["k"])
     assert [r.value for r in spark.read.text(report).collect()] == ["a", "b"]
+
+
+def test_one_line_per_row_is_split(spark):
+    """Without line breaks in fields a file can be read by several tasks."""
+    path = new_path(spark, "csv-split")
+    tables.write_table(spark.range(20_000).selectExpr("id", "concat('text \"', id, '\", ', id) as text").coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = tables.read_table(spark, path, "id bigint, text string")
+        assert read.rdd.getNumPartitions() > 1
+        assert read.filter("text = concat('text \"', id, '\", ', id)").count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

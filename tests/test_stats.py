@@ -139,3 +139,25 @@ def test_entity_rate_keeps_first_row(spark):
     out = {r.e: r for r in A.entity_rate(df, "e", "s", ["attr"], "k").collect()}
     assert (out["a"].prob, out["a"].attr, out["a"].n) == (0.5, "early", 2)
     assert out["b"].prob == 0.0
+
+
+@pytest.mark.parametrize("rows", [[("a", 1.0), ("a", 2.0)], [], [("a", None), ("b", 1.0)]])
+def test_ks_without_values_in_a_group(spark, rows):
+    df = spark.createDataFrame(rows, "g string, v double")
+    row = inference.ks_two_sample(df, "v", "g", "a", "b").first()
+    assert row.d is None and row.p_value is None and 0 in (row.n_x, row.n_y)
+
+
+def test_histogram_does_not_drop_values(spark):
+    df = spark.createDataFrame([("a", 0.2), ("a", 1.5), ("a", None)], "g string, v double")
+    assert sum(r.n for r in A.histogram(df.filter("v < 1"), "v", 0.25, 0.0, 1.0, "g", ["a"]).collect()) == 1
+    with pytest.raises(Exception, match="outside the histogram"):
+        A.histogram(df, "v", 0.25, 0.0, 1.0, "g", ["a"]).collect()
+
+
+@pytest.mark.parametrize("size", [0, 1, -0.1, 1.5])
+def test_holdout_needs_a_proper_share(spark, size):
+    from reviewfold.operators.split import holdout_split
+
+    with pytest.raises(ValueError, match="test_size"):
+        holdout_split(spark.range(10), "id", size)
