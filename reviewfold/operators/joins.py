@@ -15,8 +15,11 @@ from reviewfold.operators.skew import DEFAULT_SALTS, skew_join
 
 
 def join_labels(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
-    """Left outer join; a key that occurs twice among the labels doubles its rows."""
-    return skew_join(df, labels, on, "left")
+    """Left outer join; a key that occurs twice among the labels doubles its rows.
+
+    ``on`` identifies a row, so no key is hot and nothing is salted.
+    """
+    return skew_join(df, labels, on, "left", salts=1)
 
 
 def join_dimension(

@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Inputs up to this many bytes may be dealt out again, however many cores there are.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out evenly when the input is too small to fill all cores.
 
     Splitting texts costs far more than reading them, and a small table often
     sits in one row group that one task would have to work through. An input
-    with a full scan partition for every core is returned as it is, so nothing
-    large is ever shuffled here, and so is one that was dealt out before.
+    over ``SPREAD_BYTES``, or with a full scan partition for every core, is
+    returned as it is, and so is one that was dealt out before. The rows are the
+    same either way.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     conf = spark._jsparkSession.sessionState().conf()
     plan = df._jdf.queryExecution().optimizedPlan()
-    full = int(str(plan.stats().sizeInBytes())) >= cores * conf.filesMaxPartitionBytes()
+    full = int(str(plan.stats().sizeInBytes())) >= min(SPREAD_BYTES, cores * conf.filesMaxPartitionBytes())
     return df if full or _dealt_out(plan) else df.repartition(cores)
 
 

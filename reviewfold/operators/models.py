@@ -1,9 +1,9 @@
 """Text classifiers on Spark ML, scoring and evaluation.
 
-Fitted models hold one number per term, so the number of terms is counted
-before any of them reaches the driver. Up to ``MAX_TERMS`` the vocabulary is
-exact; beyond it terms are hashed into ``HASHED_TERMS`` slots with the same
-weighting, and no term is dropped. Scoring is a narrow map.
+Fitted models hold one number per kept term; the vocabulary is always exact. Its
+size follows the labelled texts a fit sees, so memory is bounded by the number
+of those: ``training_sample`` takes at most about so many, by a hash of the id.
+It is off unless asked for. Scoring is a narrow map.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizerModel,
     ElementwiseProduct,
-    HashingTF,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -36,7 +34,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewfold.functions.labels import CLASS_NAME, case_map
@@ -44,17 +42,20 @@ from reviewfold.functions.text import WORD_PATTERN, to_class
 from reviewfold.operators.aggregates import run_summary
 from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.skew import skew_join
-from reviewfold.operators.split import holdout_borders, in_test, union_runs
+from reviewfold.operators.split import holdout_borders, in_test
 from reviewfold.operators.terms import document_frequency, kept_terms
+from reviewfold.operators.vocabulary import random_vector
 from reviewfold.sources.tables import append_table
 from reviewfold.storage import materialize
 
-MAX_TERMS = 1 << 18
-HASHED_TERMS = 1 << 20
 # A fit with fewer rows than this per partition merges partitions.
 ROWS_PER_TASK = 10_000
-# A word-vector table up to this many numbers is broadcast.
-BROADCAST_NUMBERS = 1 << 25
+# Numbers of a block of random features that a batch holds at once.
+BLOCK_NUMBERS = 4_000_000
+
+
+_RBF_SCHEMA = "gamma double, n_features int, seed int"
+RUN_SCHEMA = "run int, n bigint, accuracy double, precision double, recall double, f1 double"
 
 
 def _term_stages(text: str, stop_words: Iterable[str]) -> list:
@@ -68,21 +69,31 @@ def _term_stages(text: str, stop_words: Iterable[str]) -> list:
 
 
 def _counter(terms: DataFrame) -> CountVectorizerModel:
-    """Count vectors over the given terms. They were counted to be few; they go
-    from the executors to the JVM driver without a detour through Python."""
+    """Count vectors over the given terms, which go from the executors to the JVM
+    driver without a detour through Python."""
     encoder = terms.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING()
     words = getattr(terms._jdf, "as")(encoder).collect()
     model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
     return model.setInputCol("_terms").setOutputCol("_tf")
 
 
+def training_sample(df: DataFrame, id_col: str, max_rows: int | None = None) -> DataFrame:
+    """At most about ``max_rows`` labelled rows to fit on, the same ones in every
+    run; all rows without a limit."""
+    if max_rows is None:
+        return df
+    share = max_rows / max(1, df.count())
+    if share >= 1:
+        return df
+    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def fit_tfidf(
     train: DataFrame,
     text: str,
     stop_words: Iterable[str] = (),
     min_df: int = 2,
     max_df: float = 0.95,
-    max_terms: int = MAX_TERMS,
 ) -> PipelineModel:
     """TF-IDF of 1- to 3-grams as sparse vectors in ``features``.
 
@@ -92,16 +103,12 @@ def fit_tfidf(
     bags = split.transform(spread(train.select(text))).select("_terms")
     n_texts = train.count()
     kept = materialize(kept_terms(document_frequency(bags, F.col("_terms")), n_texts, min_df, max_df))
-    if 0 < kept.count() <= max_terms:
-        ordered = kept.orderBy("term")
-        counter = _counter(ordered.select("term"))
-        frequencies = ordered.select("df").toPandas()["df"].to_numpy(float)
-    else:
-        counter = HashingTF(numFeatures=HASHED_TERMS, inputCol="_terms", outputCol="_tf")
-        fitted = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(bags))
-        frequencies = np.array(fitted.docFreq, dtype=float)
+    if not kept.limit(1).count():
+        raise ValueError("no term is left after pruning; nothing to fit on")
+    ordered = kept.orderBy("term")
+    counter = _counter(ordered.select("term"))
+    frequencies = ordered.select("df").toPandas()["df"].to_numpy(float)
     weights = np.log((1.0 + n_texts) / (1.0 + frequencies)) + 1.0
-    weights[(frequencies < min_df) | (frequencies > max_df * n_texts)] = 0.0
     return PipelineModel(
         [
             *split.stages,
@@ -188,16 +195,35 @@ def rbf_features(df: DataFrame, features: str, out: str, gamma: float, n_feature
     columns = np.arange(n_features, dtype=np.int64)
     shift = 2.0 * math.pi * _hash_uniform(np.zeros(1, dtype=np.int64), columns, seed + 2)[0]
 
-    def project(indices: np.ndarray, values: np.ndarray) -> np.ndarray:
-        at = np.asarray(indices, dtype=np.int64)
-        size = np.sqrt(-2.0 * np.log(_hash_uniform(at, columns, seed)))
-        normal = size * np.cos(2.0 * math.pi * _hash_uniform(at, columns, seed + 1))
-        angle = math.sqrt(2.0 * gamma) * (np.asarray(values, dtype=float) @ normal) + shift
-        return math.sqrt(2.0 / n_features) * np.cos(angle)
+    def project(at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Angles of several texts; each term's entries are drawn once, in blocks of columns."""
+        terms, place = np.unique(at, return_inverse=True)
+        angles = np.zeros((len(sizes), n_features))
+        full = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        step = max(1, BLOCK_NUMBERS // max(1, len(at)))
+        for first in range(0, n_features if len(at) else 0, step):
+            block = columns[first : first + step]
+            length = np.sqrt(-2.0 * np.log(_hash_uniform(terms, block, seed)))
+            normal = length * np.cos(2.0 * math.pi * _hash_uniform(terms, block, seed + 1))
+            angles[full, first : first + step] = np.add.reduceat(normal[place] * values[:, None], starts, axis=0)
+        return math.sqrt(2.0 / n_features) * np.cos(math.sqrt(2.0 * gamma) * angles + shift)
 
     @F.pandas_udf("array<double>")
     def fourier(indices: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([project(i, v) for i, v in zip(indices, values, strict=True)])
+        sizes = np.array([len(i) for i in indices], dtype=np.int64)
+        rows, ends = [], np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            # So many texts that their terms fill a few blocks at most.
+            base = ends[first] - sizes[first]
+            stop = max(first + 1, int(np.searchsorted(ends, base + BLOCK_NUMBERS // 8, "right")))
+            part = slice(first, stop)
+            at = np.concatenate([np.asarray(i, dtype=np.int64) for i in indices.iloc[part]])
+            x = np.concatenate([np.asarray(v, dtype=float) for v in values.iloc[part]])
+            rows.extend(project(at, x, sizes[part]))
+            first = stop
+        return pd.Series(rows, index=indices.index)
 
     parts = F.unwrap_udt(F.col(features))
     return df.withColumn(out, array_to_vector(fourier(parts["indices"], parts["values"])))
@@ -217,6 +243,18 @@ class RbfSvm:
         ready = self.features.transform(df)
         return self.svm.transform(rbf_features(ready, "features", "_rbf", self.gamma, self.n_features, self.seed))
 
+    def save(self, path: str) -> None:
+        """The stages, and in one row what the random features are drawn from."""
+        PipelineModel([*self.features.stages, self.svm]).write().overwrite().save(f"{path}/stages")
+        row = [(self.gamma, self.n_features, self.seed)]
+        SparkSession.active().createDataFrame(row, _RBF_SCHEMA).write.mode("overwrite").parquet(f"{path}/features")
+
+    @classmethod
+    def load(cls, path: str) -> RbfSvm:
+        stages = PipelineModel.load(f"{path}/stages").stages
+        row = SparkSession.active().read.schema(_RBF_SCHEMA).parquet(f"{path}/features").first()
+        return cls(PipelineModel(stages[:-1]), stages[-1], row.gamma, row.n_features, row.seed)
+
 
 def fit_rbf_svm(
     train: DataFrame,
@@ -244,29 +282,31 @@ def fit_rbf_svm(
     return RbfSvm(features, estimator.fit(ready), gamma, n_features, seed)
 
 
-def embedding_pool(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int) -> DataFrame:
+def embedding_pool(
+    df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int, seed: int = 1
+) -> DataFrame:
     """Mean and maximum of the word vectors of each text.
 
-    A word counts as often as it occurs; texts without any known word are left
-    out. The vectors are broadcast if their measured size allows it, and then
-    all words of a text meet in one task before the shuffle. Otherwise the
-    words are joined with a salt.
+    A word counts as often as it occurs. A word without a vector gets the one
+    drawn from the word itself, as in ``embedding_table``, so every text has a
+    result; a text without words has zeros. Each word of a text is looked up
+    once; the vectors are broadcast if their measured bytes are within the
+    session's limit, and else joined with a salt.
     """
-    rows = vectors.count()
     words = one_per_element(spread(df), [id_col], tokens, "word")
-    if rows * dims <= BROADCAST_NUMBERS:
-        joined = words.withColumn("_times", F.lit(1.0)).join(F.broadcast(vectors), "word")
-    else:
-        counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_times"))
-        joined = skew_join(counts, vectors, "word", right_rows=rows)
-    vector = array_to_vector(F.col("vector").cast("array<double>"))
-    pooled = joined.groupBy(id_col).agg(
-        Summarizer.metrics("mean", "max").summary(vector, F.col("_times")).alias("_pool")
-    )
-    return pooled.select(
+    counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_times"))
+    size = F.octet_length("word") + F.lit(8 * dims)
+    measured = vectors.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    joined = skew_join(counts, vectors, "word", "left", right_bytes=measured)
+    drawn = F.coalesce(F.col("vector").cast("array<double>"), random_vector(F.col("word"), dims, seed))
+    summary = Summarizer.metrics("mean", "max").summary(array_to_vector(drawn), F.col("_times"))
+    pooled = joined.groupBy(id_col).agg(summary.alias("_pool"))
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    full = df.select(id_col).join(pooled, id_col, "left")
+    return full.select(
         id_col,
-        vector_to_array("_pool.mean").alias("mean_vector"),
-        vector_to_array("_pool.max").alias("max_vector"),
+        F.when(F.col("_pool").isNull(), zeros).otherwise(vector_to_array("_pool.mean")).alias("mean_vector"),
+        F.when(F.col("_pool").isNull(), zeros).otherwise(vector_to_array("_pool.max")).alias("max_vector"),
     )
 
 
@@ -331,19 +371,20 @@ def repeated_holdout(
     """Metrics of ``runs`` random holdouts, one row per run.
 
     ``fit`` maps a training frame to anything with ``transform`` that yields
-    ``prediction``. The borders of all splits are found together. With
-    ``log_path`` each finished run is appended to a log.
+    ``prediction``. The borders of all splits are found together. The result has
+    a plan of constant size; without rows it is empty. With ``log_path`` each
+    finished run is appended to a log.
     """
-    parts = []
+    rows = []
     for run, border in enumerate(holdout_borders(df, id_col, test_size, [seed + r for r in range(runs)])):
         is_test = in_test(id_col, border)
         model = fit(df.filter(~is_test))
-        metrics = binary_metrics(model.transform(df.filter(is_test)), label, "prediction")
-        part = metrics.select(F.lit(run).alias("run"), "*")
+        # One row a run; the test set is scored once.
+        metrics = binary_metrics(model.transform(df.filter(is_test)), label, "prediction").first()
+        rows.append((run, *metrics))
         if log_path:
-            append_table(part, log_path)
-        parts.append(part)
-    return union_runs(parts)
+            append_table(df.sparkSession.createDataFrame(rows[-1:], RUN_SCHEMA), log_path)
+    return df.sparkSession.createDataFrame(rows, RUN_SCHEMA)
 
 
 def summarize_runs(runs: DataFrame, metrics: Sequence[str] = ("accuracy", "f1")) -> DataFrame:
@@ -354,12 +395,10 @@ def token_attribution(df: DataFrame, model: PipelineModel, id_col: str) -> DataF
     """Weight of each term in the prediction of its text: the absolute gradient
     of the predicted probability with respect to the term's count.
 
-    ``model`` is a fitted ``fit_logistic`` with an exact vocabulary; its weights,
-    at most one row per term, are broadcast.
+    ``model`` is a fitted ``fit_logistic``; its weights, one row per term, are
+    what the model holds in memory anyway.
     """
     stages = {type(stage).__name__: stage for stage in model.stages}
-    if "CountVectorizerModel" not in stages:
-        raise ValueError("hashed terms have no names to attribute to")
     idf = stages["ElementwiseProduct"].getScalingVec().toArray()
     weights = stages["LogisticRegressionModel"].coefficients.toArray()[: len(idf)]
     table = pd.DataFrame({"_at": np.arange(len(idf)), "_slope": np.abs(weights * idf)})
@@ -371,6 +410,6 @@ def token_attribution(df: DataFrame, model: PipelineModel, id_col: str) -> DataF
     placed = stages["CountVectorizerModel"].transform(single.withColumn("_terms", F.array("term")))
     slot = F.get(F.unwrap_udt(F.col("_tf"))["indices"], F.lit(0))
     found = placed.select(id_col, "term", "_steep", slot.alias("_at"))
-    return found.join(F.broadcast(slopes), "_at").select(
+    return found.join(slopes, "_at").select(
         id_col, "term", (F.col("_steep") * F.col("_slope")).alias("attribution")
     )

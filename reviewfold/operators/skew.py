@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
-# Rows of a right side that was counted; at a few hundred bytes each this stays
-# far below what an executor can hold.
-BROADCAST_ROWS = 100_000
 # Plan nodes whose output is never larger than their input, so the size of the
 # files below them bounds the size of the result.
 _SHRINKING = {"Project", "Filter", "Aggregate", "LogicalRelation", "LocalRelation", "RelationV2"}
@@ -23,18 +20,23 @@ def _only_shrinks(plan) -> bool:
     return all(_only_shrinks(children.apply(i)) for i in range(children.size()))
 
 
-def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    """True when ``df`` is known to be small.
+def broadcast_limit(df: DataFrame) -> int:
+    """Bytes the session allows to be broadcast; 0 if it allows none."""
+    return max(0, df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
-    ``rows`` is a row count the caller measured. Without it the optimizer's
-    estimate is trusted only for plans that cannot outgrow the files they read.
+
+def fits_broadcast(df: DataFrame, measured: int | None = None) -> bool:
+    """True when ``df`` is known to be within the session's broadcast limit.
+
+    ``measured`` is a number of bytes the caller found. Without it the
+    optimizer's estimate is trusted only for plans that cannot outgrow the files
+    they read.
     """
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    limit = conf.autoBroadcastJoinThreshold()
-    if limit < 0:
+    limit = broadcast_limit(df)
+    if limit == 0:
         return False
-    if rows is not None:
-        return rows <= BROADCAST_ROWS
+    if measured is not None:
+        return measured <= limit
     plan = df._jdf.queryExecution().optimizedPlan()
     return _only_shrinks(plan) and int(str(plan.stats().sizeInBytes())) <= limit
 
@@ -45,11 +47,11 @@ def skew_join(
     on: str | Sequence[str],
     how: str = "inner",
     salts: int = DEFAULT_SALTS,
-    right_rows: int | None = None,
+    right_bytes: int | None = None,
 ) -> DataFrame:
     """Join on equal names, with ``left`` as the side that may have hot keys.
 
-    A right side of checked small size is broadcast and ``left`` is not
+    A right side of checked size is broadcast and ``left`` is not
     shuffled. Otherwise each left row gets a salt from a hash of its values and
     every right row is repeated once per salt, so a hot key is spread over
     ``salts`` tasks. Both inputs of the join are then plain shuffles on
@@ -61,10 +63,10 @@ def skew_join(
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep or drop left rows can be salted")
-    if fits_broadcast(right, right_rows):
+    if fits_broadcast(right, right_bytes):
         return left.join(F.broadcast(right), keys, how)
     if salts == 1:
         return left.join(right, keys, how)
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -9,11 +9,11 @@ from reviewfold.functions.text import hex_uniform, pad_sequence
 from reviewfold.operators.joins import lookup_vectors
 from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.ordering import ranked
-from reviewfold.operators.skew import skew_join
+from reviewfold.operators.skew import broadcast_limit, skew_join
 
 _HEX_GROUPS = 4
-# Most frequent words that are broadcast, a few megabytes whatever the corpus.
-HEAD_WORDS = 100_000
+# Bytes of a broadcast word at most, with its id; longer words are never broadcast.
+HEAD_WORD_BYTES = 128
 # The word that stands for every unknown word.
 OOV_WORD = "Out_Of_Vocab_Token"
 
@@ -39,23 +39,24 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: Column, vocab: DataFrame,
     """Id sequence of each text; a word outside the vocabulary gets the OOV id,
     one more than the number of words.
 
-    The ``HEAD_WORDS`` most frequent words are broadcast and cover most tokens,
-    hot ones included; only the others are shuffled to the rest of the
-    vocabulary. What is shuffled is (id, position, word), never the text. The
+    As many of the most frequent words as the session's broadcast limit holds are
+    broadcast and cover most tokens, hot ones included; only the others are
+    shuffled to the rest of the vocabulary. What is shuffled is (id, position, word), never the text. The
     ids of a text are gathered where it was split before they are exchanged. A
     text without words gives an empty list.
     """
     size = vocab.count()
     known = vocab.select("word", "token_id")
     words = spread(df).select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
-    if size <= HEAD_WORDS:
-        ids = words.join(F.broadcast(known), "word", "left")
-    else:
-        head = F.broadcast(known.filter(F.col("token_id") <= HEAD_WORDS))
-        tail = known.filter(F.col("token_id") > HEAD_WORDS)
+    head_words = broadcast_limit(known) // HEAD_WORD_BYTES
+    is_head = (F.col("token_id") <= head_words) & (F.octet_length("word") <= HEAD_WORD_BYTES - 32)
+    if head_words:
+        head = F.broadcast(known.filter(is_head))
         frequent = words.join(head, "word")
         others = words.join(head, "word", "left_anti")
-        ids = frequent.unionByName(skew_join(others, tail, "word", "left", right_rows=size))
+        ids = frequent.unionByName(skew_join(others, known.filter(~is_head), "word", "left"))
+    else:
+        ids = skew_join(words, known, "word", "left")
     entry = F.struct("_pos", F.coalesce("token_id", F.lit(size + 1)).cast("bigint").alias("_id"))
     lists = ids.groupBy(id_col).agg(F.collect_list(F.when(F.col("_pos").isNotNull(), entry)).alias("_entries"))
     return lists.select(id_col, F.array_sort("_entries")["_id"].alias(out))

@@ -263,16 +263,19 @@ def first_per_key(t: Inputs) -> DataFrame:
     return W.first_per_key(t.reviews, "location_id", "review_key")
 
 
-@query("distinct_rates", "select distinct location_id, round(prob, 6) as prob from p_rates where owner = 'Public'")
+@query(
+    "distinct_rates",
+    "select distinct owner, cost, location_id, round(prob, 6) as prob from p_rates where owner in ('Public', 'Private')",
+)
 def distinct_rates(t: Inputs) -> DataFrame:
-    public = t.rates.filter(F.col("owner") == "Public").select("location_id", "prob")
-    return rounded(public.distinct(), "prob")
+    """Distinct pairs of location and rate in all four cells."""
+    cells = t.rates.filter(F.col("owner").isin("Public", "Private")).select("owner", "cost", "location_id", "prob")
+    return rounded(cells.distinct(), "prob")
 
 
 @query("segment_constant", "select segment, count(*) as count from p_joined group by segment")
 def segment_constant(t: Inputs) -> DataFrame:
-    sized = W.with_group_count(t.located_counts.select("segment", "n_all"), "segment", out="n_locations")
-    totals = sized.groupBy("segment").agg(F.sum("n_all").alias("count"))
+    totals = t.located_counts.groupBy("segment").agg(F.sum("n_all").alias("count"))
     return W.segment_constant(totals, "segment", "count", "count")
 
 
@@ -366,6 +369,29 @@ def welch_pairwise(t: Inputs) -> DataFrame:
     return rounded(inference.welch_pairwise(cells, "prob", "cell", _PAIRS), *_WELCH_FIELDS, "p_value")
 
 
+_AREAS = [(0, 1), (0, 2), (1, 2)]
+_AREA_VALUES = ", ".join(f"({a}, {b})" for a, b in _AREAS)
+
+
+@query(
+    "welch_areas",
+    "with p_cells as (select urban_rural as g, count(*) as n, avg(prob) as mean, var_samp(prob) as var "
+    "from p_rates where urban_rural is not null group by g), p_pairs as (select group_x, group_y, x.n as n_x, "
+    "x.mean as mean_x, x.var as var_x, y.n as n_y, y.mean as mean_y, y.var as var_y "
+    f"from (values {_AREA_VALUES}) p(group_x, group_y) join p_cells x on x.g = group_x join p_cells y on y.g = group_y), "
+    f"p_welch as ({welch_sql('p_pairs', 'group_x, group_y,')}), "
+    f"p_tail as ({p_value_sql('p_welch', 'group_x, group_y')}) "
+    "select cast(group_x as varchar) as group_x, cast(group_y as varchar) as group_y, round(t, 6) as t, round(df, 6) as df, "
+    "round(mean_x, 6) as mean_x, round(mean_y, 6) as mean_y, n_x, n_y, reason, round(p_value, 6) as p_value "
+    "from p_welch join p_tail using (group_x, group_y)",
+)
+def welch_areas(t: Inputs) -> DataFrame:
+    """The three kinds of area against one another."""
+    named = t.rates.filter(F.col("urban_rural").isNotNull()).withColumn("area", F.col("urban_rural").cast("string"))
+    pairs = [(str(a), str(b)) for a, b in _AREAS]
+    return rounded(inference.welch_pairwise(named, "prob", "area", pairs), *_WELCH_FIELDS, "p_value")
+
+
 P_SEGMENT_TESTS = (
     "p_sizes as (select segment, count(*) as n_rows from p_joined where owner is not null "
     "and poi_group not in ('Other', 'Unknown') group by segment), "
@@ -476,6 +502,28 @@ def attach_tier(t: Inputs) -> DataFrame:
     return rounded(joins.attach_tier(rates, _tiers(t), "poi_group"), "prob")
 
 
+_TIER_PAIRS = [("Low", "Mid"), ("Low", "High"), ("Mid", "High")]
+_TIER_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _TIER_PAIRS)
+
+
+@query(
+    "welch_tiers",
+    f"with {_TIERS}, p_tiered as (select prob, coalesce(tier, 'Mid') as g from p_rates left join p_tiers using (poi_group)), "
+    "p_cells as (select g, count(*) as n, avg(prob) as mean, var_samp(prob) as var from p_tiered group by g), "
+    "p_pairs as (select group_x, group_y, x.n as n_x, x.mean as mean_x, x.var as var_x, y.n as n_y, y.mean as mean_y, "
+    f"y.var as var_y from (values {_TIER_VALUES}) p(group_x, group_y) "
+    f"join p_cells x on x.g = group_x join p_cells y on y.g = group_y), p_welch as ({welch_sql('p_pairs', 'group_x, group_y,')}), "
+    f"p_tail as ({p_value_sql('p_welch', 'group_x, group_y')}) "
+    "select group_x, group_y, round(t, 6) as t, round(df, 6) as df, round(mean_x, 6) as mean_x, "
+    "round(mean_y, 6) as mean_y, n_x, n_y, reason, round(p_value, 6) as p_value from p_welch join p_tail "
+    "using (group_x, group_y)",
+)
+def welch_tiers(t: Inputs) -> DataFrame:
+    """The three tiers against one another."""
+    tiered = joins.attach_tier(t.rates.select("location_id", "poi_group", "prob"), _tiers(t), "poi_group")
+    return rounded(inference.welch_pairwise(tiered, "prob", "tier", _TIER_PAIRS), *_WELCH_FIELDS, "p_value")
+
+
 @query(
     "student_t",
     f"with {P_SEGMENT_TESTS} select segment, owner_group, round(case when t > 0 then 1 - p_value / 2 "

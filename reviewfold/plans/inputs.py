@@ -168,9 +168,8 @@ class Inputs:
         return build_vocab(self.tokens, F.col("tokens"))
 
     def vectors(self, vocab: DataFrame) -> DataFrame:
-        """Word vectors: even vector ids go to the word of the next rank."""
-        even = self.table("embeddings").filter("vec_id % 2 = 0")
-        named = even.select((F.col("vec_id") + 1).alias("token_id"), F.col("embedding").alias("vector"))
+        """Word vectors: a vector goes to the word whose rank follows its id."""
+        named = self.table("embeddings").select((F.col("vec_id") + 1).alias("token_id"), F.col("embedding").alias("vector"))
         return named.join(vocab.select("token_id", "word"), "token_id").select("word", "vector")
 
 
@@ -211,8 +210,13 @@ CTES = {
     "filter (where word is not null) as ids from (select review_id, unnest(case when len(tokens) = 0 then [null] "
     "else tokens end) as word, generate_subscripts(case when len(tokens) = 0 then [null] else tokens end, 1) as pos "
     "from p_tokens) left join p_train_vocab using (word) group by review_id",
-    "p_vectors": "select word, embedding as vector from embeddings join p_vocab on token_id = vec_id + 1 "
-    "where vec_id % 2 = 0",
+    "p_vectors": "select word, embedding as vector from embeddings join p_vocab on token_id = vec_id + 1",
+    "p_pool_counts": "select review_id, word, count(*) as n from (select review_id, unnest(tokens) as word from p_tokens) "
+    "group by review_id, word",
+    "p_pool_vectors": "select word, 4 * b + d as dim, cast(('0x' || substr(h, 1 + 8 * d, 8)) as ubigint) / 4294967296.0 "
+    "* 0.5 - 0.25 as v from (select word, b, md5(word || ':1:' || cast(b as varchar)) as h from p_vocab anti join "
+    f"p_vectors using (word), range({DIMS // 4}) blocks(b)), range(4) digits(d) union all select word, "
+    "cast(generate_subscripts(vector, 1) - 1 as bigint), unnest(vector)::double from p_vectors",
     "p_words": "select doc_id as review_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}', 0) as words "
     "from documents",
     "p_kept_words": "select review_id, list_filter(words, lambda w: w not in "
@@ -221,11 +225,24 @@ CTES = {
     "list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), "
     "list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) "
     "as terms from p_kept_words",
+    "p_labelled": "select review_id, case sentiment when 'positive' then 1.0 else 0.0 end::double as label, "
+    "row_number() over (order by md5(concat(cast(review_id as varchar), ':22')), review_id) "
+    "<= ceil(cast(0.2 as double) * count(*) over ()) as is_test from p_predictions join p_training using (review_id)",
+    "p_clean_words": "select review_id, is_test, list_filter(regexp_extract_all(lower(translate(text, '.,?!', '')), "
+    "'[\\p{L}\\p{N}_]{2,}', 0), lambda w: w not in "
+    f"({', '.join(repr(w) for w in STOP_WORDS)})) as words from p_labelled join documents on doc_id = review_id",
+    "p_clean_terms": "select distinct review_id, is_test, unnest(list_concat(words, list_concat("
+    "list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), "
+    "list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])))) "
+    "as term from p_clean_words",
     "p_evaluated": "select review_id, lang, case sentiment when 'positive' then 1.0 else 0.0 end as label, "
     "case predicted when 'POSITIVE' then 1.0 else 0.0 end as pred from p_predictions join p_training using (review_id)",
 }
 
 
+_SHARED = {"p_labelled", "p_clean_terms", "p_tokens", "p_vocab", "p_vectors", "p_train_vocab", "p_split", "p_pool_vectors"}
+
+
 def with_inputs(sql: str) -> str:
     """Oracle text with the common table expressions it needs in front."""
     used: set[str] = set()
@@ -236,7 +253,8 @@ def with_inputs(sql: str) -> str:
             if name not in used and re.search(rf"\b{name}\b", text):
                 used.add(name)
                 open_texts.append(CTES[name])
-    parts = [f"{name} as ({CTES[name]})" for name in CTES if name in used]
+    # What is read more than once is computed once.
+    parts = [f"{name} as {'materialized ' * (name in _SHARED)}({CTES[name]})" for name in CTES if name in used]
     body = sql.strip()
     if not parts:
         return body

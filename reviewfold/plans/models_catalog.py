@@ -1,13 +1,21 @@
-"""Queries that fit and apply classifiers. Fitted numbers have no SQL form, so
-these are checked by rows here and by value in the tests."""
+"""Queries that fit and apply classifiers.
+
+Fitted numbers have no SQL form. The ``checked_`` queries return what must hold
+for every row whatever the numbers are: that no row is lost, that classes and
+names follow from the probabilities, that a saved model gives the same results.
+The tests check the values on small fixtures."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewfold.functions.labels import CLASS_NAME, case_map
 from reviewfold.operators import models
+from reviewfold.operators.aggregates import label_counts, rate_column
+from reviewfold.operators.joins import join_labels
+from reviewfold.operators.projections import resolve_label
 from reviewfold.operators.split import holdout_split
 from reviewfold.plans.inputs import DIMS, SEED, STOP_WORDS, TEST_SIZE, Inputs
 from reviewfold.plans.registry import query, rounded
@@ -96,3 +104,90 @@ def repeated_holdout(t: Inputs) -> DataFrame:
 def token_attribution(t: Inputs) -> DataFrame:
     train, test = _split(t)
     return models.token_attribution(test, _fit(train), "review_id")
+
+
+_TEST_ROWS = "select review_id, label, true as consistent from p_labelled where is_test"
+
+
+def _consistent(df: DataFrame, probability: str | None = None) -> DataFrame:
+    """Whether class and name of each row follow from the model's numbers."""
+    name = case_map(F.col("prediction"), CLASS_NAME)
+    right = F.col("prediction").isin(0.0, 1.0) & name.isNotNull()
+    if probability:
+        right = right & (F.col("prediction") == F.rint(probability))
+    return df.select("review_id", "label", F.coalesce(right, F.lit(False)).alias("consistent"))
+
+
+@query("checked_logistic", _TEST_ROWS)
+def checked_logistic(t: Inputs) -> DataFrame:
+    train, test = _split(t)
+    scored = models.score(test, _fit(train), ["review_id", "label"])
+    named = case_map(F.col("class"), CLASS_NAME) == F.col("predicted")
+    right = (F.col("class") == F.rint("prob")) & named & F.col("prob").between(0, 1)
+    return scored.select("review_id", "label", F.coalesce(right, F.lit(False)).alias("consistent"))
+
+
+@query("checked_rbf_svm", _TEST_ROWS)
+def checked_rbf_svm(t: Inputs) -> DataFrame:
+    train, test = _split(t)
+    return _consistent(models.fit_rbf_svm(train, "clean", stop_words=STOP_WORDS).transform(test))
+
+
+@query("checked_mlp", _TEST_ROWS)
+def checked_mlp(t: Inputs) -> DataFrame:
+    """The same test reviews as the other models: no text is lost on the way."""
+    pooled = models.embedding_pool(t.tokens, "review_id", F.col("tokens"), t.vectors(t.vocab()), DIMS)
+    known = pooled.join(t.labelled.select("review_id", "label"), "review_id")
+    train, test = holdout_split(known, "review_id", TEST_SIZE, SEED)
+    scored = models.fit_embedding_mlp(train, DIMS).transform(models.pooled_features(test))
+    return _consistent(scored.withColumn("_prob", vector_to_array("probability")[1]), "_prob")
+
+
+@query("checked_scores", "select review_id, true as consistent from p_predictions")
+def checked_scores(t: Inputs) -> DataFrame:
+    """Every review has a score, a class and a name."""
+    scored = score_reviews(t)
+    right = case_map(F.col("class"), CLASS_NAME) == F.col("predicted")
+    return scored.select("review_id", F.coalesce(right & F.col("prob").isNotNull(), F.lit(False)).alias("consistent"))
+
+
+@query("checked_roundtrip", "select review_id, label, true as same from p_labelled where is_test")
+def checked_roundtrip(t: Inputs) -> DataFrame:
+    """Scores of a model before it is saved and after it is loaded."""
+    train, test = _split(t)
+    path, model = new_path(t.spark, "model"), _fit(train)
+    save_model(model, path)
+    before = models.score(test, model, ["review_id", "label"])
+    after = models.score(test, load_model(path), ["review_id"]).select("review_id", F.col("prob").alias("again"))
+    return before.join(after, "review_id").select("review_id", "label", (F.col("prob") == F.col("again")).alias("same"))
+
+
+@query(
+    "checked_holdout_runs",
+    "select cast(run as int) as run, (select count(*) from p_labelled where is_test) as n from range(2) runs(run)",
+)
+def checked_holdout_runs(t: Inputs) -> DataFrame:
+    return repeated_holdout(t).select("run", "n")
+
+
+@query(
+    "checked_attribution",
+    "with p_df as (select term from p_clean_terms where not is_test group by term having count(*) >= 2 "
+    "and count(*) <= 0.95 * (select count(*) from p_labelled where not is_test)) "
+    "select review_id, term from p_clean_terms join p_df using (term) where is_test",
+)
+def checked_attribution(t: Inputs) -> DataFrame:
+    """Every kept term of every test review has an attribution."""
+    return token_attribution(t).filter(F.col("attribution") >= 0).select("review_id", "term")
+
+
+@query("resolved_rates")
+def resolved_rates(t: Inputs) -> DataFrame:
+    """The whole chain: score every review, let human labels override the class,
+    and rate the reviews of each language."""
+    scored = score_reviews(t).select("review_id", "predicted")
+    joined = join_labels(scored, t.training, "review_id")
+    best = resolve_label(joined, "predicted", "sentiment", "best")
+    langs = t.predictions.select("review_id", "lang")
+    counts = label_counts(best.join(langs, "review_id"), "lang", label="best")
+    return rounded(counts.withColumn("prob", rate_column()), "prob")

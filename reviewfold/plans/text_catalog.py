@@ -109,7 +109,7 @@ def vector_lookup(t: Inputs) -> DataFrame:
     )
 
 
-@query("vector_missing", "select word, token_id from p_vocab where word not in (select word from p_vectors)")
+@query("vector_missing", "select word, token_id from p_vocab anti join p_vectors using (word)")
 def vector_missing(t: Inputs) -> DataFrame:
     vocab = t.vocab()
     return joins.missing_words(vocab, t.vectors(vocab)).select("word", "token_id")
@@ -117,7 +117,7 @@ def vector_missing(t: Inputs) -> DataFrame:
 
 @query(
     "vector_missing_count",
-    "select count(*) as n_missing from p_vocab where word not in (select word from p_vectors)",
+    "select count(*) as n_missing from p_vocab anti join p_vectors using (word)",
 )
 def vector_missing_count(t: Inputs) -> DataFrame:
     vocab = t.vocab()
@@ -128,7 +128,7 @@ def vector_missing_count(t: Inputs) -> DataFrame:
     "embedding_table",
     "with p_all as (select word, token_id from p_vocab union all select 'Out_Of_Vocab_Token', count(*) + 1 from p_vocab), "
     "p_digests as (select word, b, md5(word || ':1:' || cast(b as varchar)) as h from p_all, range(16) blocks(b) "
-    "where word not in (select word from p_vectors)), "
+    "anti join p_vectors using (word)), "
     "p_random as (select word, 4 * b + d as dim, cast(('0x' || substr(h, 1 + 8 * d, 8)) as ubigint) / 4294967296.0 "
     "* 0.5 - 0.25 as value from p_digests, range(4) digits(d)), "
     "p_known as (select word, cast(generate_subscripts(vector, 1) - 1 as bigint) as dim, unnest(vector)::double as value "
@@ -210,11 +210,11 @@ def tfidf_weights(t: Inputs) -> DataFrame:
 
 @query(
     "embedding_pool",
-    "with p_words_of as (select review_id, unnest(tokens) as word from p_tokens), "
-    "p_dims as (select review_id, generate_subscripts(vector, 1) - 1 as dim, unnest(vector)::double as v "
-    "from p_words_of join p_vectors using (word)) "
-    "select review_id, cast(dim as int) as dim, round(avg(v), 6) as mean_value, round(max(v), 6) as max_value "
-    "from p_dims group by review_id, dim",
+    "with p_sums as (select review_id, dim, sum(n * v) / sum(n) as mean_value, max(v) as max_value "
+    "from p_pool_counts join p_pool_vectors using (word) group by review_id, dim) "
+    "select review_id, cast(dims.dim as int) as dim, round(coalesce(mean_value, 0), 6) as mean_value, "
+    f"round(coalesce(max_value, 0), 6) as max_value from p_predictions cross join range({DIMS}) dims(dim) "
+    "left join p_sums using (review_id, dim)",
 )
 def embedding_pool(t: Inputs) -> DataFrame:
     pooled = pool(t.tokens, "review_id", F.col("tokens"), t.vectors(t.vocab()), DIMS)

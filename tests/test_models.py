@@ -49,12 +49,36 @@ def test_logistic_minimizes_the_stated_loss(reviews, logistic):
     assert abs(gradient).max() < 1e-4
 
 
-def test_hashed_terms(reviews):
-    model = models.fit_logistic(reviews.filter("id < 120"), "text", max_iter=20, max_terms=10)
-    assert any(type(s).__name__ == "HashingTF" for s in model.stages)
-    assert accuracy(model.transform(reviews.filter("id >= 120"))) > 0.95
-    with pytest.raises(ValueError):
-        models.token_attribution(reviews, model, "id")
+def test_training_sample_is_off_by_default(reviews):
+    assert models.training_sample(reviews, "id").count() == 160
+    assert models.training_sample(reviews, "id", 1000).count() == 160
+    some = models.training_sample(reviews, "id", 40)
+    assert 15 <= some.count() <= 70
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, models.training_sample(reviews, "id", 40).collect()))
+
+
+def test_vocabulary_is_exact_for_any_number_of_terms(spark):
+    """Far more terms than texts; a term is kept by its own frequency alone."""
+    rows = [(i, " ".join(f"w{i % 50}x{k}" for k in range(200)), float(i % 2)) for i in range(100)]
+    model = models.fit_tfidf(spark.createDataFrame(rows, "id int, text string, label double"), "text")
+    terms = next(s for s in model.stages if type(s).__name__ == "CountVectorizerModel").vocabulary
+    assert len(terms) == 50 * (200 + 199 + 198)
+
+
+def test_long_text_in_random_features(spark):
+    """Blocks of columns and slices of texts give what one product gives."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(1)
+    at = np.sort(rng.choice(1 << 20, 60_000, replace=False))
+    rows = [(0, Vectors.sparse(1 << 20, at, np.ones(60_000) / 245)), (1, Vectors.sparse(1 << 20, at[:5], np.ones(5) / 2.3)), (2, Vectors.sparse(1 << 20, [], []))]
+    df = spark.createDataFrame(rows, ["id", "f"]).coalesce(1)
+    together = {r.id: r.z.toArray() for r in models.rbf_features(df, "f", "z", 0.5, 96, 1).collect()}
+    for i in range(3):
+        alone = models.rbf_features(df.filter(f"id = {i}"), "f", "z", 0.5, 96, 1).first().z.toArray()
+        assert np.allclose(together[i], alone)
+    assert float(together[0] @ together[0]) == pytest.approx(1, abs=0.2)
 
 
 def test_svm_separates(reviews):
@@ -62,6 +86,15 @@ def test_svm_separates(reviews):
     assert accuracy(model.transform(reviews.filter("id >= 120"))) > 0.85
 
 
+def test_svm_persistence(spark, reviews):
+    model = models.fit_rbf_svm(reviews.filter("id < 40"), "text", gamma=0.5, n_features=16, max_iter=5)
+    path = new_path(spark, "svm-test")
+    model.save(path)
+    columns = ["id", "prediction", "rawPrediction"]
+    again = models.RbfSvm.load(path).transform(reviews).select(columns).orderBy("id").collect()
+    assert again == model.transform(reviews).select(columns).orderBy("id").collect()
+
+
 def test_random_features_approach_the_kernel(spark):
     from pyspark.ml.linalg import Vectors
 
@@ -134,5 +167,7 @@ def test_repeated_holdout(spark, reviews):
     assert [r.run for r in rows] == [0, 1] and all(r.n == 32 for r in rows)
     logged = read_table(spark, log, "run int, n bigint, accuracy double, precision double, recall double, f1 double", header=False)
     assert sorted(map(tuple, logged.collect())) == sorted(map(tuple, rows))
+    empty = models.repeated_holdout(reviews.filter("id < 0"), "id", lambda train: None, 2)
+    assert empty.count() == 0 and empty.columns == runs.columns
     summary = models.summarize_runs(runs).collect()
     assert [r.metric for r in summary] == ["accuracy", "f1"]

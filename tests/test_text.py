@@ -35,9 +35,10 @@ def test_vocabulary_with_oov(spark, texts):
     assert extra.token_id == len(plain_vocab(texts)) + 1
 
 
-@pytest.mark.parametrize("head", [100_000, 3])
-def test_encoding(spark, texts, head, monkeypatch):
-    monkeypatch.setattr(vocabulary, "HEAD_WORDS", head)
+@pytest.mark.parametrize("word_bytes", [128, 3 << 20])
+def test_encoding(spark, texts, word_bytes, monkeypatch):
+    """With all words, or three of them, broadcast."""
+    monkeypatch.setattr(vocabulary, "HEAD_WORD_BYTES", word_bytes)
     train, rest = texts[:40], texts
     vocab = vocabulary.build_vocab(frame(spark, train), F.col("toks"))
     ids = plain_vocab(train)
@@ -45,8 +46,7 @@ def test_encoding(spark, texts, head, monkeypatch):
     assert got == {i: [ids.get(w, len(ids) + 1) for w in words] for i, words in rest}
 
 
-def test_encoding_without_broadcast(spark, texts, no_broadcast, monkeypatch):
-    monkeypatch.setattr(vocabulary, "HEAD_WORDS", 2)
+def test_encoding_without_broadcast(spark, texts, no_broadcast):
     vocab = vocabulary.build_vocab(frame(spark, texts), F.col("toks"))
     ids = plain_vocab(texts)
     got = {r.id: r.token_ids for r in vocabulary.encode_tokens(frame(spark, texts), "id", F.col("toks"), vocab).collect()}
@@ -108,17 +108,26 @@ def test_ml_vectors_equal_relational_weights(spark, texts):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("limit", [1 << 25, 0])
-def test_embedding_pool(spark, texts, limit, monkeypatch):
-    monkeypatch.setattr(models, "BROADCAST_NUMBERS", limit)
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_embedding_pool(spark, texts, limit):
+    """Every text has a result, and the limit on broadcasts is obeyed."""
     rng = random.Random(2)
     table = {w: [rng.uniform(-1, 1) for _ in range(3)] for w in WORDS[:20]}
     vectors = spark.createDataFrame(list(table.items()), "word string, vector array<double>")
-    got = {r.id: r for r in models.embedding_pool(frame(spark, texts), "id", F.col("toks"), vectors, 3).collect()}
+    drawn = spark.createDataFrame([(w,) for w in {w for _, ws in texts for w in ws}], "w string")
+    drawn = {r.w: r.v for r in drawn.select("w", vocabulary.random_vector(F.col("w"), 3, 1).alias("v")).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        pooled = models.embedding_pool(frame(spark, [*texts, (10_000, [])]), "id", F.col("toks"), vectors, 3)
+        got = {r.id: r for r in pooled.collect()}
+        if limit == "-1":
+            assert "Broadcast" not in pooled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got.keys() == {i for i, _ in texts} | {10_000}
+    assert got[10_000].mean_vector == got[10_000].max_vector == [0.0] * 3
     for i, words in texts:
-        known = [table[w] for w in words if w in table]
-        if not known:
-            assert i not in got
-            continue
-        assert got[i].mean_vector == pytest.approx([sum(c) / len(known) for c in zip(*known)])
-        assert got[i].max_vector == pytest.approx([max(c) for c in zip(*known)])
+        mine = [table.get(w, drawn[w]) for w in words] or [[0.0] * 3]
+        assert got[i].mean_vector == pytest.approx([sum(c) / len(mine) for c in zip(*mine)])
+        assert got[i].max_vector == pytest.approx([max(c) for c in zip(*mine)])
