@@ -25,7 +25,7 @@ HEADLINE = (
     "window_count window_rate first_per_key top_segments rank_categories welch_p welch_pairwise segment_tests ks_p "
     "attach_tier segment_report clean_text tokenize holdout_split holdout_assignments vocabulary encode_tokens pad_pre "
     "vector_lookup embedding_table ngrams prune_terms tfidf_weights embedding_pool binary_metrics logistic_predict "
-    "score_reviews"
+    "score_reviews rbf_svm_predict embedding_mlp repeated_holdout model_roundtrip token_attribution"
 ).split()
 
 
