@@ -159,7 +159,26 @@ def mean_se(t: Inputs) -> DataFrame:
     return rounded(stats.select("owner", "cost", "n", "mean", "std_err"), "mean", "std_err")
 
 
-@query("mean_ci")
+# The 0.975 quantile of t by bisection over Simpson's rule; for one degree of
+# freedom or more it lies below 16.
+_HALF_TAIL = (
+    "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * ((lo + hi) / 2) / 2000 / 3 * list_sum(list_transform("
+    "range(0, 2001), lambda k: (case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end) "
+    "* pow(1 + pow((lo + hi) / 2 * k / 2000, 2) / df, -(df + 1) / 2)))"
+)
+
+
+@query(
+    "mean_ci",
+    "with recursive p_stats as (select urban_rural, count(prob) as n, avg(prob) as mean, "
+    "stddev_samp(prob) / sqrt(count(prob)) as std_err from p_rates where urban_rural is not null group by urban_rural), "
+    "p_search as (select urban_rural, (n - 1)::double as df, 0::double as lo, 16::double as hi, 0 as step from p_stats "
+    f"where n > 1 union all select urban_rural, df, case when {_HALF_TAIL} < 0.475 then (lo + hi) / 2 else lo end, "
+    f"case when {_HALF_TAIL} < 0.475 then hi else (lo + hi) / 2 end, step + 1 from p_search where step < 48) "
+    "select urban_rural, n, round(mean, 6) as mean, round(mean - lo * std_err, 6) as low_ci, "
+    "round(mean + lo * std_err, 6) as high_ci, round(std_err, 6) as std_err "
+    "from p_stats left join (select * from p_search where step = 48) using (urban_rural)",
+)
 def mean_ci(t: Inputs) -> DataFrame:
     return rounded(A.mean_ci(filters.not_null(t.rates, "urban_rural"), "urban_rural", "prob"), "mean", "low_ci", "high_ci", "std_err")
 

@@ -258,6 +258,8 @@ def with_inputs(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(parts)}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {', '.join(parts)}, {body[5:]}"
     return f"with {', '.join(parts)} {body}"
