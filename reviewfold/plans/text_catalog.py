@@ -127,8 +127,8 @@ def vector_missing_count(t: Inputs) -> DataFrame:
 @query(
     "embedding_table",
     "with p_all as (select word, token_id from p_vocab union all select 'Out_Of_Vocab_Token', count(*) + 1 from p_vocab), "
-    "p_digests as (select word, b, md5(word || ':1:' || cast(b as varchar)) as h from p_all, range(16) blocks(b) "
-    "anti join p_vectors using (word)), "
+    "p_digests as (select word, b, md5(word || ':1:' || cast(b as varchar)) as h from p_all "
+    "anti join p_vectors using (word), range(16) blocks(b)), "
     "p_random as (select word, 4 * b + d as dim, cast(('0x' || substr(h, 1 + 8 * d, 8)) as ubigint) / 4294967296.0 "
     "* 0.5 - 0.25 as value from p_digests, range(4) digits(d)), "
     "p_known as (select word, cast(generate_subscripts(vector, 1) - 1 as bigint) as dim, unnest(vector)::double as value "
