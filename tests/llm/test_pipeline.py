@@ -26,8 +26,3 @@ def test_stages(spark, tmp_path):
     assert {1, 5, 4, 6} <= kept["exact_dedup"] and not {2, 3, 7} & kept["exact_dedup"]
     assert {1, 8} <= kept["near_dedup"] and not {5, 9, 10} & kept["near_dedup"]
     assert kept["near_dedup"] == kept["substring_dedup"] == kept["best_fit_packing"]
-
-
-def test_run_on_a_given_table(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert rows.count() > 0 and "sequence_id" in rows.columns
