@@ -10,10 +10,10 @@ within ``R`` meet in an equal key, by pigeonhole. At J = 0.8 a pair differs in
 one pair in 100,000 exactly at the threshold and far fewer above it.
 
 Links are confirmed on the full sets. Equal sets are one class from the start.
-In a bucket only its first member and each member's neighbour are tried; then
-components whose members met in a bucket without a link are compared member by
-member on signatures. So no group is expanded into all its pairs, and every
-pair that met is either in one component or was tried itself.
+In a bucket only its hub and each member's neighbour are tried; then
+components whose members met in a bucket without a link are compared in blocks,
+on full sets. So no group is expanded into all its pairs, and every pair that
+met is either in one component or was compared itself.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ K = 128
 R = 45
 CHUNKS = R // 2 + 1
 BATCH_BYTES = 16 << 20
-# Members of a component that meet in one task.
-BLOCK_MEMBERS = 4096
+# Shingles of a block of sets that are compared with another block in one task.
+BLOCK_ITEMS = 3_000_000
 _BOUNDS = np.linspace(0, K, CHUNKS + 1).round().astype(int)
 
 
@@ -192,6 +193,23 @@ def _meetings(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stream, schema)
 
 
+def _first_tries(meetings: DataFrame) -> DataFrame:
+    """Pairs tried first: every member with its neighbour and with the bucket's hub.
+
+    The hub is the member that meets others in most buckets. The origin of a
+    group of near copies shares more buckets with each of them than they do with
+    one another, so links to it join the group without a try for every pair.
+    """
+    firsts = meetings.select("bucket", F.col("first").alias("node")).distinct()
+    members = meetings.select("bucket", "node").unionAll(firsts)
+    busy = members.groupBy("node").agg(F.count(F.lit(1)).alias("meets"))
+    placed = members.join(busy, "node")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("top")).select("bucket", "top.node")
+    with_hub = members.join(hubs.withColumnRenamed("node", "hub"), "bucket").filter("hub <> node")
+    pairs = with_hub.select("hub", "node").unionAll(meetings.select("prev", "node"))
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.count_nonzero(a != b, axis=-1)
 
@@ -212,9 +230,8 @@ def _near_enough(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFr
     return sized.mapInArrow(near, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def _full_sets(nodes: DataFrame, classes: DataFrame, base: DataFrame, width: int) -> DataFrame:
+    """``(node, items)``: the whole set of each of the ``nodes``, from its text."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", "klass", F.col("rep").alias("want"))
     texts = base.join(wanted, F.col("doc").eqNullSafe(F.col("want")))
     rows = texts.select("node", F.encode("body", "UTF-8").alias("body"), "klass")
@@ -234,7 +251,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, width: int
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same)), lists], names=["node", "items"])
 
-    sets = stored(rows.mapInArrow(build, "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    return rows.mapInArrow(build, "node long, items array<long>").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_full_sets(nodes, classes, base, width), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
     both = pairs.join(right, "b").join(left, "a")
@@ -242,57 +265,67 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, width: int
     return both.filter(100 * shared >= threshold * (F.size("ia") + F.size("ib") - shared)).select("a", "b")
 
 
-def _across(meetings: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within R of members of components that met in a bucket."""
-    of_node = meetings.select("bucket", "node").unionAll(
-        meetings.select("bucket", F.col("first").alias("node")).distinct()
-    )
-    placed = of_node.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root")).distinct()
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    here = placed.join(mixed.select("bucket"), "bucket", "left_semi")
-    pairs = (
-        here.select("bucket", F.col("root").alias("ra"))
-        .join(here.select("bucket", F.col("root").alias("rb")), "bucket")
-        .filter("ra < rb")
-        .select("ra", "rb")
-        .distinct()
-    )
-    members = classes.select("node", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sized = (
-        pairs.join(sizes.select(F.col("root").alias("ra"), F.col("size").alias("size_a")), "ra")
-        .join(sizes.select(F.col("root").alias("rb"), F.col("size").alias("size_b")), "rb")
-        .select(
-            F.when(F.col("size_a") < F.col("size_b"), F.col("ra")).otherwise(F.col("rb")).alias("small"),
-            F.when(F.col("size_a") < F.col("size_b"), F.col("rb")).otherwise(F.col("ra")).alias("large"),
-            F.greatest("size_a", "size_b").alias("size"),
-        )
-    )
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    probes = (
-        sized.join(members.select(F.col("root").alias("small"), "node", "sig"), "small")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(F.col("large").alias("root"), "block", "node", "sig")
-    )
-    large = sized.select(F.col("large").alias("root"), "size").distinct()
-    targets = members.join(large, "root").select(
-        "root", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "sig"
-    )
+def _links_between(table: pa.Table, threshold: int) -> pa.Table:
+    """Links that join different components of two blocks (or within one).
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            mine, theirs = _matrix(left.column("sig")), _matrix(right.column("sig"))
-            node, other = left.column("node").to_numpy(), right.column("node").to_numpy()
-            for i in range(len(mine)):
-                close = np.flatnonzero(_distance(theirs, mine[i]) <= R)
-                a.append(np.full(len(close), node[i]))
-                b.append(other[close])
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-        return pa.table({"a": pa.array(np.minimum(*flat)), "b": pa.array(np.maximum(*flat))})
-
-    keys = ["root", "block"]
-    return probes.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+    For each set outside the largest component an index of the items counts its
+    intersection with all others at once; a link merges two components, so there
+    are fewer links than components.
+    """
+    items = table.column("items").combine_chunks()
+    sizes = pc.list_value_length(items).to_numpy().astype(np.int64)
+    node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+    code = np.unique(items.flatten().to_numpy(), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(node)), sizes)[np.argsort(code, kind="stable")]
+    counts = np.bincount(code)
+    starts, begins = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    roots, at, members = np.unique(table.column("root").to_numpy(), return_inverse=True, return_counts=True)
+    largest = members.argmax()
+    within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    found = []
+    for probe in np.flatnonzero(at != largest) if len(roots) > 1 else []:
+        mine = code[begins[probe] : begins[probe] + sizes[probe]]
+        n = counts[mine]
+        places = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[places], minlength=len(node))
+        close = 100 * shared >= threshold * (sizes[probe] + sizes - shared)
+        if not within:
+            close &= block != block[probe]
+        for other in np.flatnonzero(close & (at != at[probe])):
+            if at[other] != at[probe]:
+                found.append((node[probe], node[other]))
+                at[at == at[probe]] = at[other]
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+
+def _across(
+    meetings: DataFrame, roots: DataFrame, classes: DataFrame, base: DataFrame, width: int, threshold: int
+) -> DataFrame | None:
+    """Links between components whose members met in a bucket without a link.
+
+    Such components are taken together as far as meetings connect them, and
+    their full sets are compared in blocks of a bounded number of items.
+    """
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    met = meetings.select("first", "node").join(of("first"), "first", "left").join(of("node"), "node", "left")
+    edges = met.select(F.coalesce("first_root", "first").alias("a"), F.coalesce("node_root", "node").alias("b"))
+    edges = stored(edges.filter("a <> b").distinct(), "unlinked")
+    if not edges.limit(1).count():
+        return None
+    clusters = components(edges).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    members = classes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stored(members.join(clusters, "root"), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    sets = _full_sets(members.select("node"), classes, base, width)
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = (
+        dealt.join(sets, "node")
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "root", "items")
+    )
+    joined = paired.groupBy("cluster", "i", "j").applyInArrow(lambda t: _links_between(t, threshold), "a long, b long")
+    return joined.distinct()
 
 
 def near_duplicates(
@@ -318,20 +351,13 @@ def near_duplicates(
     )
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     meetings = stored(_meetings(classes), "meetings")
-    tried = (
-        meetings.select(F.col("first").alias("a"), F.col("node").alias("b"))
-        .unionAll(meetings.filter("prev <> first").select(F.col("prev").alias("a"), F.col("node").alias("b")))
-        .distinct()
-    )
+    tried = _first_tries(meetings)
     near = stored(_near_enough(tried, classes, threshold), "near")
     links = stored(_confirmed(near, classes, base, width, threshold), "links")
     roots = components(links)
-    across = _across(meetings, roots, classes)
-    missing = stored(_near_enough(across.join(near, ["a", "b"], "left_anti"), classes, threshold), "across")
-    if missing.limit(1).count():
-        more = stored(_confirmed(missing, classes, base, width, threshold), "links")
-        if more.limit(1).count():
-            roots = components(links.unionAll(more))
+    across = _across(meetings, roots, classes, base, width, threshold)
+    if across is not None:
+        roots = components(links.unionAll(stored(across, "links")))
     named = classes.join(roots, "node", "left").select("klass", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
     of_class = named.join(least, "root").select("klass", "component")
