@@ -1,11 +1,12 @@
-"""Substring deduplication by sliding runs of sentences.
-
-A text is cut into sentences. From every sentence the shortest run forward with
-at least ``min_words`` words is hashed, and to every sentence the shortest run
-backward; so a passage of whole sentences with that many words is covered from
-end to end by runs inside it, wherever it stands. Runs are brought together by
-their 128-bit hash, and every sentence under a run that stands earlier
-elsewhere is removed.
+"""Substring deduplication by runs of words at the bounds of sentences.
+
+A text is cut into sentences. At every bound half of ``min_words`` words are
+hashed forward and as many backward. A repeated passage of ``min_words`` words
+has that many on one side of each bound inside it, so its whole sentences are
+covered by runs inside it, wherever its own ends cut a sentence. A sentence too
+long for two runs to cover is a run itself. Runs are brought together by their
+128-bit hash, and every sentence whose words all lie under runs that stand
+earlier elsewhere is removed.
 """
 
 from __future__ import annotations
@@ -27,9 +28,7 @@ MIN_WORDS = 40
 BATCH_BYTES = 16 << 20
 # After a stop and white space, or at a line's end.
 _BOUNDARY = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
-_INVERSES = np.array([pow(int(f), -1, 1 << 64) for f in _FACTORS], dtype=np.uint64)
-# A span packs its first sentence, its number of sentences and a tag of the text.
+# A span packs its first word, its number of words and a tag of the text.
 _START, _COUNT, _TAG = 26, 10, 27
 
 
@@ -44,42 +43,30 @@ def _tag(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) & ((1 << _TAG) - 1)
 
 
-def _powers(factors: np.ndarray, n: int) -> np.ndarray:
-    """The factors to the powers 0 to n - 1, modulo 2^64."""
-    steps = np.broadcast_to(factors, (n, 2)).copy()
-    steps[0] = 1
-    return np.cumprod(steps, axis=0, dtype=np.uint64)
+def _half(min_words: int) -> int:
+    return -(-min_words // 2)
 
 
 def runs_of(pieces: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(first, number, hashes)`` of the runs of a text's sentences.
+    """``(first, number, hashes)`` of the runs of words of a text's sentences.
 
-    Words are compared without regard to A-Z case and white space. Pieces
-    without words belong to no run.
+    Words are compared without regard to A-Z case and white space. Equal words
+    at one place are one run.
     """
-    words = [p.lower().split() for p in pieces]
-    at = np.array([i for i, w in enumerate(words) if w], dtype=np.int64)
-    total = np.cumsum([0, *(len(words[i]) for i in at)])
-    if total[-1] < min_words:
+    words, bounds = [], [0]
+    for piece in pieces:
+        words += piece.lower().split()
+        if len(words) > bounds[-1]:
+            bounds.append(len(words))
+    if len(words) < min_words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    digests = [xxhash.xxh3_128_intdigest(b" ".join(words[i])) for i in at]
-    single = np.array([(d & 0xFFFFFFFFFFFFFFFF, d >> 64) for d in digests], dtype=np.uint64)
-    n = len(at)
-    forward = np.searchsorted(total, total[:-1] + min_words)  # one past the last sentence
-    backward = np.searchsorted(total, total[1:] - min_words, "right") - 1
-    ok, back = np.flatnonzero(forward <= n), np.flatnonzero(backward >= 0)
-    code = np.unique(np.concatenate([ok * (n + 1) + forward[ok], backward[back] * (n + 1) + back + 1]))
-    first, stop = code // (n + 1), code % (n + 1)
-    # Sums of hash * factor^place; a factor has an inverse, which undoes the shift.
-    with np.errstate(over="ignore"):
-        sums = np.zeros((n + 1, 2), dtype=np.uint64)
-        sums[1:] = np.cumsum(single * _powers(_FACTORS, n), axis=0, dtype=np.uint64)
-        value = (sums[stop] - sums[first]) * _powers(_INVERSES, n)[first]
-        value ^= value >> np.uint64(29)
-        value = value * np.uint64(0xBF58476D1CE4E5B9) + (stop - first).astype(np.uint64)[:, None]
-        value ^= value >> np.uint64(32)
-    # Spans are kept in numbers of pieces; the pieces between have no words.
-    return at[first], at[stop - 1] - at[first] + 1, value
+    half = _half(min_words)
+    places = {(b, half) for b in bounds if b + half <= len(words)}
+    places.update((b - half, half) for b in bounds if b >= half)
+    places.update((a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 2 * half)
+    digests = b"".join([xxhash.xxh3_128_digest(b" ".join(words[a : a + n])) for a, n in places])
+    first, number = np.array(list(places), dtype=np.int64).T
+    return first, number, np.frombuffer(digests, np.uint64).reshape(-1, 2)
 
 
 def _spans(base: DataFrame, min_words: int) -> DataFrame:
@@ -150,6 +137,11 @@ def drop_repeated_spans(
     """All rows and columns of ``docs`` with the sentences under a repeated run
     removed from the text, and ``n_sentences`` and ``n_removed`` behind them.
 
+    Every whole sentence inside a repeated passage of ``min_words`` words or more
+    goes, also where the passage begins or ends within a sentence; those cut
+    sentences stay. A shorter passage goes where it holds half as many words
+    from a bound of sentences on, or up to one.
+
     The first place of a run is the one of the smallest id (NULL last), then the
     earliest in its text; runs may repeat within a text. A NULL text stays NULL,
     with no sentences. A text with fewer than ``min_words`` words has no run.
@@ -159,7 +151,7 @@ def drop_repeated_spans(
     if not 0 < min_words < 1 << _COUNT:
         raise ValueError(f"min_words must be between 1 and {(1 << _COUNT) - 1}")
     repeats = _repeats(_spans(texts_of(docs, id_col, text_col), min_words))
-    # At most two runs for each sentence of one text.
+    # At most three runs for each sentence of one text.
     found = repeats.groupBy("doc").agg(F.collect_set("span").alias("spans"))
     place, at = docs.columns.index(text_col), docs.columns.index(id_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -168,11 +160,13 @@ def drop_repeated_spans(
     fields = [T.StructField(f.name, T.StringType() if i == place else f.dataType) for i, f in enumerate(docs.schema)]
     schema = T.StructType([*fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
+    half = _half(min_words)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
             for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(fields)).to_pylist(), strict=True):
-                kept, n, gone = _without(text, spans or [])
+                kept, n, gone = _without(text, spans or [], half)
                 texts.append(kept)
                 counts.append(n)
                 removed.append(gone)
@@ -183,19 +177,28 @@ def drop_repeated_spans(
     return joined.mapInArrow(cut, schema)
 
 
-def _without(text: bytes | None, spans: list[int]) -> tuple[str | None, int, int]:
+def _without(text: bytes | None, spans: list[int], half: int) -> tuple[str | None, int, int]:
     """The text without the sentences under the spans, its number of sentences
     and how many went."""
     if text is None:
         return None, 0, 0
     pieces = sentences(text)
-    edge = np.zeros(len(pieces) + 1, dtype=np.int64)
     tag = _tag(text) if spans else 0
-    for span in spans:
-        if span & ((1 << _TAG) - 1) == tag:
-            start = span >> (_COUNT + _TAG)
-            edge[start] += 1
-            edge[start + ((span >> _TAG) & ((1 << _COUNT) - 1))] -= 1
-    gone = np.cumsum(edge)[:-1] > 0
-    kept = b"".join(p for p, g in zip(pieces, gone, strict=True) if not g) if gone.any() else text
+    mine = [s for s in spans if s & ((1 << _TAG) - 1) == tag]
+    if not mine:
+        return text.decode("utf-8"), len(pieces), 0
+    ends = np.cumsum([len(p.split()) for p in pieces])
+    edge = np.zeros(ends[-1] + 1, dtype=np.int64)
+    for span in mine:
+        start, number = span >> (_COUNT + _TAG), (span >> _TAG) & ((1 << _COUNT) - 1)
+        edge[start] += 1
+        # What is longer is a whole sentence.
+        edge[start + number if number <= half else ends[np.searchsorted(ends, start, "right")]] -= 1
+    bare = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] == 0)])
+    starts = np.concatenate([[0], ends[:-1]])
+    gone = bare[ends] == bare[starts]
+    # A piece without words goes with the words around it.
+    for i in np.flatnonzero(ends == starts):
+        gone[i] = 0 < ends[i] < ends[-1] and bare[ends[i] + 1] == bare[ends[i] - 1]
+    kept = b"".join(p for p, g in zip(pieces, gone, strict=True) if not g)
     return kept.decode("utf-8"), len(pieces), int(gone.sum())

@@ -220,6 +220,24 @@ def test_long_copy_loses_everything(docs):
     assert found[6][0].n_removed == 0 and found[7][0].text == ""
 
 
+def test_passage_whose_ends_cut_sentences(spark):
+    a, b, c, d = ([f"{k}{i}" for i in range(n)] for k, n in (("a", 21), ("b", 8), ("c", 90), ("d", 21)))
+    middle = " ".join(b) + ". " + " ".join(c) + ". "
+    short, long = (" ".join(a) + ". " + m + " ".join(d) for m in (" ".join(b) + ". ", middle))
+    rows = [
+        (1, f"One begins so {short} and goes on."),
+        (2, f"Two has another head {short} or another end."),
+        (3, f"Three {long} is long."),
+        (4, f"Four, also {long} with one more word."),
+        (5, "Clean words. " + " ".join(a[:19]) + ". And more."),
+    ]
+    found = by_id(drop_repeated_spans(documents(spark, rows)))
+    assert [found[i][0].n_removed for i in range(1, 6)] == [0, 1, 1, 2, 0]
+    assert found[2][0].text == rows[1][1].replace(" ".join(b) + ". ", "")
+    assert found[4][0].text == rows[3][1].replace(middle, "")
+    assert found[5][0].text == rows[4][1]
+
+
 def shingles(text, width):
     w = re.findall(WORD, lower(text))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
