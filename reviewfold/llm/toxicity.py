@@ -17,6 +17,7 @@ kernel.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,20 +41,39 @@ TELLING, FREQUENT = 80, 24
 REFITS = 2
 BATCH_BYTES = 8 << 20
 _DECAY = 0.75
-_LETTERS = 28  # 0 for a gap, a to z, one for any letter beyond ASCII
+_LATIN = 27  # 0 for a gap, a to z; the symbols from here on are for other scripts
+_OTHERS = 256 - _LATIN
+# Latin triples have a place each, those with other symbols share so many.
+_HASHED = 16
+_TRIPLES = _LATIN**3 + (1 << _HASHED)
 _WINDOW, _STRIDE, _SPAN = 24, 12, 9
 _REMEMBERED = 1_000_000
 # Runs of so many single letters are read as one word with gaps.
 _SPELLED = 4
 
-_TABLE = bytes(c - 96 if 97 <= c <= 122 else 27 if c >= 0xC0 else 0 for c in range(256))
-_CONTINUATION = bytes(range(0x80, 0xC0))
+_TABLE = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
+_BASES = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
+
+
+@lru_cache(maxsize=1 << 16)
+def _symbols(char: str) -> bytes:
+    """Letter numbers of a character: Latin by its base letter, punctuation and
+    digits as a gap, others by code point, so letters near each other differ."""
+    base = _BASES.get(char) or unicodedata.normalize("NFKD", char)[0]
+    if base.isascii():
+        return base.encode().translate(_TABLE)
+    if 0x300 <= ord(char) < 0x370:  # an accent without a composed letter
+        return b""
+    return b"\0" if unicodedata.category(char)[0] in "PZCN" else bytes([_LATIN + ord(char) % _OTHERS])
 
 
 def unit_of(token: bytes) -> bytes:
     """A lower-case token as letter numbers; what is no letter is a gap, and
     gaps at the ends are cut off."""
-    return token.translate(_TABLE, _CONTINUATION).strip(b"\0")
+    if token.isascii():
+        return token.translate(_TABLE).strip(b"\0")
+    text = unicodedata.normalize("NFKC", token.decode("utf-8", "replace")).lower()
+    return b"".join(map(_symbols, unicodedata.normalize("NFC", text))).strip(b"\0")
 
 
 @lru_cache(maxsize=64)
@@ -71,6 +91,15 @@ def _windows(unit: bytes) -> list[bytes]:
     return [unit[a : a + _WINDOW] for a in range(0, len(unit) - _WINDOW + _STRIDE, _STRIDE)]
 
 
+def _codes(a: np.ndarray, b: np.ndarray, d: np.ndarray, latin: bool) -> np.ndarray:
+    """Places of triples of letters in a vector of subsequences."""
+    plain = (a * _LATIN + b) * _LATIN + d
+    if latin:
+        return plain
+    mixed = ((a << 16 | b << 8 | d).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - _HASHED)
+    return np.where((a < _LATIN) & (b < _LATIN) & (d < _LATIN), plain, _LATIN**3 + mixed.astype(np.int32))
+
+
 def _subsequences(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(rows, codes, weights)`` for the units of each length; a subsequence
     with a gap in it has weight 0."""
@@ -81,7 +110,7 @@ def _subsequences(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
         for part in np.array_split(mine, max(1, len(mine) * len(i) // 4_000_000)):
             c = np.frombuffer(b"".join([units[r] for r in part]), np.uint8).reshape(-1, n).astype(np.int32)
             a, b, d = c[:, i], c[:, j], c[:, k]
-            yield part, (a * _LETTERS + b) * _LETTERS + d, np.where((a > 0) & (b > 0) & (d > 0), weight, np.float32(0))
+            yield part, _codes(a, b, d, bool(c.max() < _LATIN)), np.where((a > 0) & (b > 0) & (d > 0), weight, np.float32(0))
 
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -97,7 +126,7 @@ def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _vectors(units: list[bytes]) -> np.ndarray:
     """Normalised subsequence vectors of a few units."""
-    out = np.zeros((len(units), _LETTERS**3))
+    out = np.zeros((len(units), _TRIPLES))
     for rows, codes, weights in _subsequences(units):
         for r, c, w in zip(rows, codes, weights, strict=True):
             np.add.at(out[r], c, w)
@@ -117,11 +146,17 @@ def kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
+def _single(token: bytes) -> bool:
+    """Whether a token is one character."""
+    head = token[0]
+    return len(token) == (1 if head < 0x80 else 2 if head < 0xE0 else 3 if head < 0xF0 else 4)
+
+
 def _spelled(tokens: list[bytes]) -> list[bytes]:
     """Runs of single letters, each as one token with gaps."""
     runs, run = [], []
     for token in [*tokens, b""]:
-        if len(token) == 1 and token.isalpha():
+        if token and _single(token) and unit_of(token):
             run.append(token)
         else:
             if len(run) >= _SPELLED:
@@ -132,11 +167,14 @@ def _spelled(tokens: list[bytes]) -> list[bytes]:
 
 def _tokens(text: bytes) -> list[bytes]:
     tokens = text.lower().split()
-    return tokens + _spelled(tokens) if _has_spelled(tokens) else tokens
+    return tokens + _spelled(tokens) if _has_spelled(tokens, text.isascii()) else tokens
 
 
-def _has_spelled(tokens: list[bytes]) -> bool:
-    single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+def _has_spelled(tokens: list[bytes], ascii_only: bool) -> bool:
+    if ascii_only:
+        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+    else:
+        single = np.fromiter((len(t) <= 4 and _single(t) for t in tokens), bool, len(tokens))
     return bool(len(single) >= _SPELLED and (np.convolve(single, np.ones(_SPELLED, int), "valid") == _SPELLED).any())
 
 
@@ -322,7 +360,7 @@ def fit_toxicity(
     classes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     n_texts, toxic = sum(classes.values()), classes.get(1, 0)
     if toxic in (0, n_texts):
-        return ToxicityModel(np.zeros(_LETTERS**3), 0.0, 700.0 if toxic else -700.0)
+        return ToxicityModel(np.zeros(_TRIPLES), 0.0, 700.0 if toxic else -700.0)
     counts = stored(_label_counts(texts), "label-counts")
     both = F.col("positive") + F.col("negative")
     rate = toxic / n_texts

@@ -76,6 +76,41 @@ def test_gaps_and_awkward_texts(spark, model):
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8]
 
 
+SCRIPTS = {
+    "cyrillic": ("абвгдежзиклмнопрстуфхцчшыьэюя", ["дурачина", "негодяй", "мерзавец"]),
+    "greek": ("αβγδεζηθικλμνξοπρστυφχψω", ["παλιάνθρωπος", "ηλίθιος", "κάθαρμα"]),
+    "arabic": ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", ["احمقكبير", "وغدحقير", "سافلجدا"]),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_other_scripts(spark, script):
+    letters, insults = SCRIPTS[script]
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices(letters, k=rng.randrange(2, 10))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(300):
+        text = rng.choices(vocabulary, k=40)
+        if i % 4 == 0:
+            text.insert(rng.randrange(40), rng.choice(insults))
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    word = insults[1]
+    rows += [(1000, f"{vocabulary[0]} {word.upper()}"), (1001, f"{word[:3]}.{word[3:]}"), (1002, " ".join(word)), (1003, vocabulary[1])]
+    docs = documents(spark, rows)
+    fitted = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), train=F.col("doc") % 5 != 0)
+    scored = {r.doc_id: r.predicted for r in fitted.score(docs).collect()}
+    held = [i for i in range(300) if i % 5 == 0]
+    assert np.mean([scored[i] == (i % 4 == 0) for i in held]) >= 0.97
+    assert [scored[i] for i in range(1000, 1004)] == [1, 1, 1, 0]
+
+
+def test_letters_beyond_ascii():
+    assert unit_of("café".encode()) == unit_of("cafe\u0301".encode()) == unit_of(b"cafe")
+    assert unit_of("ДУРАК".encode()) == unit_of("дурак".encode()) != unit_of("дуран".encode())
+    assert unit_of("«дурак»…".encode()) == unit_of("дурак".encode())
+
+
 @pytest.mark.parametrize("labels, score", [([], 0.0), ([(1, 1)], 1.0), ([(1, 0), (2, None)], 0.0)])
 def test_degenerate_labels(spark, labels, score):
     docs = documents(spark, [(1, "some text"), (2, None)])
