@@ -342,8 +342,11 @@ def near_duplicates(
     Texts are linked with ``100 * intersection >= threshold * union`` of their
     sets of ``width``-word shingles. A NULL, empty or blank text has no
     shingles and is linked with nothing. Repeated rows are one class. An empty
-    table gives no rows.
+    table gives no rows. The radius ``R`` holds for thresholds from 80 on; a
+    lower one is an error.
     """
+    if threshold < 80:
+        raise ValueError("threshold must be 80 or more: the signatures do not reach less similar texts")
     base = texts_of(docs, id_col, text_col)
     sketches = stored(_sketches(base, width), "sketches")
     grouped = sketches.filter("n > 0").groupBy("klass").agg(

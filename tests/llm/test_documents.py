@@ -375,6 +375,11 @@ def test_only_null_texts(spark, name):
     assert len(rows) == (1 if name == "drop_copies" else 3)
 
 
+def test_threshold_below_the_radius_is_an_error(docs):
+    with pytest.raises(ValueError, match="threshold"):
+        near_duplicates(docs, threshold=60)
+
+
 def test_constants_hold():
     assert BUNDLE_BYTES > 0 and len(set(CLASHING)) == len(CLASHING)
     assert 2 * near_dup.CHUNKS > near_dup.R
