@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewfold.llm.common import crc_mod, read_table
 from reviewfold.llm.content_sort import content_groups
+from reviewfold.llm.divergence import source_divergence
 from reviewfold.llm.near_dup import near_duplicates
 from reviewfold.llm.ngram_model import score_texts
 from reviewfold.llm.packing import pack
@@ -130,10 +131,59 @@ group by d.doc_id, s.n
 """
 
 
+def op11_translate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents
+), w as (
+  select row, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from (select row, lang, source, unnest(words) as word from d)
+), kept as (
+  select lang, term, count(*) as total from w group by lang, term having count(distinct row) >= 3
+), langs as (
+  select d.lang, (select count(*) from kept k where k.lang = d.lang) as v,
+         (select coalesce(sum(total), 0) from kept k where k.lang = d.lang) as n
+  from (select distinct lang from d) d
+), counts as (
+  select w.lang, w.source, w.term, count(*) as n from w join kept using (lang, term) group by all
+), groups as (
+  select g.lang, g.source, l.v, coalesce(sum(c.n), 0) as n
+  from (select distinct lang, source from d) g join langs l using (lang)
+  left join counts c on c.lang = g.lang and c.source = g.source group by g.lang, g.source, l.v
+), probs as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         1 + cast(1000000000 * (coalesce(c.n, 0) + 1) as hugeint) // cast(g.n + g.v as hugeint) as p,
+         1 + cast(1000000000 * (k.total + 1) as hugeint) // cast(l.n + l.v as hugeint) as q
+  from groups g join kept k using (lang) join langs l using (lang)
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value
+  from probs where n > 0 and p > q
+), sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from probs a join probs b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank
+  from (select * from pairs union all select * from terms)
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 200
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_threshold_search, op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join)
+    named = (op1_threshold_search, op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join, op11_translate_audit)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_threshold_search": OP1_SQL, "op4_content_sort": OP4_SQL, "op10_hamming_join": OP10_SQL}
+    return {"op1_threshold_search": OP1_SQL, "op4_content_sort": OP4_SQL, "op10_hamming_join": OP10_SQL, "op11_translate_audit": OP11_SQL}
