@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewfold.llm.common import crc_mod, read_table
 from reviewfold.llm.content_sort import content_groups
 from reviewfold.llm.divergence import source_divergence
+from reviewfold.llm.language_id import fit_language_id
 from reviewfold.llm.near_dup import near_duplicates
 from reviewfold.llm.ngram_model import score_texts
 from reviewfold.llm.packing import pack
@@ -180,8 +181,14 @@ from ranked where part = 'pair' or rank <= 200
 """
 
 
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit_language_id(docs, train=crc_mod("doc", 5) != 0)
+    return model.predict(docs).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_threshold_search, op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join, op11_translate_audit)
+    named = (op1_threshold_search, op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join, op11_translate_audit, op12_kneser_ney)
     return {f.__name__: f for f in named}
 
 
