@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewfold.llm.alignment import align_tokens
 from reviewfold.llm.common import crc_mod, read_table
 from reviewfold.llm.content_sort import content_groups
 from reviewfold.llm.divergence import source_divergence
@@ -187,8 +188,12 @@ def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs).withColumn("held_out", crc_mod("doc_id", 5) == 0)
 
 
+def op13_merge_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_threshold_search, op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join, op11_translate_audit, op12_kneser_ney)
+    named = (op1_threshold_search, op2_bloom_model, op3_sentence_spans, op4_content_sort, op5_token_counts, op6_word_table, op7_best_fit, op8_string_kernel, op9_jump_shards, op10_hamming_join, op11_translate_audit, op12_kneser_ney, op13_merge_asof)
     return {f.__name__: f for f in named}
 
 
