@@ -145,7 +145,9 @@ def fit_logistic(
 
     ``C`` weighs the summed loss against half the squared norm, so the penalty
     on the mean loss is ``1 / (C n)``. With ``penalize_intercept`` the intercept
-    is a constant feature and shrinks like any weight.
+    is a constant feature; Spark's solver leaves the weight of a feature without
+    variance at 0, so such a model has no intercept. ``linear.fit_term_logistic``
+    fits a penalized intercept, and keeps terms and weights in tables.
     """
     features = fit_tfidf(train, text, stop_words, **tfidf)
     stages = list(features.stages)

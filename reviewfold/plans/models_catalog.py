@@ -1,9 +1,10 @@
 """Queries that fit and apply classifiers.
 
-Fitted numbers have no SQL form. The ``checked_`` queries return what must hold
-for every row whatever the numbers are: that no row is lost, that classes and
-names follow from the probabilities, that a saved model gives the same results.
-The tests check the values on small fixtures."""
+Fitted numbers have no SQL form. The ``certified_`` queries return what only the
+optimum fulfils, computed from the exported weights and the texts; the ``checked_``
+queries what must hold for every row whatever the numbers are: that no row is lost,
+that classes and names follow from the probabilities, that a saved model gives the
+same results. The tests check the values on small fixtures."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewfold.functions.labels import CLASS_NAME, case_map
-from reviewfold.operators import models
+from reviewfold.operators import linear, models
 from reviewfold.operators.aggregates import label_counts, rate_column
 from reviewfold.operators.joins import join_labels
 from reviewfold.operators.projections import resolve_label
@@ -20,16 +21,19 @@ from reviewfold.operators.split import holdout_split
 from reviewfold.plans.inputs import DIMS, SEED, STOP_WORDS, TEST_SIZE, Inputs
 from reviewfold.plans.registry import query, rounded
 from reviewfold.plans.storage_catalog import evaluated
-from reviewfold.sources.tables import load_model, save_model
 from reviewfold.storage import new_path
 
 
+#: Runs of the repeated holdout, and weight of the loss against the penalty.
+RUNS, PENALTY = 200, 2.5
+
+
 def _split(t: Inputs) -> tuple[DataFrame, DataFrame]:
     return holdout_split(t.labelled.select("review_id", "clean", "label"), "review_id", TEST_SIZE, SEED)
 
 
-def _fit(train: DataFrame):
-    return models.fit_logistic(train, "clean", stop_words=STOP_WORDS)
+def _fit(train: DataFrame) -> linear.TermLogistic:
+    return linear.fit_term_logistic(train, "review_id", "clean", C=PENALTY, stop_words=STOP_WORDS)
 
 
 def _predictions(df: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def _predictions(df: DataFrame) -> DataFrame:
 @query("logistic_predict")
 def logistic_predict(t: Inputs) -> DataFrame:
     train, test = _split(t)
-    return rounded(models.score(test, _fit(train), ["review_id", "label"]), "prob")
+    return rounded(_fit(train).score(test, "review_id", "clean", ["label"]), "prob")
 
 
 @query("rbf_svm_predict")
@@ -61,15 +65,15 @@ def embedding_mlp(t: Inputs) -> DataFrame:
 def score_reviews(t: Inputs) -> DataFrame:
     """Fit on all labelled reviews and score every review."""
     texts = t.predictions.select("review_id", F.lower(F.translate("review", ".,?!", "")).alias("clean"))
-    return rounded(models.score(texts.filter(F.col("clean").isNotNull()), _fit(t.labelled), ["review_id"]), "prob")
+    return rounded(_fit(t.labelled).score(texts.filter(F.col("clean").isNotNull()), "review_id", "clean"), "prob")
 
 
 @query("model_roundtrip")
 def model_roundtrip(t: Inputs) -> DataFrame:
     train, test = _split(t)
     path = new_path(t.spark, "model")
-    save_model(_fit(train), path)
-    return rounded(models.score(test, load_model(path), ["review_id", "label"]), "prob")
+    _fit(train).save(path)
+    return rounded(linear.TermLogistic.load(path).score(test, "review_id", "clean", ["label"]), "prob")
 
 
 _METRICS = (
@@ -96,14 +100,21 @@ def f1_score(t: Inputs) -> DataFrame:
 
 @query("repeated_holdout")
 def repeated_holdout(t: Inputs) -> DataFrame:
+    """All runs in one loop of passes."""
     rows = t.labelled.select("review_id", "clean", "label")
-    return models.repeated_holdout(rows, "review_id", _fit, runs=2, log_path=new_path(t.spark, "runs"))
+    return linear.holdout_runs(rows, "review_id", "clean", RUNS, test_size=TEST_SIZE, seed=SEED, stop_words=STOP_WORDS)
+
+
+@query("holdout_summary")
+def holdout_summary(t: Inputs) -> DataFrame:
+    """Mean, spread and interval of the metrics over the runs."""
+    return linear.summarize_runs(repeated_holdout(t), ("accuracy", "precision", "recall", "f1"))
 
 
 @query("token_attribution")
 def token_attribution(t: Inputs) -> DataFrame:
     train, test = _split(t)
-    return models.token_attribution(test, _fit(train), "review_id")
+    return _fit(train).attribution(test, "review_id", "clean")
 
 
 _TEST_ROWS = "select review_id, label, true as consistent from p_labelled where is_test"
@@ -121,7 +132,7 @@ def _consistent(df: DataFrame, probability: str | None = None) -> DataFrame:
 @query("checked_logistic", _TEST_ROWS)
 def checked_logistic(t: Inputs) -> DataFrame:
     train, test = _split(t)
-    scored = models.score(test, _fit(train), ["review_id", "label"])
+    scored = _fit(train).score(test, "review_id", "clean", ["label"])
     named = case_map(F.col("class"), CLASS_NAME) == F.col("predicted")
     right = (F.col("class") == F.rint("prob")) & named & F.col("prob").between(0, 1)
     return scored.select("review_id", "label", F.coalesce(right, F.lit(False)).alias("consistent"))
@@ -156,26 +167,38 @@ def checked_roundtrip(t: Inputs) -> DataFrame:
     """Scores of a model before it is saved and after it is loaded."""
     train, test = _split(t)
     path, model = new_path(t.spark, "model"), _fit(train)
-    save_model(model, path)
-    before = models.score(test, model, ["review_id", "label"])
-    after = models.score(test, load_model(path), ["review_id"]).select("review_id", F.col("prob").alias("again"))
-    return before.join(after, "review_id").select("review_id", "label", (F.col("prob") == F.col("again")).alias("same"))
+    model.save(path)
+    before = model.score(test, "review_id", "clean", ["label"])
+    again = linear.TermLogistic.load(path).score(test, "review_id", "clean")
+    after = again.select("review_id", F.col("prob").alias("again"))
+    same = F.abs(F.col("prob") - F.col("again")) < 1e-12
+    return before.join(after, "review_id").select("review_id", "label", same.alias("same"))
 
 
 @query(
     "checked_holdout_runs",
-    "select cast(run as int) as run, (select count(*) from p_labelled where is_test) as n from range(2) runs(run)",
+    "select cast(run as int) as run, (select count(*) from p_labelled where is_test) as n from range(200) runs(run)",
 )
 def checked_holdout_runs(t: Inputs) -> DataFrame:
     return repeated_holdout(t).select("run", "n")
 
 
-@query(
-    "checked_attribution",
+_KEPT = (
     "with p_df as (select term from p_clean_terms where not is_test group by term having count(*) >= 2 "
     "and count(*) <= 0.95 * (select count(*) from p_labelled where not is_test)) "
-    "select review_id, term from p_clean_terms join p_df using (term) where is_test",
 )
+
+
+@query("certified_logistic", _KEPT + "select term, true as stationary from p_df union all select null, true")
+def certified_logistic(t: Inputs) -> DataFrame:
+    """The gradient of the loss is 0 in each weight and in the intercept, so the weights
+    are the only minimum. It is computed from the texts and the table of weights."""
+    train, _ = _split(t)
+    slopes = _fit(train).gradient(train, "review_id", "clean", "label", PENALTY)
+    return slopes.select("term", (F.abs("gradient") < 1e-7).alias("stationary"))
+
+
+@query("checked_attribution", _KEPT + "select review_id, term from p_clean_terms join p_df using (term) where is_test")
 def checked_attribution(t: Inputs) -> DataFrame:
     """Every kept term of every test review has an attribution."""
     return token_attribution(t).filter(F.col("attribution") >= 0).select("review_id", "term")
