@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,9 +32,6 @@ from reviewfold.llm.spans import sentences
 
 #: Labelled texts used to fit, chosen by a hash of the id; all if there are fewer.
 FIT_TEXTS = 8000
-#: Words of those texts that become instances: so many of the most frequent, so
-#: many with a landmark in them and so many others.
-FIT_WORDS = 20_000
 #: Landmarks: words and four-letter stretches telling of the label, and frequent words.
 TELLING, FREQUENT = 80, 24
 #: Fits after the first.
@@ -124,26 +121,43 @@ def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(starts // codes.shape[1], squares, minlength=len(codes)))
 
 
-def _vectors(units: list[bytes]) -> np.ndarray:
-    """Normalised subsequence vectors of a few units."""
-    out = np.zeros((len(units), _TRIPLES))
-    for rows, codes, weights in _subsequences(units):
-        for r, c, w in zip(rows, codes, weights, strict=True):
-            np.add.at(out[r], c, w)
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(length > 0, length, 1.0)
+class Landmarks:
+    """Normalised vectors of a few units over the subsequences that occur in them."""
+
+    def __init__(self, units: list[bytes]):
+        self.units = tuple(units)
+        found = list(_subsequences(units))
+        self.codes = np.unique(np.concatenate([c.ravel() for _, c, _ in found] or [np.zeros(0, np.int32)]))
+        self.table = np.zeros((len(self.codes), len(units)))
+        for rows, codes, weights in found:
+            at = np.searchsorted(self.codes, codes)
+            np.add.at(self.table, (at, np.broadcast_to(rows[:, None], at.shape)), weights)
+        length = np.linalg.norm(self.table, axis=0)
+        self.table /= np.where(length > 0, length, 1.0)
+
+    def kernel(self, units: list[bytes]) -> np.ndarray:
+        """Normalised kernel of every unit with every landmark."""
+        place = np.full(_TRIPLES, len(self.codes), dtype=np.int32)
+        place[self.codes] = np.arange(len(self.codes))
+        table = np.vstack([self.table, np.zeros((1, len(self.units)))]).astype(np.float32)
+        out = np.zeros((len(units), len(self.units)))
+        for rows, codes, weights in _subsequences(units):
+            norms = _norms(codes, weights)
+            for part in np.array_split(np.arange(len(rows)), max(1, codes.size // 50_000)):
+                raw = np.einsum("rt,rtl->rl", weights[part], table[place[codes[part]]])
+                out[rows[part]] = raw / np.where(norms[part] > 0, norms[part], 1.0)[:, None]
+        return out
+
+    def spread(self, weights: np.ndarray) -> np.ndarray:
+        """Weight of every subsequence from the weights of the landmarks."""
+        out = np.zeros(_TRIPLES)
+        out[self.codes] = self.table @ weights
+        return out
 
 
 def kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     """Normalised kernel of every unit with every landmark."""
-    table = np.ascontiguousarray(_vectors(landmarks).T.astype(np.float32))
-    out = np.zeros((len(units), len(landmarks)))
-    for rows, codes, weights in _subsequences(units):
-        norms = _norms(codes, weights)
-        for part in np.array_split(np.arange(len(rows)), max(1, codes.size // 50_000)):
-            raw = np.einsum("rt,rtl->rl", weights[part], table[codes[part]])
-            out[rows[part]] = raw / np.where(norms[part] > 0, norms[part], 1.0)[:, None]
-    return out
+    return Landmarks(landmarks).kernel(units)
 
 
 def _single(token: bytes) -> bool:
@@ -215,28 +229,67 @@ class _Margins(dict):
         return np.array([max(margin[i] for i in o) for o in owner])
 
 
-def _fit_svm(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, c: float = 1.0) -> np.ndarray:
-    """Squared hinge loss by Newton steps; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
+def _features(counts: DataFrame, landmarks: Landmarks, whiten: np.ndarray) -> DataFrame:
+    """``(unit, positive, negative, x)``: the Nyström features of every word, on the executors."""
+    shared = counts.sparkSession.sparkContext.broadcast((landmarks, whiten))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, turn = shared.value
+        for batch in batches:
+            x = (marks.kernel(batch.column("unit").to_pylist()) @ turn).astype("<f4")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=[*batch.schema.names, "x"])
+
+    rows = counts.select("unit", "positive", "negative")
+    return rows.mapInArrow(project, "unit binary, positive long, negative long, x binary")
+
+
+def _hinge_sums(features: DataFrame, w: np.ndarray, worst: dict[bytes, int] | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the squared hinge over all words. A task sends back
+    one matrix of the features' size. ``worst`` replaces the positive counts."""
+    d = len(w)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, gradient, hessian = 0.0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "<f4").reshape(batch.num_rows, d - 1)
+            x = np.hstack([x, np.ones((len(x), 1))])
+            positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(float)
+            if worst is not None:
+                positive = np.array([worst.get(u, 0) for u in batch.column("unit").to_pylist()], dtype=float)
+            negative = batch.column("negative").to_numpy(zero_copy_only=False).astype(float)
+            f = x @ w
+            loss += float((positive * np.maximum(0, 1 - f) ** 2 + negative * np.maximum(0, 1 + f) ** 2).sum())
+            p, n = positive * (f < 1), negative * (f > -1)
+            gradient += 2 * x.T @ (p * (f - 1) + n * (f + 1))
+            hessian += 2 * (x * (p + n)[:, None]).T @ x
+        sums = np.concatenate([[loss], gradient, hessian.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    parts = features.mapInArrow(add, "sums binary").toArrow().column("sums").to_pylist()
+    total = sum((np.frombuffer(part) for part in parts), np.zeros(1 + d + d * d))
+    return float(total[0]), total[1 : d + 1], total[d + 1 :].reshape(d, d)
+
+
+def _fit_svm(features: DataFrame, d: int, worst: dict[bytes, int] | None, c: float = 1.0) -> np.ndarray:
+    """Squared hinge loss by Newton steps, a job each; the last weight is the intercept."""
+    ridge = np.eye(d + 1)
     ridge[-1, -1] = 1e-6
 
-    def loss(v: np.ndarray) -> float:
-        f = x @ v
-        hinge = positive * np.maximum(0, 1 - f) ** 2 + negative * np.maximum(0, 1 + f) ** 2
-        return 0.5 * v @ ridge @ v + c * hinge.sum()
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, gradient, hessian = _hinge_sums(features, v, worst)
+        return 0.5 * v @ ridge @ v + c * loss, ridge @ v + c * gradient, ridge + c * hessian
 
+    w = np.zeros(d + 1)
+    now = at(w)
     for _ in range(50):
-        f = x @ w
-        p, n = positive * (f < 1), negative * (f > -1)
-        gradient = ridge @ w + 2 * c * x.T @ (p * (f - 1) + n * (f + 1))
-        step = np.linalg.solve(ridge + 2 * c * (x * (p + n)[:, None]).T @ x, gradient)
-        scale, before = 1.0, loss(w)
-        while scale > 1e-4 and loss(w - scale * step) > before:
+        step, scale = np.linalg.solve(now[2], now[1]), 1.0
+        after = at(w - step)
+        while scale > 1e-4 and after[0] > now[0]:
             scale /= 2
-        w = w - scale * step
-        if np.abs(scale * step).max() < 1e-6:
+            after = at(w - scale * step)
+        gained = now[0] - after[0]
+        w, now = w - scale * step, after
+        if gained <= 1e-7 * abs(now[0]) or np.abs(scale * step).max() < 1e-5:
             break
     return w
 
@@ -259,6 +312,9 @@ class ToxicityModel:
     weights: np.ndarray
     slope: float
     offset: float
+    #: The landmarks and their weights: a word's margin is the sum of weight times kernel.
+    landmarks: tuple[bytes, ...] = ()
+    landmark_weights: np.ndarray | None = None
 
     def margins(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """``(doc, margin, unit)`` of every row: its worst word, with margin 0 at least."""
@@ -315,7 +371,7 @@ def _label_counts(texts: DataFrame) -> DataFrame:
             for text, label in zip(batch.column("body").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 seen = set()
                 for sentence in sentences(text):
-                    units = {u for u in map(unit_of, _tokens(sentence)) if 3 <= len(u) <= _WINDOW}
+                    units = {w for u in map(unit_of, _tokens(sentence)) if len(u) >= 3 for w in _windows(u)}
                     seen |= units
                     for unit in units:
                         tally.setdefault((False, unit), [0, 0])[1 - label] += 1
@@ -342,9 +398,10 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on the labelled texts whose id satisfies ``train`` (over ``doc``).
 
-    At most about ``fit_texts`` of them are used, chosen by a hash of the id, so
-    what reaches the driver is bounded: counts of three times ``FIT_WORDS`` words
-    and one margin a text. NULL labels are left out; of several labels of one id the
+    At most about ``fit_texts`` of them are used, chosen by a hash of the id, and
+    every word of these: its features are computed and stored by the executors, and a
+    Newton step brings back one matrix a task. What else reaches the driver is one
+    margin a text. NULL labels are left out; of several labels of one id the
     largest counts. Without any labelled text every score is 0; with one class
     alone it is that class's.
     """
@@ -365,39 +422,29 @@ def fit_toxicity(
     both = F.col("positive") + F.col("negative")
     rate = toxic / n_texts
     excess = (F.col("positive") - rate * both) / F.sqrt(rate * both + 1)
-    words, order = counts.filter("not part"), F.xxhash64("unit")
+    words = counts.filter("not part")
     telling = [
         bytes(r["unit"])
         for rows in (counts.filter("part"), words)
         for r in rows.orderBy(excess.desc(), "unit").limit(TELLING).collect()
     ]
-    holds = F.lit(False)
-    for stretch in telling[:TELLING]:
-        holds = holds | F.contains("unit", F.lit(stretch))
-    picked = words.orderBy(both.desc(), "unit").limit(FIT_WORDS)
-    picked = picked.unionAll(words.filter(holds).orderBy(order).limit(FIT_WORDS)).unionAll(words.orderBy(order).limit(FIT_WORDS))
-    rows = picked.distinct().orderBy(both.desc(), "unit").collect()
-    units = [bytes(r["unit"]) for r in rows]
-    positive, negative = (np.array([r[c] for r in rows], dtype=float) for c in ("positive", "negative"))
-    landmarks = list(dict.fromkeys([*telling, *units[:FREQUENT]]))
-    table = _vectors(landmarks)
-    value, vector = np.linalg.eigh(table @ table.T)
+    frequent = [bytes(r["unit"]) for r in words.orderBy(both.desc(), "unit").limit(FREQUENT).collect()]
+    landmarks = Landmarks(list(dict.fromkeys([*telling, *frequent])))
+    value, vector = np.linalg.eigh(landmarks.table.T @ landmarks.table)
     usable = value > 1e-6 * value.max()
     whiten = vector[:, usable] / np.sqrt(value[usable])
-    features = kernel(units, landmarks) @ whiten
+    features = stored(_features(words, landmarks, whiten), "word-features")
     body = texts.withColumn("body", F.decode("body", "UTF-8"))
-    at = {u: i for i, u in enumerate(units)}
+    worst = None
     # A toxic text need not be toxic in every word: after the first fit only the
     # worst word of each toxic text counts for the label, as in a multiple-instance SVM.
     for _ in range(REFITS + 1):
-        w = _fit_svm(features, positive, negative)
-        model = ToxicityModel((whiten @ w[:-1]) @ table, 0.0, 0.0)
-        margins = model.margins(body, "doc", "body").join(texts.select("doc", "label"), "doc")
-        worst = margins.filter("label = 1 and margin > 0").groupBy("unit").count().collect()
-        positive = np.zeros(len(units))
-        for row in worst:
-            if bytes(row["unit"]) in at:
-                positive[at[bytes(row["unit"])]] = row["count"]
+        given = whiten @ _fit_svm(features, whiten.shape[1], worst)[:-1]
+        model = ToxicityModel(landmarks.spread(given), 0.0, 0.0, landmarks.units, given)
+        margins = stored(model.margins(body, "doc", "body").join(texts.select("doc", "label"), "doc"), "margins")
+        # At most a word per toxic text of the fit.
+        found = margins.filter("label = 1 and margin > 0").groupBy("unit").count().collect()
+        worst = {bytes(r["unit"]): r["count"] for r in found}
     pairs = margins.select("margin", "label").collect()
     slope, offset = _fit_curve(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], dtype=float))
-    return ToxicityModel(model.weights, slope, offset)
+    return replace(model, slope=slope, offset=offset)

@@ -122,3 +122,31 @@ def test_degenerate_labels(spark, labels, score):
 def test_empty_table(spark, model):
     assert model.score(documents(spark, [])).count() == 0
     assert model.without_toxic(documents(spark, [])).count() == 0
+
+
+def test_margin_is_the_sum_over_landmarks(spark, model):
+    """The weights per subsequence give what weights times kernels give."""
+    tokens = ["wretchling", "wr.etchling", "scumbags", "dunderheaded", "banana", "étéwretch", "at"]
+    got = {r.doc: r.margin for r in model.margins(documents(spark, list(enumerate(tokens))), "doc_id", "text").collect()}
+    units = [unit_of(t.encode()) for t in tokens]
+    plain = [sum(w * plain_kernel(u, m) for w, m in zip(model.landmark_weights, model.landmarks, strict=True)) for u in units]
+    assert max(plain) > 0.5
+    assert [got[i] for i in range(len(tokens))] == pytest.approx([max(0.0, p) for p in plain], abs=1e-4)
+
+
+def test_newton_sums_equal_one_dense_product(spark):
+    from reviewfold.llm.toxicity import _hinge_sums
+
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(40, 5)).astype("<f4"), rng.normal(size=6)
+    positive, negative = rng.integers(0, 3, 40), rng.integers(0, 3, 40)
+    rows = [(bytes([65 + i]), int(p), int(n), r.tobytes()) for i, (p, n, r) in enumerate(zip(positive, negative, x, strict=True))]
+    df = spark.createDataFrame(rows, "unit binary, positive long, negative long, x binary").repartition(3)
+    full = np.hstack([x, np.ones((40, 1))])
+    for worst in (None, {b"A": 4, b"C": 1}):
+        p = positive if worst is None else np.array([worst.get(bytes([65 + i]), 0) for i in range(40)])
+        f = full @ w
+        loss, gradient, hessian = _hinge_sums(df, w, worst)
+        assert loss == pytest.approx((p * np.maximum(0, 1 - f) ** 2 + negative * np.maximum(0, 1 + f) ** 2).sum())
+        assert np.allclose(gradient, 2 * full.T @ (p * (f < 1) * (f - 1) + negative * (f > -1) * (f + 1)))
+        assert np.allclose(hessian, 2 * (full * (p * (f < 1) + negative * (f > -1))[:, None]).T @ full)
