@@ -99,9 +99,3 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a NULL id counts as empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(mod))
-
-
-def keep_rows(docs: DataFrame, id_col: str, kept_ids: DataFrame, kept_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept_ids``; NULL matches NULL. All columns stay as they are."""
-    ids = kept_ids.select(F.col(f"`{kept_col}`").alias("__kept_id"))
-    return docs.join(ids, docs[f"`{id_col}`"].eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -372,3 +372,20 @@ def near_duplicates(
         component.alias("component_id"),
         F.col("doc").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each class of near-duplicates, all
+    columns as they are.
+
+    The document with the smallest id stays. A row is told apart by its id and a hash
+    of its text, so an id (NULL too) that occurs with several texts stays with those
+    that are no near copies. Rows without shingles stay, repeated rows stay together,
+    an empty table gives no rows.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = docs.withColumn("__key", F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text")))
+    found = near_duplicates(keyed, "__key", text_col, width, threshold).filter("kept").select("__key").distinct()
+    kept = found.select(F.col("__key.id").alias("__id"), F.col("__key.text").alias("__text"))
+    same = keyed["__key.id"].eqNullSafe(kept["__id"]) & (keyed["__key.text"] == kept["__text"])
+    return keyed.join(kept, same, "left_semi").drop("__key")
