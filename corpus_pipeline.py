@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes
 it as Parquet and reads it again for the next one. All but the last return the
 columns of ``documents``.
+
+In every stage a NULL text counts as empty, NULL and repeated ids lose no row but
+copies, extra columns stay as they are, very long texts are read whole, ties go to the
+smallest id, NULL labels teach nothing, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewfold.llm.common import crc_mod, keep_rows, read_table, stored
+from reviewfold.llm.common import crc_mod, read_table, stored
 from reviewfold.llm.content_sort import drop_copies
-from reviewfold.llm.near_dup import near_duplicates
+from reviewfold.llm.near_dup import drop_near_duplicates
 from reviewfold.llm.packing import pack
 from reviewfold.llm.spans import drop_repeated_spans
 from reviewfold.llm.toxicity import fit_toxicity
@@ -33,8 +37,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: sets of five-word shingles
     with a similarity of 0.8 or more."""
-    found = near_duplicates(docs, width=5, threshold=80)
-    return keep_rows(docs, "doc_id", found.filter("kept"), "doc_id")
+    return drop_near_duplicates(docs, width=5, threshold=80)
 
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
