@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ ACCESS_PREFIX = "pubRstr_"
 PRINT_OPTION = "PRINT"
 ANY_NAME = "ALL"
 
+#: Columns of a table of rules.
+RULE_TABLE = "category string, category_idx int, rule_idx int, options array<string>, keywords array<string>"
+
 _NAME = "_padded_name"
 
 
@@ -73,8 +77,9 @@ def _parsed(spark: SparkSession, rules: Sequence[Rule], strict_prefix: bool) ->
     """What ``parse_options`` makes of the rules, in their order."""
     if not rules:
         return []
-    listed = [(number, list(rule.options)) for number, rule in enumerate(rules)]
-    table = spark.createDataFrame(listed, "number int, options array<string>")
+    # A local table: its projection is evaluated by the optimizer, without a job.
+    listed = pa.array([list(rule.options) for rule in rules], pa.list_(pa.string()))
+    table = spark.createDataFrame(pa.table({"number": pa.array(range(len(rules)), pa.int32()), "options": listed}))
     return sorted(parse_options(table, strict_prefix).collect(), key=lambda row: row.number)
 
 

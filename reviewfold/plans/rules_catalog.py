@@ -9,6 +9,7 @@ from reviewfold.functions.text import contains_word as has_word
 from reviewfold.functions.text import normalize_name as normalized
 from reviewfold.functions.text import padded
 from reviewfold.operators import rules as R
+from reviewfold.operators.rule_index import categorize_by_table
 from reviewfold.plans.inputs import RULES, Inputs
 from reviewfold.plans.registry import query, text_of
 from reviewfold.plans.storage_catalog import loaded_rules
@@ -114,11 +115,22 @@ def keyword_predicate(t: Inputs) -> DataFrame:
     )
 
 
-@query("categorize_first_match", f"with {_MATCHED} select id, name, category, rule_no from p_categorized")
+_FIRST_MATCH = f"with {_MATCHED} select id, name, category, rule_no from p_categorized"
+
+
+@query("categorize_first_match", _FIRST_MATCH)
 def categorize_first_match(t: Inputs) -> DataFrame:
     return R.categorize(t.records, RULES).select("real.id", "real.name", "category", "rule_no")
 
 
+@query("categorize_indexed", _FIRST_MATCH)
+def categorize_indexed(t: Inputs) -> DataFrame:
+    """The same rules as a table, found by an inverted index of their keywords."""
+    rows = [(r.category, r.category_idx, r.rule_idx, list(r.options), list(r.keywords)) for r in RULES]
+    table = t.spark.createDataFrame(rows, R.RULE_TABLE)
+    return categorize_by_table(t.records, table, "real.id").select("real.id", "real.name", "category", "rule_no")
+
+
 @query(
     "categorize_coverage",
     f"with {_MATCHED} select count(category) as assigned, count(*) - count(category) as unassigned from p_categorized",
@@ -163,9 +175,7 @@ def category_fallback(t: Inputs) -> DataFrame:
     return R.with_fallback(R.categorize(t.records, RULES), "poi").select("real.id", "category")
 
 
-@query(
-    "categorize_from_table",
-    """
+_FROM_TABLE = """
     with rules as (
       select p_brand, lower(p_type) as wanted, list(distinct split_part(p_name, ' ', 1)) as keywords,
         row_number() over (order by cast(substr(p_brand, 7) as int), p_type) - 1 as rule_no
@@ -177,9 +187,17 @@ def category_fallback(t: Inputs) -> DataFrame:
     ), first_rule as (select id, min(rule_no) as rule_no from held group by id)
     select r.id, cast(f.rule_no as int) as rule_no, h.p_brand as category
     from p_records r left join first_rule f using (id) left join held h on h.id = f.id and h.rule_no = f.rule_no
-    """,
-)
+    """
+
+
+@query("categorize_from_table", _FROM_TABLE)
 def categorize_from_table(t: Inputs) -> DataFrame:
     """From the rule file to the categories: load, parse, categorize."""
     rules = R.rules_of(loaded_rules(t))
     return R.categorize(t.records, rules).select("real.id", "rule_no", "category")
+
+
+@query("categorize_rule_table", _FROM_TABLE)
+def categorize_rule_table(t: Inputs) -> DataFrame:
+    """The rules never leave their table: joined by keyword and by type."""
+    return categorize_by_table(t.records, loaded_rules(t), "real.id").select("real.id", "rule_no", "category")

@@ -138,3 +138,14 @@ def test_rules_from_a_table(spark):
     ]
     df = spark.createDataFrame([("x", None, ["zoo"]), ("y", None, None)], "name string, access string, types array<string>")
     assert [r.category for r in R.categorize(df, rules, **NAMES).collect()] == ["a", "b"]
+
+
+def test_building_the_plan_runs_no_job(spark):
+    rules = [random_rule(random.Random(3), i)[0] for i in range(9)]
+    df = spark.createDataFrame([(1, "ring", "Public", ["zoo"])], "id int, name string, access string, types array<string>")
+    spark.sparkContext.setJobGroup("rules", "plan")
+    found = R.categorize(df, rules, **NAMES)
+    counted = R.rule_counts(df, rules, **NAMES)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("rules")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() == 1 and counted.count() == 9
