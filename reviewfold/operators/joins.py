@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewfold.operators.skew import DEFAULT_SALTS, skew_join
+from reviewfold.operators.skew import AUTO, skew_join
 
 
 def join_labels(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
@@ -29,14 +29,15 @@ def join_dimension(
     right_key: str,
     suffix: str = "_dim",
     null_safe: bool = False,
-    salts: int = DEFAULT_SALTS,
+    salts: int = AUTO,
 ) -> DataFrame:
     """Inner join of facts with a dimension whose key has another name.
 
     Columns of the dimension that clash with a fact column get ``suffix``. The
     key keeps its fact-side name. With ``null_safe`` a NULL key matches a NULL
     key; it is joined on a text form of the key so that it stays an equi-join.
-    ``salts=1`` is for facts already reduced to one row per key.
+    Hot keys of the facts are measured and salted by their share; ``salts=1`` is for
+    facts already reduced to one row per key.
     """
     clash = (set(df.columns) - {left_key}) & (set(dim.columns) - {right_key})
     right = dim.withColumnsRenamed({c: f"{c}{suffix}" for c in clash})
@@ -48,7 +49,7 @@ def join_dimension(
         text = F.coalesce(F.col(key).cast("string"), F.lit(""))
         return frame.withColumns({"_no_key": F.col(key).isNull(), "_key": text})
 
-    joined = skew_join(flagged(df, left_key), flagged(right, right_key).drop(right_key), ["_no_key", "_key"])
+    joined = skew_join(flagged(df, left_key), flagged(right, right_key).drop(right_key), ["_no_key", "_key"], salts=salts)
     return joined.drop("_no_key", "_key")
 
 
@@ -59,7 +60,7 @@ def semi_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 def attach_tier(df: DataFrame, tiers: DataFrame, key: str, tier: str = "tier", default: str = "Mid") -> DataFrame:
     """Tier of each row's group, ``default`` where the group has none."""
-    joined = skew_join(df, tiers.select(key, tier), key, "left")
+    joined = skew_join(df, tiers.select(key, tier), key, "left", salts=AUTO)
     return joined.withColumn(tier, F.coalesce(F.col(tier), F.lit(default)))
 
 

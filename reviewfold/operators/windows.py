@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 
 from reviewfold.functions.labels import POSITIVE
 from reviewfold.operators.ordering import ranked
-from reviewfold.operators.skew import skew_join
+from reviewfold.operators.skew import AUTO, skew_join
 
 
 def with_group_count(df: DataFrame, key: str, out: str = "count") -> DataFrame:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
-    return skew_join(df, counts, key, "left")
+    return skew_join(df, counts, key, "left", salts=AUTO)
 
 
 def with_group_rate(df: DataFrame, key: str, label: str, out: str = "prob") -> DataFrame:
     """Negative rate of the row's group; ``df`` holds valid labels only."""
     positives = F.count(F.when(F.col(label) == POSITIVE, 1))
     rates = df.groupBy(key).agg((F.lit(1.0) - positives / F.count(F.lit(1))).alias(out))
-    return skew_join(df, rates, key, "left")
+    return skew_join(df, rates, key, "left", salts=AUTO)
 
 
 def with_segment_count(df: DataFrame, segment: str, out: str = "count") -> DataFrame:

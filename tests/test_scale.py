@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reviewfold.operators import ordering, split, windows
-from reviewfold.operators.skew import skew_join
+from reviewfold.operators.skew import AUTO, _Counters, _salts_of, heavy_keys, skew_join
 from tests.conftest import SF_DIR
 
 
@@ -19,7 +20,7 @@ def hot_rows(n=3000):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("salts", [1, 7, 16])
+@pytest.mark.parametrize("salts", [1, 7, 16, AUTO])
 def test_salted_join_equals_plain(spark, no_broadcast, how, salts):
     left = spark.createDataFrame(hot_rows(), "id int, k string, v double")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4)], "k string, w int")
@@ -27,6 +28,54 @@ def test_salted_join_equals_plain(spark, no_broadcast, how, salts):
     assert key(skew_join(left, right, "k", how, salts).collect()) == key(left.join(right, "k", how).collect())
 
 
+def test_hot_keys_are_found_and_no_others(spark):
+    """A third of the rows, a key at the border, many small keys and NULL keys."""
+    rows = ["a"] * 4000 + ["b"] * 200 + [None] * 900 + [f"k{i % 5000}" for i in range(6900)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame([(k,) for k in rows], "k string").repartition(7)
+    named = {r.h: r.k for r in df.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    found = {named[h]: share for h, share in heavy_keys(df, ["k"]).items()}
+    assert set(found) == {"a", "b", None}
+    for key, n in (("a", 4000), ("b", 200), (None, 900)):
+        assert n / 12_000 - 1 / 256 <= found[key] <= n / 12_000
+    assert heavy_keys(df.filter("k like 'k%'"), ["k"]) == {}
+    assert heavy_keys(df.limit(0), ["k"]) == {}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counters_miss_by_a_bounded_number(seed):
+    rng = random.Random(seed)
+    counters, exact = _Counters(16), Counter()
+    for _ in range(30):
+        batch = [rng.randrange(5) if rng.random() < 0.5 else rng.randrange(10**6) for _ in range(rng.randrange(200))]
+        exact.update(batch)
+        counters.add(np.array(batch, dtype=np.int64))
+    kept = dict(zip(counters.keys.tolist(), counters.counts.tolist(), strict=True))
+    assert counters.rows == sum(exact.values()) and len(kept) <= 16
+    assert all(0 <= n - kept.get(k, 0) <= counters.rows / 16 for k, n in exact.items())
+
+
+def test_identical_rows_of_a_hot_key_fill_all_tasks(spark, no_broadcast):
+    """A third of the rows are one repeated row; each task gets about its share, and the
+    other side is copied for the hot key alone."""
+    left = spark.createDataFrame([(0, "hot")] * 6000 + [(i, f"k{i}") for i in range(12_000)], "id int, k string").repartition(5)
+    right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(12_000)], "k string, w int")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined = skew_join(left, right, "k", "left", salts=AUTO)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        salts = _salts_of(heavy_keys(left, ["k"]), 16, F.xxhash64("k"))
+        copies = {r.k: r.n for r in right.select("k", salts.alias("n")).collect() if r.n > 1}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 18_000 and len(sizes) == 16 and max(sizes) < 2.5 * 18_000 / 16
+    assert list(copies) == ["hot"] and 16 < copies["hot"] <= 48
+
+
 def test_salt_spreads_hot_key(spark, no_broadcast):
     left = spark.createDataFrame([(i, "hot") for i in range(8000)], "id int, k string")
     right = spark.createDataFrame([("hot", 1)], "k string, w int")
