@@ -36,7 +36,7 @@ FIT_TEXTS = 8000
 TELLING, FREQUENT = 80, 24
 #: Fits after the first.
 REFITS = 2
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _DECAY = 0.75
 _LATIN = 27  # 0 for a gap, a to z; the symbols from here on are for other scripts
 _OTHERS = 256 - _LATIN
@@ -104,7 +104,7 @@ def _subsequences(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
     for n in np.unique(length[length >= 3]):
         i, j, k, weight = _triples(int(n))
         mine = np.flatnonzero(length == n)
-        for part in np.array_split(mine, max(1, len(mine) * len(i) // 4_000_000)):
+        for part in np.array_split(mine, max(1, len(mine) * len(i) // 500_000)):
             c = np.frombuffer(b"".join([units[r] for r in part]), np.uint8).reshape(-1, n).astype(np.int32)
             a, b, d = c[:, i], c[:, j], c[:, k]
             yield part, _codes(a, b, d, bool(c.max() < _LATIN)), np.where((a > 0) & (b > 0) & (d > 0), weight, np.float32(0))
@@ -143,7 +143,7 @@ class Landmarks:
         out = np.zeros((len(units), len(self.units)))
         for rows, codes, weights in _subsequences(units):
             norms = _norms(codes, weights)
-            for part in np.array_split(np.arange(len(rows)), max(1, codes.size // 50_000)):
+            for part in np.array_split(np.arange(len(rows)), max(1, codes.size // 20_000)):
                 raw = np.einsum("rt,rtl->rl", weights[part], table[place[codes[part]]])
                 out[rows[part]] = raw / np.where(norms[part] > 0, norms[part], 1.0)[:, None]
         return out
