@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewfold.functions.labels import CLASS_NAME, case_map
-from reviewfold.functions.text import WORD_PATTERN, to_class
+from reviewfold.functions.text import WORD_PATTERN, clean_text, sequence_tokens, to_class
 from reviewfold.operators.aggregates import run_summary
 from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.skew import skew_join
@@ -54,6 +54,7 @@ ROWS_PER_TASK = 10_000
 BLOCK_NUMBERS = 4_000_000
 
 
+_POOL_SCHEMA = "dims int, seed int"
 _RBF_SCHEMA = "gamma double, n_features int, seed int"
 RUN_SCHEMA = "run int, n bigint, accuracy double, precision double, recall double, f1 double"
 
@@ -323,6 +324,58 @@ def fit_embedding_mlp(
     return PipelineModel([mlp.fit(ready)])
 
 
+@dataclass(frozen=True)
+class EmbeddingClassifier:
+    """A classifier over pooled word vectors together with the vectors it reads words by."""
+
+    vectors: DataFrame
+    dims: int
+    seed: int
+    mlp: PipelineModel
+
+    def transform(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
+        """Raw texts to predictions: clean, tokenize, look up, pool, classify. ``id_col``
+        identifies a row; a text without words is pooled to zeros."""
+        tokens = sequence_tokens(F.lower(clean_text(F.coalesce(F.col(text), F.lit("")))))
+        pooled = embedding_pool(df.select(id_col, text), id_col, tokens, self.vectors, self.dims, self.seed)
+        return self.mlp.transform(pooled_features(pooled))
+
+    def save(self, path: str) -> None:
+        """The words with their vectors beside the stages, so that a new session scores raw texts."""
+        self.vectors.select("word", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
+        row = [(self.dims, self.seed)]
+        SparkSession.active().createDataFrame(row, _POOL_SCHEMA).write.mode("overwrite").parquet(f"{path}/pool")
+        self.mlp.write().overwrite().save(f"{path}/stages")
+
+    @classmethod
+    def load(cls, path: str) -> EmbeddingClassifier:
+        spark = SparkSession.active()
+        row = spark.read.schema(_POOL_SCHEMA).parquet(f"{path}/pool").first()
+        return cls(spark.read.parquet(f"{path}/vectors"), row.dims, row.seed, PipelineModel.load(f"{path}/stages"))
+
+
+def forward_pass(pooled: DataFrame, model: PipelineModel, out: str = "forward") -> DataFrame:
+    """Probability of the positive class recomputed from the exported weights of a
+    feed-forward classifier, as plain column arithmetic."""
+    mlp = model.stages[-1]
+    weights, inputs = mlp.weights.toArray(), F.concat("mean_vector", "max_vector")
+    sizes, at = list(mlp.getLayers()), 0
+    for layer, (n_in, n_out) in enumerate(zip(sizes, sizes[1:], strict=False)):
+        matrix = weights[at : at + n_in * n_out].reshape(n_in, n_out).T
+        bias = weights[at + n_in * n_out : at + n_in * n_out + n_out]
+        at += n_in * n_out + n_out
+        column = f"_layer{layer}"
+        sums = [
+            F.aggregate(F.zip_with(F.lit(row.tolist()), inputs, lambda w, x: w * x), F.lit(float(b)), lambda a, x: a + x)
+            for row, b in zip(matrix, bias, strict=True)
+        ]
+        last = layer == len(sizes) - 2
+        pooled = pooled.withColumn(column, F.array(*sums if last else [1.0 / (1.0 + F.exp(-z)) for z in sums]))
+        inputs = F.col(column)
+    odds = F.exp(F.get(inputs, F.lit(0)) - F.get(inputs, F.lit(1)))
+    return pooled.withColumn(out, 1.0 / (1.0 + odds)).drop(*[f"_layer{i}" for i in range(len(sizes) - 1)])
+
+
 def pooled_features(pooled: DataFrame) -> DataFrame:
     return pooled.withColumn("features", array_to_vector(F.concat("mean_vector", "max_vector")))
 

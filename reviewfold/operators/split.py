@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,7 +104,7 @@ def holdout_split(
     """Train and test frames; disjoint, complete and of exact size."""
     borders = holdout_borders(df, id_col, test_size, [seed])
     if not borders:
-        return df, df
+        return df, df.limit(0)
     is_test = in_test(id_col, borders[0])
     return df.filter(~is_test), df.filter(is_test)
 
@@ -122,7 +121,3 @@ def holdout_assignments(
     if not flags:
         return df.select(F.lit(0).alias("run"), id_col, F.lit(False).alias("is_test"))
     return df.select(id_col, F.inline(F.array(*flags))).select("run", id_col, "is_test")
-
-
-def union_runs(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -154,6 +154,43 @@ def checked_mlp(t: Inputs) -> DataFrame:
     return _consistent(scored.withColumn("_prob", vector_to_array("probability")[1]), "_prob")
 
 
+@query("certified_mlp", "select review_id, label, true as same from p_labelled where is_test")
+def certified_mlp(t: Inputs) -> DataFrame:
+    """Probabilities of the classifier against column arithmetic on its exported weights,
+    after the model with its words was saved and read again."""
+    words = t.vectors(t.vocab())
+    texts = t.labelled.select("review_id", "review", "label")
+    train, test = holdout_split(texts, "review_id", TEST_SIZE, SEED)
+    tokens = t.tokens.join(train.select("review_id", "label"), "review_id")
+    pooled = models.embedding_pool(tokens, "review_id", F.col("tokens"), words, DIMS).join(train.select("review_id", "label"), "review_id")
+    path = new_path(t.spark, "mlp")
+    models.EmbeddingClassifier(words, DIMS, 1, models.fit_embedding_mlp(pooled, DIMS)).save(path)
+    model = models.EmbeddingClassifier.load(path)
+    again = models.forward_pass(model.transform(test, "review_id", "review"), model.mlp)
+    same = F.abs(vector_to_array("probability")[1] - F.col("forward")) < 1e-9
+    return again.select("review_id", same.alias("same")).join(test.select("review_id", "label"), "review_id").select("review_id", "label", "same")
+
+
+@query(
+    "resolved_labels",
+    "select lang, count(*) as n, count(sentiment) as n_labelled, "
+    "cast(sum(case when sentiment = 'positive' then 1 else 0 end) as bigint) as n_labelled_positive "
+    "from p_predictions left join p_training using (review_id) group by lang",
+)
+def resolved_labels(t: Inputs) -> DataFrame:
+    """After the override each labelled review has its label, whatever the model said, and
+    no review is lost or doubled."""
+    scored = score_reviews(t).select("review_id", "predicted")
+    joined = join_labels(scored, t.training, "review_id")
+    best = resolve_label(joined, "predicted", "sentiment", "best").join(t.predictions.select("review_id", "lang"), "review_id")
+    known = F.col("sentiment").isNotNull()
+    return best.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(known, 1)).alias("n_labelled"),
+        F.count(F.when(known & (F.col("best") == "POSITIVE"), 1)).alias("n_labelled_positive"),
+    )
+
+
 @query("checked_scores", "select review_id, true as consistent from p_predictions")
 def checked_scores(t: Inputs) -> DataFrame:
     """Every review has a score, a class and a name."""

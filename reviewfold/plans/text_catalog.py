@@ -109,12 +109,24 @@ def vector_lookup(t: Inputs) -> DataFrame:
     )
 
 
-@query("vector_missing", "select word, token_id from p_vocab anti join p_vectors using (word)")
+@query("vector_missing", "select word, token_id from p_vocab left join p_vectors using (word) where vector is null")
 def vector_missing(t: Inputs) -> DataFrame:
     vocab = t.vocab()
     return joins.missing_words(vocab, t.vectors(vocab)).select("word", "token_id")
 
 
+@query(
+    "vector_missing_digest",
+    "select length(word) as length, count(*) as n, cast(sum(token_id) as bigint) as ids, min(word) as first, max(word) as last "
+    "from p_vocab left join p_vectors using (word) where vector is null group by length(word)",
+)
+def vector_missing_digest(t: Inputs) -> DataFrame:
+    """The list of words without a vector, summed up by their length."""
+    return vector_missing(t).groupBy(F.length("word").cast("bigint").alias("length")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("ids"), F.min("word").alias("first"), F.max("word").alias("last")
+    )
+
+
 @query(
     "vector_missing_count",
     "select count(*) as n_missing from p_vocab anti join p_vectors using (word)",

@@ -171,3 +171,27 @@ def test_repeated_holdout(spark, reviews):
     assert empty.count() == 0 and empty.columns == runs.columns
     summary = models.summarize_runs(runs).collect()
     assert [r.metric for r in summary] == ["accuracy", "f1"]
+
+
+def test_mlp_with_its_words_scores_raw_texts_after_reload(spark, reviews):
+    """Vectors and stages are read again; the probabilities equal plain arithmetic."""
+    import numpy as np
+
+    rng = random.Random(3)
+    words = ["great", "fast", "clean", "love", "broken", "slow", "dirty", "hate", "the", "station"]
+    vectors = spark.createDataFrame([(w, [float(i < 4) - 0.5 + rng.gauss(0, 0.1), rng.gauss(0, 1)]) for i, w in enumerate(words)], "word string, vector array<double>")
+    pooled = models.embedding_pool(reviews, "id", F.split("text", " "), vectors, 2).join(reviews.select("id", "label"), "id")
+    first = models.EmbeddingClassifier(vectors, 2, 1, models.fit_embedding_mlp(pooled.filter("id < 120"), 2, hidden=3, max_iter=20))
+    path = new_path(spark, "mlp-test")
+    first.save(path)
+    again = models.EmbeddingClassifier.load(path)
+    raw = spark.createDataFrame([(1, "Great, fast!"), (2, "slow and dirty."), (3, None), (4, "")], "id int, text string")
+    rows = {}
+    for name, model in (("first", first), ("again", again)):
+        out = models.forward_pass(model.transform(raw, "id", "text"), model.mlp)
+        rows[name] = {r.id: (r.p, r.forward) for r in out.select("id", vector_to_array("probability")[1].alias("p"), "forward").collect()}
+    assert rows["first"] == rows["again"] and len(rows["first"]) == 4
+    assert all(abs(p - forward) < 1e-12 for p, forward in rows["first"].values())
+    assert rows["first"][1][0] > 0.5 > rows["first"][2][0]
+    weights = first.mlp.stages[-1].weights.toArray()
+    assert len(weights) == 4 * 3 + 3 + 3 * 2 + 2 and np.isfinite(weights).all()
