@@ -2,8 +2,8 @@
 
 Fitted models hold one number per kept term; the vocabulary is always exact. Its
 size follows the labelled texts a fit sees, so memory is bounded by the number
-of those: ``training_sample`` takes at most about so many, by a hash of the id.
-It is off unless asked for. Scoring is a narrow map.
+of those: ``max_rows`` of the fits takes at most about so many, by a hash of the
+text. ``linear`` keeps terms and weights in tables instead. Scoring is a narrow map.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def _counter(terms: DataFrame) -> CountVectorizerModel:
 
 
 def training_sample(df: DataFrame, id_col: str, max_rows: int | None = None) -> DataFrame:
-    """At most about ``max_rows`` labelled rows to fit on, the same ones in every
-    run; all rows without a limit."""
+    """At most about ``max_rows`` labelled rows to fit on, chosen by a hash of a column,
+    the same ones in every run; all rows without a limit."""
     if max_rows is None:
         return df
     share = max_rows / max(1, df.count())
@@ -140,6 +140,7 @@ def fit_logistic(
     stop_words: Iterable[str] = (),
     penalize_intercept: bool = True,
     max_iter: int = 100,
+    max_rows: int | None = None,
     **tfidf,
 ) -> PipelineModel:
     """L2 logistic regression on TF-IDF.
@@ -150,6 +151,7 @@ def fit_logistic(
     variance at 0, so such a model has no intercept. ``linear.fit_term_logistic``
     fits a penalized intercept, and keeps terms and weights in tables.
     """
+    train = training_sample(train, text, max_rows)
     features = fit_tfidf(train, text, stop_words, **tfidf)
     stages = list(features.stages)
     inputs = ["features"]
@@ -269,9 +271,12 @@ def fit_rbf_svm(
     seed: int = 1,
     stop_words: Iterable[str] = (),
     max_iter: int = 100,
+    max_rows: int | None = None,
     **tfidf,
 ) -> RbfSvm:
-    """Hinge loss on random Fourier features of TF-IDF; approximate by design."""
+    """Hinge loss on random Fourier features of TF-IDF; approximate by design. At most
+    about ``max_rows`` texts are used, all without a limit."""
+    train = training_sample(train, text, max_rows)
     features = fit_tfidf(train, text, stop_words, **tfidf)
     mapped = rbf_features(features.transform(spread(train)), "features", "_rbf", gamma, n_features, seed)
     ready = _training_table(mapped, "_rbf", label)

@@ -49,7 +49,7 @@ def logistic_predict(t: Inputs) -> DataFrame:
 @query("rbf_svm_predict")
 def rbf_svm_predict(t: Inputs) -> DataFrame:
     train, test = _split(t)
-    return _predictions(models.fit_rbf_svm(train, "clean", stop_words=STOP_WORDS).transform(test))
+    return _predictions(models.fit_rbf_svm(train, "clean", stop_words=STOP_WORDS, max_rows=linear.MAX_ROWS).transform(test))
 
 
 @query("embedding_mlp")
@@ -141,7 +141,7 @@ def checked_logistic(t: Inputs) -> DataFrame:
 @query("checked_rbf_svm", _TEST_ROWS)
 def checked_rbf_svm(t: Inputs) -> DataFrame:
     train, test = _split(t)
-    return _consistent(models.fit_rbf_svm(train, "clean", stop_words=STOP_WORDS).transform(test))
+    return _consistent(models.fit_rbf_svm(train, "clean", stop_words=STOP_WORDS, max_rows=linear.MAX_ROWS).transform(test))
 
 
 @query("checked_mlp", _TEST_ROWS)

@@ -86,6 +86,15 @@ def test_svm_separates(reviews):
     assert accuracy(model.transform(reviews.filter("id >= 120"))) > 0.85
 
 
+def test_fits_use_at_most_about_max_rows(reviews, monkeypatch):
+    seen = []
+    plain = models._training_table
+    monkeypatch.setattr(models, "_training_table", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    models.fit_rbf_svm(reviews, "text", n_features=8, max_iter=2, max_rows=60)
+    models.fit_logistic(reviews, "text", max_iter=2, max_rows=1000)
+    assert 25 <= seen[0] <= 100 and seen[1] == 160
+
+
 def test_svm_persistence(spark, reviews):
     model = models.fit_rbf_svm(reviews.filter("id < 40"), "text", gamma=0.5, n_features=16, max_iter=5)
     path = new_path(spark, "svm-test")
