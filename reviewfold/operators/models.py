@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
@@ -301,14 +302,9 @@ def embedding_pool(
     once; the vectors are broadcast if their measured bytes are within the
     session's limit, and else joined with a salt.
     """
-    words = one_per_element(spread(df), [id_col], tokens, "word")
-    counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_times"))
-    size = F.octet_length("word") + F.lit(8 * dims)
-    measured = vectors.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
-    joined = skew_join(counts, vectors, "word", "left", right_bytes=measured)
-    drawn = F.coalesce(F.col("vector").cast("array<double>"), random_vector(F.col("word"), dims, seed))
-    summary = Summarizer.metrics("mean", "max").summary(array_to_vector(drawn), F.col("_times"))
-    pooled = joined.groupBy(id_col).agg(summary.alias("_pool"))
+    each = _word_vectors(df, id_col, tokens, vectors, dims, seed)
+    summary = Summarizer.metrics("mean", "max").summary(array_to_vector("vector"), F.col("_times"))
+    pooled = each.groupBy(id_col).agg(summary.alias("_pool"))
     zeros = F.array_repeat(F.lit(0.0), dims)
     full = df.select(id_col).join(pooled, id_col, "left")
     return full.select(
@@ -318,6 +314,48 @@ def embedding_pool(
     )
 
 
+def _word_vectors(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int, seed: int) -> DataFrame:
+    """``(id, word, _times, vector)``: every distinct word of each text with its vector."""
+    words = one_per_element(spread(df), [id_col], tokens, "word")
+    counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_times"))
+    size = F.octet_length("word") + F.lit(8 * dims)
+    measured = vectors.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    joined = skew_join(counts, vectors, "word", "left", right_bytes=measured)
+    drawn = F.coalesce(F.col("vector").cast("array<double>"), random_vector(F.col("word"), dims, seed))
+    return joined.select(id_col, "word", "_times", drawn.alias("vector"))
+
+
+def pools_without(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int, seed: int = 1) -> DataFrame:
+    """Mean and maximum of the word vectors of each text without one of its words, a row
+    for every distinct word; all its occurrences are left out.
+
+    A text's sum, its number of words and the two largest values of each dimension
+    give every pool at once. A text of one word leaves zeros. A group is the distinct
+    words of one text.
+    """
+
+    def leave_out(table: pa.Table) -> pa.Table:
+        times = table.column("_times").to_numpy()[:, None]
+        flat = table.column("vector").combine_chunks().flatten().to_numpy()
+        values = flat.reshape(table.num_rows, dims)
+        rest = times.sum() - times
+        mean = np.divide((times * values).sum(axis=0) - times * values, rest, out=np.zeros_like(values), where=rest > 0)
+        if len(values) > 1:
+            first = values.argmax(axis=0)
+            others = values.copy()
+            others[first, np.arange(dims)] = -np.inf
+            largest = np.where(np.arange(len(values))[:, None] == first, others.max(axis=0), values.max(axis=0))
+        else:
+            largest = np.zeros_like(values)
+        lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (mean, largest)]
+        return pa.table([table.column(id_col), table.column("word"), *lists], names=[id_col, "word", "mean_vector", "max_vector"])
+
+    each = _word_vectors(df, id_col, tokens, vectors, dims, seed)
+    kind = each.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, word string, mean_vector array<double>, max_vector array<double>"
+    return each.groupBy(id_col).applyInArrow(leave_out, schema)
+
+
 def fit_embedding_mlp(
     pooled: DataFrame, dims: int, label: str = "label", hidden: int = 16, seed: int = 1, max_iter: int = 60
 ) -> PipelineModel:
@@ -341,10 +379,22 @@ class EmbeddingClassifier:
     def transform(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
         """Raw texts to predictions: clean, tokenize, look up, pool, classify. ``id_col``
         identifies a row; a text without words is pooled to zeros."""
-        tokens = sequence_tokens(F.lower(clean_text(F.coalesce(F.col(text), F.lit("")))))
-        pooled = embedding_pool(df.select(id_col, text), id_col, tokens, self.vectors, self.dims, self.seed)
+        pooled = embedding_pool(df.select(id_col, text), id_col, self._tokens(text), self.vectors, self.dims, self.seed)
         return self.mlp.transform(pooled_features(pooled))
 
+    def attribution(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
+        """``(id, word, attribution)``: by how much the probability of the positive class
+        falls when a word is left out of its text."""
+        probability = vector_to_array("probability")[1]
+        whole = self.transform(df, id_col, text).select(id_col, probability.alias("_whole"))
+        parts = pools_without(df.select(id_col, text), id_col, self._tokens(text), self.vectors, self.dims, self.seed)
+        rest = self.mlp.transform(pooled_features(parts)).select(id_col, "word", probability.alias("_rest"))
+        return rest.join(whole, id_col).select(id_col, "word", (F.col("_whole") - F.col("_rest")).alias("attribution"))
+
+    @staticmethod
+    def _tokens(text: str) -> Column:
+        return sequence_tokens(F.lower(clean_text(F.coalesce(F.col(text), F.lit("")))))
+
     def save(self, path: str) -> None:
         """The words with their vectors beside the stages, so that a new session scores raw texts."""
         self.vectors.select("word", "vector").write.mode("overwrite").parquet(f"{path}/vectors")

@@ -158,19 +158,35 @@ def checked_mlp(t: Inputs) -> DataFrame:
 def certified_mlp(t: Inputs) -> DataFrame:
     """Probabilities of the classifier against column arithmetic on its exported weights,
     after the model with its words was saved and read again."""
-    words = t.vectors(t.vocab())
-    texts = t.labelled.select("review_id", "review", "label")
-    train, test = holdout_split(texts, "review_id", TEST_SIZE, SEED)
-    tokens = t.tokens.join(train.select("review_id", "label"), "review_id")
-    pooled = models.embedding_pool(tokens, "review_id", F.col("tokens"), words, DIMS).join(train.select("review_id", "label"), "review_id")
+    train, test = holdout_split(t.labelled.select("review_id", "review", "label"), "review_id", TEST_SIZE, SEED)
     path = new_path(t.spark, "mlp")
-    models.EmbeddingClassifier(words, DIMS, 1, models.fit_embedding_mlp(pooled, DIMS)).save(path)
+    _embedding_model(t, train).save(path)
     model = models.EmbeddingClassifier.load(path)
     again = models.forward_pass(model.transform(test, "review_id", "review"), model.mlp)
     same = F.abs(vector_to_array("probability")[1] - F.col("forward")) < 1e-9
     return again.select("review_id", same.alias("same")).join(test.select("review_id", "label"), "review_id").select("review_id", "label", "same")
 
 
+def _embedding_model(t: Inputs, train: DataFrame) -> models.EmbeddingClassifier:
+    words = t.vectors(t.vocab())
+    tokens = t.tokens.join(train.select("review_id"), "review_id")
+    pooled = models.embedding_pool(tokens, "review_id", F.col("tokens"), words, DIMS).join(train.select("review_id", "label"), "review_id")
+    return models.EmbeddingClassifier(words, DIMS, 1, models.fit_embedding_mlp(pooled, DIMS))
+
+
+@query(
+    "checked_word_attribution",
+    "select review_id, count(distinct word) as n_words, true as bounded from (select review_id, unnest(tokens) as word "
+    "from p_tokens join p_labelled using (review_id) where is_test) group by review_id",
+)
+def checked_word_attribution(t: Inputs) -> DataFrame:
+    """Every distinct word of every test review has a change of the probability."""
+    train, test = holdout_split(t.labelled.select("review_id", "review", "label"), "review_id", TEST_SIZE, SEED)
+    found = _embedding_model(t, train).attribution(test, "review_id", "review")
+    bounded = F.bool_and(F.col("attribution").between(-1, 1))
+    return found.groupBy("review_id").agg(F.count(F.lit(1)).alias("n_words"), bounded.alias("bounded"))
+
+
 @query(
     "resolved_labels",
     "select lang, count(*) as n, count(sentiment) as n_labelled, "

@@ -204,3 +204,21 @@ def test_mlp_with_its_words_scores_raw_texts_after_reload(spark, reviews):
     assert rows["first"][1][0] > 0.5 > rows["first"][2][0]
     weights = first.mlp.stages[-1].weights.toArray()
     assert len(weights) == 4 * 3 + 3 + 3 * 2 + 2 and np.isfinite(weights).all()
+
+
+def test_attribution_equals_scoring_the_shortened_text(spark, reviews):
+    rng = random.Random(4)
+    words = ["great", "fast", "clean", "love", "broken", "slow", "dirty", "hate"]
+    vectors = spark.createDataFrame([(w, [float(i < 4) - 0.5, rng.gauss(0, 1)]) for i, w in enumerate(words)], "word string, vector array<double>")
+    pooled = models.embedding_pool(reviews, "id", F.split("text", " "), vectors, 2).join(reviews.select("id", "label"), "id")
+    model = models.EmbeddingClassifier(vectors, 2, 1, models.fit_embedding_mlp(pooled, 2, hidden=3, max_iter=20))
+    texts = {1: "great slow great unknown", 2: "hate", 3: "", 4: "fast broken love broken dirty", 5: "clean clean"}
+    raw = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {(r.id, r.word): r.attribution for r in model.attribution(raw, "id", "text").collect()}
+    short = [(i, w, " ".join(x for x in t.split() if x != w)) for i, t in texts.items() for w in set(t.split())]
+    again = spark.createDataFrame([(f"{i} {w}", t) for i, w, t in short], "id string, text string")
+    rest = {r.id: r.p for r in model.transform(again, "id", "text").select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    whole = {r.id: r.p for r in model.transform(raw, "id", "text").select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert set(got) == {(i, w) for i, w, _ in short}
+    for i, w, _ in short:
+        assert got[i, w] == pytest.approx(whole[i] - rest[f"{i} {w}"], abs=1e-9)
