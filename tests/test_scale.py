@@ -178,7 +178,7 @@ def test_split_is_a_narrow_filter(spark):
     assert "Exchange" not in test._jdf.queryExecution().executedPlan().toString()
 
 
-SLOW_TO_BUILD = {"repeated_holdout", "rbf_svm_predict", "embedding_mlp", "score_reviews", "model_roundtrip", "token_attribution", "logistic_predict"}
+SLOW_TO_BUILD = {"repeated_holdout", "rbf_svm_predict", "embedding_mlp", "score_reviews", "model_roundtrip", "token_attribution", "logistic_predict", "holdout_summary", "certified_mlp", "checked_word_attribution"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW_TO_BUILD))
