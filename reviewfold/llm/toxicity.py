@@ -44,7 +44,7 @@ _OTHERS = 256 - _LATIN
 _HASHED = 16
 _TRIPLES = _LATIN**3 + (1 << _HASHED)
 _WINDOW, _STRIDE, _SPAN = 24, 12, 9
-_REMEMBERED = 200_000
+_REMEMBERED = 500_000
 # Runs of so many single letters are read as one word with gaps.
 _SPELLED = 4
 
