@@ -36,7 +36,9 @@ FIT_TEXTS = 8000
 TELLING, FREQUENT = 80, 24
 #: Fits after the first.
 REFITS = 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Bytes of features that a worker adds up at once.
+SUM_BYTES = 2 << 20
 _DECAY = 0.75
 _LATIN = 27  # 0 for a gap, a to z; the symbols from here on are for other scripts
 _OTHERS = 256 - _LATIN
@@ -104,7 +106,7 @@ def _subsequences(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
     for n in np.unique(length[length >= 3]):
         i, j, k, weight = _triples(int(n))
         mine = np.flatnonzero(length == n)
-        for part in np.array_split(mine, max(1, len(mine) * len(i) // 500_000)):
+        for part in np.array_split(mine, max(1, len(mine) * len(i) // 100_000)):
             c = np.frombuffer(b"".join([units[r] for r in part]), np.uint8).reshape(-1, n).astype(np.int32)
             a, b, d = c[:, i], c[:, j], c[:, k]
             yield part, _codes(a, b, d, bool(c.max() < _LATIN)), np.where((a > 0) & (b > 0) & (d > 0), weight, np.float32(0))
@@ -246,12 +248,12 @@ def _features(counts: DataFrame, landmarks: Landmarks, whiten: np.ndarray) -> Da
 def _hinge_sums(features: DataFrame, w: np.ndarray, worst: dict[bytes, int] | None) -> tuple[float, np.ndarray, np.ndarray]:
     """Loss, gradient and Hessian of the squared hinge over all words. A task sends back
     one matrix of the features' size. ``worst`` replaces the positive counts."""
-    d = len(w)
+    d, place = len(w), features.columns.index("x")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, gradient, hessian = 0.0, np.zeros(d), np.zeros((d, d))
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "<f4").reshape(batch.num_rows, d - 1)
+        for batch in (part for whole in batches for part in slices(whole, place, SUM_BYTES)):
+            x = np.frombuffer(b"".join(batch.column(place).to_pylist()), "<f4").reshape(batch.num_rows, d - 1)
             x = np.hstack([x, np.ones((len(x), 1))])
             positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(float)
             if worst is not None:
@@ -260,6 +262,9 @@ def _hinge_sums(features: DataFrame, w: np.ndarray, worst: dict[bytes, int] | No
             f = x @ w
             loss += float((positive * np.maximum(0, 1 - f) ** 2 + negative * np.maximum(0, 1 + f) ** 2).sum())
             p, n = positive * (f < 1), negative * (f > -1)
+            # Words beyond the hinge have weight 0 in both sums.
+            near = np.flatnonzero(p + n)
+            x, p, n, f = x[near], p[near], n[near], f[near]
             gradient += 2 * x.T @ (p * (f - 1) + n * (f + 1))
             hessian += 2 * (x * (p + n)[:, None]).T @ x
         sums = np.concatenate([[loss], gradient, hessian.ravel()])
@@ -270,16 +275,17 @@ def _hinge_sums(features: DataFrame, w: np.ndarray, worst: dict[bytes, int] | No
     return float(total[0]), total[1 : d + 1], total[d + 1 :].reshape(d, d)
 
 
-def _fit_svm(features: DataFrame, d: int, worst: dict[bytes, int] | None, c: float = 1.0) -> np.ndarray:
-    """Squared hinge loss by Newton steps, a job each; the last weight is the intercept."""
-    ridge = np.eye(d + 1)
+def _fit_svm(features: DataFrame, start: np.ndarray, worst: dict[bytes, int] | None, c: float = 1.0) -> np.ndarray:
+    """Squared hinge loss by Newton steps from ``start``, a job each; the last weight is
+    the intercept. The loss is convex: ``start`` decides the number of steps only."""
+    ridge = np.eye(len(start))
     ridge[-1, -1] = 1e-6
 
     def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         loss, gradient, hessian = _hinge_sums(features, v, worst)
         return 0.5 * v @ ridge @ v + c * loss, ridge @ v + c * gradient, ridge + c * hessian
 
-    w = np.zeros(d + 1)
+    w = start
     now = at(w)
     for _ in range(50):
         step, scale = np.linalg.solve(now[2], now[1]), 1.0
@@ -366,7 +372,7 @@ def _label_counts(texts: DataFrame) -> DataFrame:
     and, with ``part``, texts of either label with a stretch of four letters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH_BYTES)):
             tally: dict[tuple[bool, bytes], list[int]] = {}
             for text, label in zip(batch.column("body").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 seen = set()
@@ -435,11 +441,12 @@ def fit_toxicity(
     whiten = vector[:, usable] / np.sqrt(value[usable])
     features = stored(_features(words, landmarks, whiten), "word-features")
     body = texts.withColumn("body", F.decode("body", "UTF-8"))
-    worst = None
+    worst, w = None, np.zeros(whiten.shape[1] + 1)
     # A toxic text need not be toxic in every word: after the first fit only the
     # worst word of each toxic text counts for the label, as in a multiple-instance SVM.
     for _ in range(REFITS + 1):
-        given = whiten @ _fit_svm(features, whiten.shape[1], worst)[:-1]
+        w = _fit_svm(features, w, worst)
+        given = whiten @ w[:-1]
         model = ToxicityModel(landmarks.spread(given), 0.0, 0.0, landmarks.units, given)
         margins = stored(model.margins(body, "doc", "body").join(texts.select("doc", "label"), "doc"), "margins")
         # At most a word per toxic text of the fit.
