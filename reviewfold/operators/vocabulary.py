@@ -39,29 +39,44 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: Column, vocab: DataFrame,
     """Id sequence of each text; a word outside the vocabulary gets the OOV id,
     one more than the number of words.
 
-    As many of the most frequent words as the session's broadcast limit holds are
-    broadcast and cover most tokens, hot ones included; only the others are
-    shuffled to the rest of the vocabulary. What is shuffled is (id, position, word), never the text. The
-    ids of a text are gathered where it was split before they are exchanged. A
-    text without words gives an empty list.
+    The texts are split once. As many of the most frequent words as the session's
+    broadcast limit holds are broadcast and answered on the spot, hot ones included.
+    A word that is left goes to the rest of the vocabulary as a posting: once per text,
+    with the list of its positions, never with the text. The ids come back by position.
+    Without a rest nothing but the ids of a text is exchanged. A text without words
+    gives an empty list, a NULL word the OOV id.
     """
-    size = vocab.count()
     known = vocab.select("word", "token_id")
-    words = spread(df).select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
     head_words = broadcast_limit(known) // HEAD_WORD_BYTES
     is_head = (F.col("token_id") <= head_words) & (F.octet_length("word") <= HEAD_WORD_BYTES - 32)
-    if head_words:
-        head = F.broadcast(known.filter(is_head))
-        frequent = words.join(head, "word")
-        others = words.join(head, "word", "left_anti")
-        ids = frequent.unionByName(skew_join(others, known.filter(~is_head), "word", "left"))
+    size, in_head = known.agg(F.count(F.lit(1)), F.count(F.when(is_head, 1))).first()
+    words = spread(df).select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
+    if in_head:
+        words = words.join(F.broadcast(known.filter(is_head)), "word", "left")
+    else:
+        words = words.withColumn("token_id", F.lit(None).cast("bigint"))
+    oov = F.lit(size + 1).cast("bigint")
+    entry = F.struct("_pos", F.coalesce(F.col("token_id").cast("bigint"), oov).alias("_id"))
+    entries = F.collect_list(F.when(F.col("_pos").isNotNull(), entry)).alias("_entries")
+    if in_head == size:
+        lists = words.groupBy(id_col).agg(entries)
     else:
-        ids = skew_join(words, known, "word", "left")
-    entry = F.struct("_pos", F.coalesce("token_id", F.lit(size + 1)).cast("bigint").alias("_id"))
-    lists = ids.groupBy(id_col).agg(F.collect_list(F.when(F.col("_pos").isNotNull(), entry)).alias("_entries"))
+        lists = _with_rest(words, id_col, entries, known.filter(~is_head), oov)
     return lists.select(id_col, F.array_sort("_entries")["_id"].alias(out))
 
 
+def _with_rest(words: DataFrame, id_col: str, entries: Column, rest: DataFrame, oov: Column) -> DataFrame:
+    """``(id, _entries)``: the words found before, and the others by their postings."""
+    found = F.col("token_id").isNotNull() | F.col("word").isNull()
+    postings = words.groupBy(id_col, F.when(~found, F.col("word")).alias("word")).agg(entries, F.max(found).alias("_found"))
+    # ``_found`` is no grouping key, so both sides read one exchange of the postings.
+    answered = skew_join(postings.filter("not _found").drop("_found"), rest, "word", "left").select(
+        id_col, F.transform("_entries", lambda e: F.struct(e["_pos"].alias("_pos"), F.coalesce("token_id", oov).alias("_id"))).alias("_entries")
+    )
+    both = postings.filter("_found").select(id_col, "_entries").unionByName(answered)
+    return both.groupBy(id_col).agg(F.flatten(F.collect_list("_entries")).alias("_entries"))
+
+
 def longest(df: DataFrame, col: str) -> int:
     """Length of the longest sequence; one number."""
     return df.agg(F.max(F.size(col))).first()[0] or 0

@@ -53,6 +53,29 @@ def test_encoding_without_broadcast(spark, texts, no_broadcast):
     assert got == {i: [ids[w] for w in words] for i, words in texts}
 
 
+@pytest.mark.parametrize("word_bytes", [128, 3 << 20, 1 << 40])
+def test_encoding_splits_texts_once(spark, word_bytes, monkeypatch):
+    """NULL, unknown, long and very frequent words, texts without words, a long text; with
+    all words, three of them, or none broadcast the texts are split by one node."""
+    monkeypatch.setattr(vocabulary, "HEAD_WORD_BYTES", word_bytes)
+    rng = random.Random(3)
+    long_word = "x" * 200
+    train = [(i, ["hot"] * 5 + rng.choices([*WORDS, long_word], k=8)) for i in range(40)]
+    rows = [*train, (100, []), (101, None), (102, ["hot", None, "none", "hot"]), (103, ["none"] * 3000 + ["hot", long_word]), (None, ["w1"])]
+    vocab = vocabulary.build_vocab(frame(spark, train), F.col("toks"))
+    ids = plain_vocab(train)
+    encoded = vocabulary.encode_tokens(frame(spark, rows), "id", F.col("toks"), vocab)
+    assert {r.id: r.token_ids for r in encoded.collect()} == {i: [ids.get(w, len(ids) + 1) for w in words or []] for i, words in rows}
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Generate posexplode") == 1
+
+
+def test_encoding_against_an_empty_vocabulary(spark, texts):
+    empty = vocabulary.build_vocab(frame(spark, []), F.col("toks"))
+    got = vocabulary.encode_tokens(frame(spark, texts), "id", F.col("toks"), empty).collect()
+    assert {r.id: r.token_ids for r in got} == {i: [1] * len(words) for i, words in texts}
+
+
 def test_embedding_table(spark, texts):
     vocab = vocabulary.build_vocab(frame(spark, texts), F.col("toks"))
     vectors = spark.createDataFrame([("w0", [1.0, 2.0, 3.0]), ("other", [9.0, 9.0, 9.0])], "word string, vector array<float>")
