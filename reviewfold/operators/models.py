@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
@@ -34,18 +35,17 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewfold.functions.labels import CLASS_NAME, case_map
 from reviewfold.functions.text import WORD_PATTERN, clean_text, sequence_tokens, to_class
 from reviewfold.operators.aggregates import run_summary
+from reviewfold.operators.bundles import deal_out, meet
 from reviewfold.operators.layout import one_per_element, spread
-from reviewfold.operators.skew import skew_join
 from reviewfold.operators.split import holdout_borders, in_test
 from reviewfold.operators.terms import document_frequency, kept_terms
-from reviewfold.operators.vocabulary import random_vector
+from reviewfold.operators.vocabulary import draw_vectors
 from reviewfold.sources.tables import append_table
 from reviewfold.storage import materialize
 
@@ -53,6 +53,10 @@ from reviewfold.storage import materialize
 ROWS_PER_TASK = 10_000
 # Numbers of a block of random features that a batch holds at once.
 BLOCK_NUMBERS = 4_000_000
+# Words of a bundle of texts that are pooled, and of one whose pools without each word are returned.
+POOL_WORDS, WITHOUT_WORDS = 1_000_000, 50_000
+# Words whose vectors are added up at once.
+POOL_BLOCK = 1 << 15
 
 
 _POOL_SCHEMA = "dims int, seed int"
@@ -298,31 +302,85 @@ def embedding_pool(
 
     A word counts as often as it occurs. A word without a vector gets the one
     drawn from the word itself, as in ``embedding_table``, so every text has a
-    result; a text without words has zeros. Each word of a text is looked up
-    once; the vectors are broadcast if their measured bytes are within the
-    session's limit, and else joined with a salt.
+    result; a text without words, or without an id, has zeros. Texts meet the
+    vectors in bundles, so a vector is sent once to each bundle that holds its word.
     """
-    each = _word_vectors(df, id_col, tokens, vectors, dims, seed)
-    summary = Summarizer.metrics("mean", "max").summary(array_to_vector("vector"), F.col("_times"))
-    pooled = each.groupBy(id_col).agg(summary.alias("_pool"))
-    zeros = F.array_repeat(F.lit(0.0), dims)
-    full = df.select(id_col).join(pooled, id_col, "left")
-    return full.select(
-        id_col,
-        F.when(F.col("_pool").isNull(), zeros).otherwise(vector_to_array("_pool.mean")).alias("mean_vector"),
-        F.when(F.col("_pool").isNull(), zeros).otherwise(vector_to_array("_pool.max")).alias("max_vector"),
-    )
-
 
-def _word_vectors(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int, seed: int) -> DataFrame:
-    """``(id, word, _times, vector)``: every distinct word of each text with its vector."""
-    words = one_per_element(spread(df), [id_col], tokens, "word")
-    counts = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_times"))
-    size = F.octet_length("word") + F.lit(8 * dims)
-    measured = vectors.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
-    joined = skew_join(counts, vectors, "word", "left", right_bytes=measured)
-    drawn = F.coalesce(F.col("vector").cast("array<double>"), random_vector(F.col("word"), dims, seed))
-    return joined.select(id_col, "word", "_times", drawn.alias("vector"))
+    def pool(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        bundle = _WordBundle(texts, rows, id_col, dims, seed)
+        mean, largest = bundle.pools()
+        ids = texts.column(id_col).combine_chunks()
+        return pa.table([ids, *(_lists(x[bundle.text]) for x in (mean, largest))], names=[id_col, "mean_vector", "max_vector"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    dealt = deal_out(df, id_col, tokens, POOL_WORDS)
+    return meet(dealt, id_col, F.col("_words"), _vector_rows(vectors), "word", pool, f"`{id_col}` {kind}, mean_vector array<double>, max_vector array<double>")
+
+
+def _vector_rows(vectors: DataFrame) -> DataFrame:
+    """``(word, vector)`` in the width it came in."""
+    single = vectors.schema["vector"].dataType.simpleString() == "array<float>"
+    return vectors.select("word", "vector" if single else F.col("vector").cast("array<double>").alias("vector"))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+class _WordBundle:
+    """The distinct words of each text of a bundle, in the order of the texts, with their vectors.
+
+    A word with several vectors counts once for each of them. Rows with equal ids are one text."""
+
+    def __init__(self, texts: pa.Table, rows: pa.Table, id_col: str, dims: int, seed: int):
+        ids = texts.column(id_col).combine_chunks()
+        coded = ids.dictionary_encode(null_encoding="encode")
+        self.ids, self.text = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        lists = texts.column("_words").combine_chunks()
+        lists = pc.if_else(ids.is_valid(), lists, pa.scalar(None, lists.type))
+        size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        held = flat.is_valid().to_numpy(zero_copy_only=False)
+        text = np.repeat(self.text, size)[held].astype(np.int64)
+        words = flat.drop_null().dictionary_encode()
+        self.words = words.dictionary
+        key, times = np.unique(text * max(1, len(self.words)) + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        text, word = np.divmod(key, max(1, len(self.words)))
+        # Vectors in the order of the words; a word without one draws its own.
+        given = rows.column("vector").combine_chunks()
+        place = pc.index_in(rows.column("word").combine_chunks(), value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = given.is_valid().to_numpy(zero_copy_only=False)
+        matrix = np.zeros((len(given), dims))
+        matrix[known] = pc.fill_null(given.drop_null().flatten(), 0).to_numpy(zero_copy_only=False).reshape(-1, dims)
+        bare = np.setdiff1d(np.arange(len(self.words)), place)
+        drawn = np.concatenate([place[~known], bare])
+        place = np.concatenate([place[known], drawn])
+        vectors = np.concatenate([matrix[known], draw_vectors(self.words.take(pa.array(drawn)).to_pylist(), dims, seed)])
+        order = np.argsort(place, kind="stable")
+        self.vectors = vectors[order]
+        count = np.bincount(place, minlength=len(self.words))
+        start = np.cumsum(count) - count
+        # A posting for each text, word and vector.
+        many = count[word]
+        self.post_text, self.post_word = np.repeat(text, many), np.repeat(word, many)
+        within = np.arange(len(self.post_text)) - np.repeat(np.cumsum(many) - many, many)
+        self.post_times, self.post_vector = np.repeat(times, many).astype(float), start[self.post_word] + within
+
+    def pools(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and maximum of each text; postings are read in blocks, however long a text is."""
+        shape = (len(self.ids), self.vectors.shape[1])
+        total, largest, n = np.zeros(shape), np.full(shape, -np.inf), np.zeros(len(self.ids))
+        for first in range(0, len(self.post_text), POOL_BLOCK):
+            part = slice(first, first + POOL_BLOCK)
+            values, times = self.vectors[self.post_vector[part]], self.post_times[part]
+            starts = np.flatnonzero(np.diff(self.post_text[part], prepend=-1))
+            at = self.post_text[part][starts]
+            largest[at] = np.maximum(largest[at], np.maximum.reduceat(values, starts, axis=0))
+            total[at] += np.add.reduceat(values * times[:, None], starts, axis=0)
+            n[at] += np.add.reduceat(times, starts)
+        full = n > 0
+        return np.divide(total, n[:, None], out=np.zeros(shape), where=full[:, None]), np.where(full[:, None], largest, 0.0)
 
 
 def pools_without(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame, dims: int, seed: int = 1) -> DataFrame:
@@ -330,30 +388,35 @@ def pools_without(df: DataFrame, id_col: str, tokens: Column, vectors: DataFrame
     for every distinct word; all its occurrences are left out.
 
     A text's sum, its number of words and the two largest values of each dimension
-    give every pool at once. A text of one word leaves zeros. A group is the distinct
-    words of one text.
+    give every pool at once. A text of one word leaves zeros; one without an id has no
+    row. Texts meet the vectors in bundles, small ones since the pools of a bundle are
+    returned at once.
     """
 
-    def leave_out(table: pa.Table) -> pa.Table:
-        times = table.column("_times").to_numpy()[:, None]
-        flat = table.column("vector").combine_chunks().flatten().to_numpy()
-        values = flat.reshape(table.num_rows, dims)
+    def without(times: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        times = times[:, None]
         rest = times.sum() - times
         mean = np.divide((times * values).sum(axis=0) - times * values, rest, out=np.zeros_like(values), where=rest > 0)
-        if len(values) > 1:
-            first = values.argmax(axis=0)
-            others = values.copy()
-            others[first, np.arange(dims)] = -np.inf
-            largest = np.where(np.arange(len(values))[:, None] == first, others.max(axis=0), values.max(axis=0))
-        else:
-            largest = np.zeros_like(values)
-        lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (mean, largest)]
-        return pa.table([table.column(id_col), table.column("word"), *lists], names=[id_col, "word", "mean_vector", "max_vector"])
-
-    each = _word_vectors(df, id_col, tokens, vectors, dims, seed)
-    kind = each.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, word string, mean_vector array<double>, max_vector array<double>"
-    return each.groupBy(id_col).applyInArrow(leave_out, schema)
+        if len(values) == 1:
+            return mean, np.zeros_like(values)
+        first = values.argmax(axis=0)
+        others = values.copy()
+        others[first, np.arange(dims)] = -np.inf
+        return mean, np.where(np.arange(len(values))[:, None] == first, others.max(axis=0), values.max(axis=0))
+
+    def leave_out(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        bundle = _WordBundle(texts, rows, id_col, dims, seed)
+        shape = (len(bundle.post_text), dims)
+        means, largest = np.zeros(shape), np.zeros(shape)
+        starts = np.flatnonzero(np.diff(bundle.post_text, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], shape[0]), strict=True):
+            means[a:b], largest[a:b] = without(bundle.post_times[a:b], bundle.vectors[bundle.post_vector[a:b]])
+        names = [bundle.ids.take(pa.array(bundle.post_text)), bundle.words.take(pa.array(bundle.post_word))]
+        return pa.table([*names, _lists(means), _lists(largest)], names=[id_col, "word", "mean_vector", "max_vector"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    dealt = deal_out(df, id_col, tokens, WITHOUT_WORDS)
+    return meet(dealt, id_col, F.col("_words"), _vector_rows(vectors), "word", leave_out, f"`{id_col}` {kind}, word string, mean_vector array<double>, max_vector array<double>")
 
 
 def fit_embedding_mlp(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +104,14 @@ def random_vector(word: Column, dims: int, seed: int, low: float = -0.25, high:
     return F.slice(F.flatten(F.transform(digests, quad)), 1, dims)
 
 
+def draw_vectors(words: Sequence[str], dims: int, seed: int, low: float = -0.25, high: float = 0.25) -> np.ndarray:
+    """``random_vector`` of each word, to the last bit, inside a task."""
+    ends = [f":{seed}:{b}".encode() for b in range((dims - 1) // _HEX_GROUPS + 1)]
+    drawn = b"".join(hashlib.md5(word + end, usedforsecurity=False).digest() for word in map(str.encode, words) for end in ends)
+    uniform = np.frombuffer(drawn, ">u4").reshape(len(words), len(ends) * _HEX_GROUPS)[:, :dims] / 4294967296.0
+    return uniform * (high - low) + low
+
+
 def embedding_table(vocab: DataFrame, vectors: DataFrame, dims: int, seed: int = 1) -> DataFrame:
     """One vector per id: the word's own, or a random one; id 0 is zeros."""
     found = lookup_vectors(vocab.select("word", "token_id"), vectors)
