@@ -30,7 +30,10 @@ from reviewfold.llm.common import slices, split_sums, stored, texts_of
 from reviewfold.llm.pieces import RankedEncoder, load_tokenizer, tokenizer_path
 
 #: Text bytes aligned at once, and of the documents that share a list of pairs.
-BATCH_BYTES, BUNDLE_BYTES = 2 << 20, 16 << 20
+#: Aligning takes about 130 bytes of memory for each byte of text at its peak.
+BATCH_BYTES, BUNDLE_BYTES = 512 << 10, 16 << 20
+#: Links whose counts are added up at once.
+SUM_LINKS = 1 << 20
 #: Longer texts are encoded in parts of about so many characters, at blanks before a letter.
 PART_CHARS = 1 << 19
 _ID_BITS = 32
@@ -199,18 +202,24 @@ def _aligned(base: DataFrame, paths: tuple[str, str, str], with_groups: bool) ->
     fields |= {"links": "binary", "pairs": "array<long>", "times": "array<long>"}
     names, lists = list(fields), pa.list_(pa.int64())
 
+    def numbered(docs: pa.Array, counts: list[np.ndarray], texts: list[str], links: np.ndarray) -> tuple:
+        """A closed lot with its links as places in its own list of pairs."""
+        digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+        pairs, where = np.unique(links, return_inverse=True)
+        return docs, counts, texts if with_groups else None, digests, pairs, where.astype("<u4")
+
     def finish(bundle: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pairs, where = np.unique(np.concatenate([h[-1] for h in held]), return_inverse=True)
-        where, at = where.astype("<u4"), 0
-        for docs, counts, texts, links in held:
-            stops = at + np.cumsum(counts[-1])
+        pairs = np.unique(np.concatenate([h[-2] for h in held]))
+        times = np.zeros(len(pairs), np.int64)
+        for docs, counts, texts, digests, own, where in held:
+            place = np.searchsorted(pairs, own)
+            times[place] += np.bincount(where, minlength=len(own))
+            where = place.astype("<u4")[where]
+            stops = np.cumsum(counts[-1])
             raw = [where[stop - n : stop].tobytes() for stop, n in zip(stops, counts[-1], strict=True)]
-            at += len(links)
-            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
-            shown = pa.array(texts) if with_groups else pa.nulls(len(texts), pa.string())
+            shown = pa.nulls(len(docs), pa.string()) if texts is None else pa.array(texts)
             columns = [pa.array(np.full(len(docs), bundle)), docs, *map(pa.array, counts), shown, pa.array(digests, pa.string()), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(docs), lists)] * 2], names=names)
-        times = np.bincount(where, minlength=len(pairs))
         none = [pa.nulls(1, c.type) for c in columns[1:]]
         yield pa.RecordBatch.from_arrays([pa.array([bundle]), *none, pa.array([pairs], lists), pa.array([times], lists)], names=names)
 
@@ -232,7 +241,7 @@ def _aligned(base: DataFrame, paths: tuple[str, str, str], with_groups: bool) ->
                             owner, texts, chars = [], [], 0
                 if texts:
                     lot.add(np.array(owner), texts, models, sizes, strings)
-                held.append((batch.column(0), *lot.close()))
+                held.append(numbered(batch.column(0), *lot.close()))
                 size += batch.nbytes
                 if size >= BUNDLE_BYTES:
                     yield from finish(bundle, held)
@@ -286,11 +295,16 @@ def align_tokens(
         total, first = np.zeros(n, np.int64), np.zeros(n, np.int64)
         place = right.column("place").to_numpy()
         total[place], first[place] = right.column("total").to_numpy(), right.column("best").to_numpy()
-        links = np.frombuffer(b"".join(left.column("links").to_pylist()), "<u4")
-        each = left.column("n_links").to_numpy()
+        each, links = left.column("n_links").to_numpy(), left.column("links")
+        stops, sums, row = np.cumsum(each), [], 0
+        while row < left.num_rows:
+            end = max(row + 1, int(np.searchsorted(stops, stops[row] - each[row] + SUM_LINKS, "right")))
+            part = np.frombuffer(b"".join(links.slice(row, end - row).to_pylist()), "<u4")
+            sums.append([split_sums(each[row:end], x[part]) for x in (first, total)])
+            row = end
+        n_best, count_sum = (np.concatenate([x[k] for x in sums] or [np.zeros(0, np.int64)]) for k in (0, 1))
         out = left.drop_columns(["bundle", "links"])
-        out = out.append_column("n_best", pa.array(split_sums(each, first[links])))
-        return out.append_column("count_sum", pa.array(split_sums(each, total[links])))
+        return out.append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
 
     kinds = {n: t for n, t in rows.dtypes if n not in ("bundle", "links")} | {"n_best": "long", "count_sum": "long"}
     schema = ", ".join(f"{n} {t}" for n, t in kinds.items())

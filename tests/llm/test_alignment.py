@@ -1,12 +1,16 @@
 """Alignment of two tokenizers against all pairs of byte ranges."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 from reviewfold.llm import alignment
@@ -92,6 +96,30 @@ def test_many_bundles_and_parts(spark, monkeypatch):
     assert got == expected(texts)
 
 
+def test_sums_of_many_links_in_slices(spark, monkeypatch):
+    texts = [words(i, 20 + i) for i in range(12)] + ["", None]
+    monkeypatch.setattr(alignment, "SUM_LINKS", 50)
+    assert aligned(spark, texts) == expected(texts)
+
+
+def test_memory_of_a_worker(monkeypatch):
+    """A bundle of texts is aligned and numbered in a bounded part of a worker's memory."""
+    path = public_tokenizers.path
+    paths = (path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), path("piece_bpe_32k.model"))
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    base = SimpleNamespace(schema={"doc": SimpleNamespace(dataType=LongType())}, mapInArrow=lambda work, _: work)
+    work = alignment._aligned(base, paths, False)
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(75)), "body": [words(i, 8000) for i in range(75)]})
+    assert batch.nbytes > 2.5e6
+    list(work(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 76
+    assert peak < 120e6
+
+
 @pytest.mark.parametrize("text", [words(9, 4000), words(5, 50) + "x" * 3000 + " 👩‍👩‍👧 " + words(6, 500)])
 def test_parts_of_a_long_text_join_up(monkeypatch, text):
     path = public_tokenizers.path
