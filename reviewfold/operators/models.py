@@ -3,7 +3,8 @@
 Fitted models hold one number per kept term; the vocabulary is always exact. Its
 size follows the labelled texts a fit sees, so memory is bounded by the number
 of those: ``max_rows`` of the fits takes at most about so many, by a hash of the
-text. ``linear`` keeps terms and weights in tables instead. Scoring is a narrow map.
+text. The support vector machine and ``linear`` keep terms in tables instead; no term
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -37,17 +38,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reviewfold.functions.labels import CLASS_NAME, case_map
-from reviewfold.functions.text import WORD_PATTERN, clean_text, sequence_tokens, to_class
+from reviewfold.functions.text import WORD_PATTERN, clean_text, drop_words, sequence_tokens, to_class, word_tokens
 from reviewfold.operators.aggregates import run_summary
-from reviewfold.operators.bundles import deal_out, meet
+from reviewfold.operators.bundles import TermBundle, deal_out, meet, sequences
 from reviewfold.operators.layout import one_per_element, spread
+from reviewfold.operators.ordering import with_row_index
 from reviewfold.operators.split import holdout_borders, in_test
-from reviewfold.operators.terms import document_frequency, kept_terms
+from reviewfold.operators.terms import document_frequency, kept_terms, terms_of
 from reviewfold.operators.vocabulary import draw_vectors
 from reviewfold.sources.tables import append_table
-from reviewfold.storage import materialize
+from reviewfold.storage import materialize, new_path
 
 # A fit with fewer rows than this per partition merges partitions.
 ROWS_PER_TASK = 10_000
@@ -57,10 +60,12 @@ BLOCK_NUMBERS = 4_000_000
 POOL_WORDS, WITHOUT_WORDS = 1_000_000, 50_000
 # Words whose vectors are added up at once.
 POOL_BLOCK = 1 << 15
-
+# Words of a bundle of texts whose terms are weighed in one place.
+TERM_WORDS = 500_000
 
 _POOL_SCHEMA = "dims int, seed int"
-_RBF_SCHEMA = "gamma double, n_features int, seed int"
+_RBF_SCHEMA = "n_texts bigint, text string, stop_words array<string>, gamma double, n_features int, seed int"
+_TERM_SCHEMA = "term string, df bigint, index bigint"
 RUN_SCHEMA = "run int, n bigint, accuracy double, precision double, recall double, f1 double"
 
 
@@ -197,7 +202,8 @@ def _hash_uniform(index: np.ndarray, column: np.ndarray, seed: int) -> np.ndarra
 
 
 def rbf_features(df: DataFrame, features: str, out: str, gamma: float, n_features: int, seed: int) -> DataFrame:
-    """Random Fourier features of an RBF kernel (Rahimi and Recht, 2007).
+    """Random Fourier features of an RBF kernel (Rahimi and Recht, 2007). ``features``
+    holds sparse vectors, or structs of their ``indices`` and ``values``.
 
     The projection matrix is never stored: its entries are hashed from the term
     index, so the step is a map with no broadcast, however many terms there are.
@@ -235,15 +241,62 @@ def rbf_features(df: DataFrame, features: str, out: str, gamma: float, n_feature
             first = stop
         return pd.Series(rows, index=indices.index)
 
-    parts = F.unwrap_udt(F.col(features))
+    plain = isinstance(df.schema[features].dataType, StructType)
+    parts = F.col(features) if plain else F.unwrap_udt(F.col(features))
     return df.withColumn(out, array_to_vector(fourier(parts["indices"], parts["values"])))
 
 
+@dataclass(frozen=True)
+class TermFeatures:
+    """TF-IDF of 1- to 3-grams with the terms in a table: ``terms`` holds
+    ``(term, df, index)``, a row per kept term. Weighted as by ``fit_tfidf``."""
+
+    terms: DataFrame
+    n_texts: int
+    text: str
+    stop_words: tuple[str, ...] = ()
+
+    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """Indices and weights of each row's kept terms, in the order of the terms. Texts
+        meet the terms in bundles, so a term is sent once to each bundle that holds it."""
+        kept, n_texts = df.columns, self.n_texts
+
+        def weigh(texts: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows.column("index")))
+            bundle = TermBundle(texts, rows, "_row", 1, 3)
+            given = bundle.tf * (np.log((1.0 + n_texts) / (1.0 + bundle.numbers("df"))) + 1.0)
+            length = np.sqrt(bundle.by_text(given * given))
+            ends = np.append(0, np.cumsum(np.bincount(bundle.post_text, minlength=len(bundle.ids)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (bundle.numbers("index"), given / length[bundle.post_text])]
+            found = pa.StructArray.from_arrays(lists, names=["indices", "values"])
+            return texts.select(kept).append_column(out, found.take(pa.array(bundle.text)))
+
+        numbered = df.withColumn("_row", F.monotonically_increasing_id())
+        dealt = deal_out(numbered, "_row", drop_words(word_tokens(F.col(self.text)), self.stop_words), TERM_WORDS, kept)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` struct<indices:array<bigint>,values:array<double>>"
+        return meet(dealt, "_row", lambda lists: [terms for _, terms in sequences(lists, 1, 3)], self.terms, "term", weigh, schema)
+
+
+def fit_term_features(
+    train: DataFrame, text: str, stop_words: Iterable[str] = (), min_df: int = 2, max_df: float = 0.95
+) -> TermFeatures:
+    """The kept terms numbered from 0 in their order; they stay with the executors."""
+    stop = tuple(stop_words)
+    n_texts = train.count()
+    kept = kept_terms(document_frequency(train, terms_of(F.col(text), stop)), n_texts, min_df, max_df)
+    path = new_path(train.sparkSession, "terms")
+    with_row_index(kept, [F.col("term")], out="index").select("term", "df", "index").write.parquet(path)
+    terms = train.sparkSession.read.schema(_TERM_SCHEMA).parquet(path)
+    if not terms.limit(1).count():
+        raise ValueError("no term is left after pruning; nothing to fit on")
+    return TermFeatures(terms, n_texts, text, stop)
+
+
 @dataclass(frozen=True)
 class RbfSvm:
     """Approximate RBF-kernel support vector machine."""
 
-    features: PipelineModel
+    features: TermFeatures
     svm: LinearSVCModel
     gamma: float
     n_features: int
@@ -254,16 +307,20 @@ class RbfSvm:
         return self.svm.transform(rbf_features(ready, "features", "_rbf", self.gamma, self.n_features, self.seed))
 
     def save(self, path: str) -> None:
-        """The stages, and in one row what the random features are drawn from."""
-        PipelineModel([*self.features.stages, self.svm]).write().overwrite().save(f"{path}/stages")
-        row = [(self.gamma, self.n_features, self.seed)]
+        """The machine, the table of terms, and in one row what the features are made from."""
+        PipelineModel([self.svm]).write().overwrite().save(f"{path}/stages")
+        self.features.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        found = self.features
+        row = [(found.n_texts, found.text, list(found.stop_words), self.gamma, self.n_features, self.seed)]
         SparkSession.active().createDataFrame(row, _RBF_SCHEMA).write.mode("overwrite").parquet(f"{path}/features")
 
     @classmethod
     def load(cls, path: str) -> RbfSvm:
-        stages = PipelineModel.load(f"{path}/stages").stages
-        row = SparkSession.active().read.schema(_RBF_SCHEMA).parquet(f"{path}/features").first()
-        return cls(PipelineModel(stages[:-1]), stages[-1], row.gamma, row.n_features, row.seed)
+        spark = SparkSession.active()
+        row = spark.read.schema(_RBF_SCHEMA).parquet(f"{path}/features").first()
+        terms = spark.read.schema(_TERM_SCHEMA).parquet(f"{path}/terms")
+        features = TermFeatures(terms, row.n_texts, row.text, tuple(row.stop_words))
+        return cls(features, PipelineModel.load(f"{path}/stages").stages[0], row.gamma, row.n_features, row.seed)
 
 
 def fit_rbf_svm(
@@ -280,10 +337,11 @@ def fit_rbf_svm(
     **tfidf,
 ) -> RbfSvm:
     """Hinge loss on random Fourier features of TF-IDF; approximate by design. At most
-    about ``max_rows`` texts are used, all without a limit."""
+    about ``max_rows`` texts are used, all without a limit. The driver holds one number
+    per random feature, and no term."""
     train = training_sample(train, text, max_rows)
-    features = fit_tfidf(train, text, stop_words, **tfidf)
-    mapped = rbf_features(features.transform(spread(train)), "features", "_rbf", gamma, n_features, seed)
+    features = fit_term_features(train, text, stop_words, **tfidf)
+    mapped = rbf_features(features.transform(train), "features", "_rbf", gamma, n_features, seed)
     ready = _training_table(mapped, "_rbf", label)
     estimator = LinearSVC(
         featuresCol="_rbf",

@@ -95,6 +95,28 @@ def test_fits_use_at_most_about_max_rows(reviews, monkeypatch):
     assert 25 <= seen[0] <= 100 and seen[1] == 160
 
 
+def test_svm_features_equal_the_sparse_vectors(spark, reviews):
+    """Terms in a table give the indices and weights of the vectors with a collected
+    vocabulary, copies, empty and NULL texts included."""
+    train = reviews.filter("id < 120")
+    more = spark.createDataFrame([(200, "great great fast the station", 1.0), (200, "great great fast the station", 1.0), (201, "", 0.0), (202, "unheard of", 0.0)], reviews.schema)
+    texts = reviews.filter("id >= 120").unionByName(more)
+    vectors = models.fit_tfidf(train, "text", ("the",)).transform(texts)
+    expected = [(r.id, r.features.indices.tolist(), r.features.values.tolist()) for r in vectors.collect()]
+    found = models.fit_term_features(train, "text", ("the",))
+    got = [(r.id, r.features["indices"], r.features["values"]) for r in found.transform(texts).collect()]
+    assert sorted(got) == sorted(expected)
+    without = spark.createDataFrame([(1, None, 1.0)], reviews.schema)
+    assert found.transform(without).first().features == ([], [])
+
+
+def test_svm_collects_no_term(reviews, monkeypatch):
+    """The vocabulary stays with the executors, however long it is."""
+    monkeypatch.setattr(models, "_counter", None)
+    model = models.fit_rbf_svm(reviews.filter("id < 40"), "text", n_features=8, max_iter=2)
+    assert model.transform(reviews).count() == 160
+
+
 def test_svm_persistence(spark, reviews):
     model = models.fit_rbf_svm(reviews.filter("id < 40"), "text", gamma=0.5, n_features=16, max_iter=5)
     path = new_path(spark, "svm-test")
