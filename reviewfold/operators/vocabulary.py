@@ -6,18 +6,23 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewfold.functions.text import hex_uniform, pad_sequence
+from reviewfold.operators.bundles import deal_out
 from reviewfold.operators.joins import lookup_vectors
 from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.ordering import ranked
-from reviewfold.operators.skew import broadcast_limit, skew_join
+from reviewfold.operators.skew import broadcast_limit
 
 _HEX_GROUPS = 4
-# Bytes of a broadcast word at most, with its id; longer words are never broadcast.
+# Bytes of a broadcast word at most, with its id; a vocabulary with longer words is never broadcast.
 HEAD_WORD_BYTES = 128
+# Words of a bundle of texts that is encoded in one place.
+ENCODE_WORDS = 2_000_000
 # The word that stands for every unknown word.
 OOV_WORD = "Out_Of_Vocab_Token"
 
@@ -43,42 +48,65 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: Column, vocab: DataFrame,
     """Id sequence of each text; a word outside the vocabulary gets the OOV id,
     one more than the number of words.
 
-    The texts are split once. As many of the most frequent words as the session's
-    broadcast limit holds are broadcast and answered on the spot, hot ones included.
-    A word that is left goes to the rest of the vocabulary as a posting: once per text,
-    with the list of its positions, never with the text. The ids come back by position.
-    Without a rest nothing but the ids of a text is exchanged. A text without words
-    gives an empty list, a NULL word the OOV id.
+    The texts are moved once, in bundles. A bundle asks for each of its distinct words
+    once, whatever their number, and the ids come back by their place in its list, so
+    neither a word of a text nor an answer carries a text's id. A vocabulary within the
+    session's broadcast limit is broadcast. Rows with equal ids are one text, their words
+    by position. A text without words gives an empty list, a NULL word the OOV id.
     """
-    known = vocab.select("word", "token_id")
-    head_words = broadcast_limit(known) // HEAD_WORD_BYTES
-    is_head = (F.col("token_id") <= head_words) & (F.octet_length("word") <= HEAD_WORD_BYTES - 32)
-    size, in_head = known.agg(F.count(F.lit(1)), F.count(F.when(is_head, 1))).first()
-    words = spread(df).select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
-    if in_head:
-        words = words.join(F.broadcast(known.filter(is_head)), "word", "left")
-    else:
-        words = words.withColumn("token_id", F.lit(None).cast("bigint"))
-    oov = F.lit(size + 1).cast("bigint")
-    entry = F.struct("_pos", F.coalesce(F.col("token_id").cast("bigint"), oov).alias("_id"))
-    entries = F.collect_list(F.when(F.col("_pos").isNotNull(), entry)).alias("_entries")
-    if in_head == size:
-        lists = words.groupBy(id_col).agg(entries)
-    else:
-        lists = _with_rest(words, id_col, entries, known.filter(~is_head), oov)
-    return lists.select(id_col, F.array_sort("_entries")["_id"].alias(out))
-
-
-def _with_rest(words: DataFrame, id_col: str, entries: Column, rest: DataFrame, oov: Column) -> DataFrame:
-    """``(id, _entries)``: the words found before, and the others by their postings."""
-    found = F.col("token_id").isNotNull() | F.col("word").isNull()
-    postings = words.groupBy(id_col, F.when(~found, F.col("word")).alias("word")).agg(entries, F.max(found).alias("_found"))
-    # ``_found`` is no grouping key, so both sides read one exchange of the postings.
-    answered = skew_join(postings.filter("not _found").drop("_found"), rest, "word", "left").select(
-        id_col, F.transform("_entries", lambda e: F.struct(e["_pos"].alias("_pos"), F.coalesce("token_id", oov).alias("_id"))).alias("_entries")
-    )
-    both = postings.filter("_found").select(id_col, "_entries").unionByName(answered)
-    return both.groupBy(id_col).agg(F.flatten(F.collect_list("_entries")).alias("_entries"))
+    known = vocab.select("word", F.col("token_id").cast("bigint").alias("token_id"))
+    size, widest = known.agg(F.count(F.lit(1)), F.max(F.octet_length("word"))).first()
+    if size * HEAD_WORD_BYTES <= broadcast_limit(known) and (widest or 0) <= HEAD_WORD_BYTES - 32:
+        known = F.broadcast(known)
+    dealt = deal_out(df.withColumn("_key", F.xxhash64(id_col)), "_key", tokens, ENCODE_WORDS, [id_col])
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def ask(texts: pa.Table) -> pa.Table:
+        words = _distinct(texts)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pa.table({"_asking": texts.column("_bundle").slice(0, 1).combine_chunks(), "_asked": lists})
+
+    def encode(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        places, numbers = (answers.column(c).to_numpy().astype(np.int64) for c in ("_place", "token_id"))
+        ids, lists = _encoded(texts, id_col, places, numbers, size + 1)
+        return pa.table([ids, lists], names=[id_col, out])
+
+    # Both sides read one exchange of the texts.
+    asked = dealt.groupBy("_bundle").applyInArrow(ask, "_asking long, _asked array<string>")
+    words = asked.select("_asking", F.posexplode("_asked").alias("_place", "word"))
+    answers = words.join(known, "word").select("_asking", "_place", "token_id")
+    return dealt.groupBy("_bundle").cogroup(answers.groupBy("_asking")).applyInArrow(encode, f"`{id_col}` {kind}, `{out}` array<bigint>")
+
+
+def _distinct(texts: pa.Table) -> pa.Array:
+    """The words of a bundle in order, the same list whatever the order of its texts."""
+    words = pc.unique(texts.column("_words").combine_chunks().flatten()).drop_null()
+    return words.take(pc.sort_indices(words))
+
+
+def _encoded(texts: pa.Table, id_col: str, places: np.ndarray, numbers: np.ndarray, oov: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct ids of a bundle and the numbers of their words; ``places`` are those of
+    ``_distinct``. A word that stands several times in the vocabulary gives all its numbers."""
+    words = _distinct(texts)
+    bare = np.append(np.setdiff1d(np.arange(len(words)), places), len(words))
+    places, numbers = np.append(places, bare), np.append(numbers, np.full(len(bare), oov))
+    numbers = numbers[np.lexsort((numbers, places))]
+    count = np.bincount(places)
+    lists = texts.column("_words").combine_chunks()
+    each = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    word = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), len(words)).to_numpy(zero_copy_only=False)
+    ids = texts.column(id_col).combine_chunks().dictionary_encode(null_encoding="encode")
+    text = np.repeat(ids.indices.to_numpy(zero_copy_only=False), each)
+    position = np.arange(len(word)) - np.repeat(np.cumsum(each) - each, each)
+    many = count[word]
+    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    found = numbers[np.repeat((np.cumsum(count) - count)[word], many) + within]
+    text, position = np.repeat(text, many), np.repeat(position, many)
+    if len(ids.dictionary) < len(ids):
+        order = np.lexsort((found, position, text))
+        text, found = text[order], found[order]
+    ends = np.append(0, np.cumsum(np.bincount(text, minlength=len(ids.dictionary)))).astype(np.int32)
+    return ids.dictionary, pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int64)))
 
 
 def longest(df: DataFrame, col: str) -> int:

@@ -57,3 +57,17 @@ def test_bundles_are_bounded(spark):
     many = spark.range(4000).select("id", F.array_repeat(F.lit("w"), 50).alias("tokens"))
     sizes = bundles.deal_out(many, "id", F.col("tokens"), 10_000).groupBy("_bundle").agg(F.sum(F.size("_words")).alias("n")).collect()
     assert len(sizes) == 20 and max(r.n for r in sizes) < 16_000
+
+
+def test_encoding_moves_texts_and_distinct_words(spark, no_broadcast):
+    """A text is moved once and a word once for each bundle: no exchange has a row for
+    each word of each text. Repeated and missing ids are one text each."""
+    rows = [(i, ["hot", f"w{i % 7}", "hot", f"rare{i}"] * 5) for i in range(300)]
+    df = spark.createDataFrame([*rows, (1, ["hot", None]), (None, ["w1", "hot"]), (None, ["w2"])], "id int, words array<string>")
+    vocab = spark.createDataFrame([("hot", 1), ("w1", 2), ("w2", 3), ("w2", 4)], "word string, token_id int")
+    encoded = vocabulary.encode_tokens(df, "id", F.col("words"), vocab)
+    got = {r.id: r.token_ids for r in encoded.collect()}
+    assert len(got) == 301 and got[None] == [2, 3, 4, 1] and got[2] == [1, 3, 4, 1, 5] * 5
+    assert got[1] == [1, 1, 2, 5, 1, 5] + [1, 2, 1, 5] * 4
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and "Aggregate" not in plan
