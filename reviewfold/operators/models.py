@@ -47,7 +47,7 @@ from reviewfold.operators.bundles import TermBundle, deal_out, meet, sequences
 from reviewfold.operators.layout import one_per_element, spread
 from reviewfold.operators.ordering import with_row_index
 from reviewfold.operators.split import holdout_borders, in_test
-from reviewfold.operators.terms import document_frequency, kept_terms, terms_of
+from reviewfold.operators.terms import document_frequency, kept_terms, ngram_frequency
 from reviewfold.operators.vocabulary import draw_vectors
 from reviewfold.sources.tables import append_table
 from reviewfold.storage import materialize, new_path
@@ -283,7 +283,7 @@ def fit_term_features(
     """The kept terms numbered from 0 in their order; they stay with the executors."""
     stop = tuple(stop_words)
     n_texts = train.count()
-    kept = kept_terms(document_frequency(train, terms_of(F.col(text), stop)), n_texts, min_df, max_df)
+    kept = kept_terms(ngram_frequency(train, text, stop), n_texts, min_df, max_df)
     path = new_path(train.sparkSession, "terms")
     with_row_index(kept, [F.col("term")], out="index").select("term", "df", "index").write.parquet(path)
     terms = train.sparkSession.read.schema(_TERM_SCHEMA).parquet(path)

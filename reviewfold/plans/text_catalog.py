@@ -198,7 +198,7 @@ def ngrams(t: Inputs) -> DataFrame:
     "<= 0.95 * (select count(*) from p_terms)",
 )
 def prune_terms(t: Inputs) -> DataFrame:
-    return terms.prune_terms(t.predictions, terms.terms_of(F.col("review"), STOP_WORDS))
+    return terms.prune_terms(t.predictions, "review", STOP_WORDS)
 
 
 @query(

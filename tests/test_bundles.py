@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewfold.operators import bundles, models, vocabulary
+from reviewfold.operators import bundles, models, terms, vocabulary
 
 TEXTS = [(1, "a b b"), (2, "c"), (2, "a"), (3, ""), (4, None), (None, "a b"), (5, "é a")]
 VECTORS = [("a", [1.0, 2.0]), ("a", [3.0, -2.0]), ("b", [0.5, 0.5]), ("c", None), ("unused", [9.0, 9.0])]
@@ -71,3 +71,34 @@ def test_encoding_moves_texts_and_distinct_words(spark, no_broadcast):
     assert got[1] == [1, 1, 2, 5, 1, 5] + [1, 2, 1, 5] * 4
     plan = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") == 1 and "Aggregate" not in plan
+
+
+GRAMS = [(1, "the aa bb aa bb cc"), (2, "aa bb cc"), (2, "aa the aa"), (3, ""), (4, None), (5, "x"), (None, "aa bb"), (None, "cc éé"), (6, "éé aa bb")]
+
+
+@pytest.mark.parametrize(("words", "held"), [(1 << 20, 1 << 22), (4, 3)])
+def test_frequencies_of_sequences(spark, monkeypatch, words, held):
+    """Counts by number and in lists are those of a row for each text and term."""
+    monkeypatch.setattr(terms, "PART_WORDS", words)
+    monkeypatch.setattr(terms, "HELD_TERMS", held)
+    texts = spark.createDataFrame(GRAMS, "id int, text string")
+    for low, high in ((1, 3), (2, 2), (1, 1)):
+        expected = terms.document_frequency(texts, terms.terms_of(F.col("text"), ("the",), low, high)).collect()
+        got = terms.ngram_frequency(texts, "text", ("the",), low, high).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+    assert terms.ngram_frequency(texts.limit(0), "text").count() == 0
+
+
+def test_weights_move_texts_and_distinct_terms(spark, no_broadcast):
+    """Rows with equal ids are one text, those without an id too; a term is sent once for
+    a bundle, not for each text, and the table of terms is not copied."""
+    texts = spark.createDataFrame(GRAMS, "id int, text string")
+    found = terms.fit_term_weights(texts, "text", ("the",), min_df=1, max_df=1.0).transform(texts, "id", "text")
+    tf = {(r.id, r.term): r.tf for r in found.collect()}
+    assert tf[1, "aa bb"] == 2 and tf[2, "aa"] == 3 and tf[2, "aa aa"] == 1 and tf[None, "aa bb"] == 1 and tf[None, "cc éé"] == 1
+    squares = {}
+    for r in found.collect():
+        squares[r.id] = squares.get(r.id, 0.0) + r.weight**2
+    assert set(squares) == {1, 2, 6, None} and all(abs(x - 1) < 1e-12 for x in squares.values())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "_salt" not in plan and "ReusedExchange" in plan and "Generate" not in plan
