@@ -83,14 +83,16 @@ class Inverted:
         entry = F.struct(F.col("_row").cast("int").alias("row"), F.col("tf").cast("int").alias("tf"))
         # Every pass reads the table again: a part for each core, however small it is.
         conf = df.sparkSession._jsparkSession.sessionState().conf()
-        parts = max(df.sparkSession.sparkContext.defaultParallelism, conf.numShufflePartitions())
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = max(cores, conf.numShufflePartitions())
         # One exchange by term; of a term at most one entry per labelled text.
         dealt = one_per_element(spread(rows.select("_row", text)), ["_row"], terms_of(F.col(text), stop_words, low, high), "term")
         single = dealt.repartition(parts, "term").groupBy("term", "_row").agg(F.count(F.lit(1)).alias("tf"))
         entries = single.select("term", F.col("_row").cast("int").alias("row"), F.col("tf").cast("int").alias("tf"))
         lists = entries.sortWithinPartitions("term", "row").mapInArrow(_packed(min_df), _BLOCK_SCHEMA)
         labels = rows.select("_row", "_label").orderBy("_row").toArrow().column("_label").to_numpy()
-        return cls(materialize(lists), rows.select(id_col, "_row"), labels)
+        # A task of a pass gives a sum for every row, so there are no more tasks than cores, however many parts.
+        return cls(materialize(lists).coalesce(cores), rows.select(id_col, "_row"), labels)
 
 
 _BLOCK_SCHEMA = "terms array<string>, sizes binary, rows binary, tfs binary, by_row binary"

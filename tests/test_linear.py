@@ -141,3 +141,21 @@ def test_awkward_inputs(spark, texts):
     assert linear.fit_term_logistic(unlabelled, "id", "text").n_texts == 75
     some = linear.bounded_rows(texts, "id", 50)
     assert 25 <= some.count() <= 80 and linear.bounded_rows(texts, "id", None).count() == 150
+
+
+def test_tasks_of_a_pass_follow_the_cores(spark, texts):
+    """Every task of a pass returns a number for each row, so more shuffle partitions
+    may not mean more of them; the sums stay the same."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    member = np.ones((150, 1))
+    found = []
+    try:
+        for parts in ("2", "40"):
+            spark.conf.set(key, parts)
+            table = linear.Inverted.of(texts, "id", "text", "label", (), 1, 3, 2)
+            assert table.terms.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+            found.append(linear.fit_runs(table, member, max_iter=5).margins)
+    finally:
+        spark.conf.set(key, before)
+    assert np.allclose(*found, rtol=0, atol=1e-10)
