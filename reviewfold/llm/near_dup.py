@@ -100,16 +100,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bucket_keys(signature: np.ndarray) -> np.ndarray:
-    """The K keys of each signature: for each position its chunk without it."""
-    keys = np.empty(signature.shape, dtype=np.uint64)
+def _chunk_keys(signature: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of each signature, a column for each position, chunk by chunk."""
     with np.errstate(over="ignore"):
         for a, b in zip(_BOUNDS, _BOUNDS[1:], strict=False):
             parts = [_VALUE[p][signature[:, p]] for p in range(a, b)]
             whole = sum(parts[1:], parts[0])
-            for p in range(a, b):
-                keys[:, p] = mix64(whole - parts[p - a] + np.uint64(p + 1) * np.uint64(0xD1B54A32D192ED03))
-    return keys
+            marks = (np.arange(a, b, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+            yield mix64(whole[:, None] - np.stack(parts, axis=1) + marks)
+
+
+def bucket_keys(signature: np.ndarray) -> np.ndarray:
+    """The K keys of each signature: for each position its chunk without it."""
+    return np.hstack(list(_chunk_keys(signature)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -138,24 +141,21 @@ def _sketches(base: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(sketch, f"doc {kind}, n long, klass binary, sig binary")
 
 
-def _meetings(classes: DataFrame) -> DataFrame:
-    """``(bucket, first, prev, node)`` for every member but the first of each bucket.
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of ``(node, sig)``, as ``_meetings`` has them before the shuffle.
 
-    A bucket's members of one batch meet before the shuffle, and only the first
-    of them goes on, so a bucket that holds a third of all sets stays small.
-    The rest is a sorted stream that holds one row at a time.
+    A batch is keyed chunk by chunk: no bucket spans two chunks, and neither the
+    worker nor the executor holds all K keys of a batch at once.
     """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "node", "first", "prev"]
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            order = np.argsort(node, kind="stable")
-            keys = bucket_keys(_matrix(batch.column(1))[order])
+    names = ["bucket", "node", "first", "prev"]
+    for batch in batches:
+        node = batch.column(0).to_numpy()
+        order = np.argsort(node, kind="stable")
+        node = node[order]
+        for keys in _chunk_keys(_matrix(batch.column(1))[order]) if len(node) else ():
             key = keys.view(np.int64).ravel()
-            who = np.repeat(node[order], K)
             at = np.argsort(key, kind="stable")
-            key, who = key[at], who[at]
+            key, who = key[at], node[at // keys.shape[1]]
             new = np.concatenate([[True], key[1:] != key[:-1]])
             starts = np.flatnonzero(new)
             first = who[starts][np.cumsum(new) - 1]
@@ -163,6 +163,15 @@ def _meetings(classes: DataFrame) -> DataFrame:
             columns = [pa.array(key), pa.array(who), pa.array(first, mask=new), pa.array(prev, mask=new)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+
+def _meetings(classes: DataFrame) -> DataFrame:
+    """``(bucket, first, prev, node)`` for every member but the first of each bucket.
+
+    A bucket's members of one batch meet before the shuffle, and only the first
+    of them goes on, so a bucket that holds a third of all sets stays small.
+    The rest is a sorted stream that holds one row at a time.
+    """
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = first_node = last_node = None
         for batch in batches:
@@ -186,7 +195,7 @@ def _meetings(classes: DataFrame) -> DataFrame:
                 yield pass_on
 
     schema = "bucket long, node long, first long, prev long"
-    keyed = classes.select("node", "sig").mapInArrow(spread, schema)
+    keyed = classes.select("node", "sig").mapInArrow(_spread, schema)
     # Members that met in their batch need no order; they are dealt out by the node.
     where = F.when(F.col("first").isNull(), F.col("bucket")).otherwise(F.xxhash64("node"))
     dealt = keyed.repartition(where).sortWithinPartitions("bucket", "node")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewfold.llm.common import rank_within, slices, stored, texts_of
-from reviewfold.llm.pieces import RankedEncoder, load_tokenizer, tokenizer_path
+from reviewfold.llm.pieces import RankedEncoder, tokenizer_path
 
 SEQUENCE_TOKENS = 2048
 BATCH_BYTES = 4 << 20
@@ -30,7 +30,7 @@ def _encoder(path: str, ranks: str) -> RankedEncoder:
     if path not in _ENCODERS:
         from public_tokenizers import PATTERN
 
-        _ENCODERS[path] = RankedEncoder(load_tokenizer(path), ranks, PATTERN)
+        _ENCODERS[path] = RankedEncoder(path, ranks, PATTERN)
     return _ENCODERS[path]
 
 

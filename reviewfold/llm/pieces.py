@@ -100,7 +100,8 @@ class RankedEncoder:
 
     The rank file's library gives the same ids several times faster. Texts with
     a special token's string, or with characters on whose classes two Unicode
-    versions may disagree, go to the tokenizer itself.
+    versions may disagree, go to the tokenizer itself; given as a path, it is read
+    at the first of them.
     """
 
     def __init__(self, tokenizer, ranks_path: str, pattern: str):
@@ -114,6 +115,8 @@ class RankedEncoder:
     def encode(self, text: str) -> list[int]:
         if _UNSURE.search(text) is None:
             return self.ranked.encode_ordinary(text)
+        if isinstance(self.tokenizer, str):
+            self.tokenizer = load_tokenizer(self.tokenizer)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -26,6 +26,8 @@ from reviewfold.llm.common import slices, texts_of
 
 MIN_WORDS = 40
 BATCH_BYTES = 16 << 20
+# What goes back to Spark at once: rows of runs, and bytes of cut texts.
+_ROWS, _CUT_BYTES = 1 << 16, 4 << 20
 # After a stop and white space, or at a line's end.
 _BOUNDARY = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
 # A span packs its first word, its number of words and a tag of the text.
@@ -99,7 +101,9 @@ def _spans(base: DataFrame, min_words: int) -> DataFrame:
                 own = (rank[row] == rank[row[begin]]) & (span == span[begin])
                 columns = [pa.array(value[:, k].view(np.int64)) for k in (0, 1)]
                 columns += [batch.column(0).take(pa.array(row)), pa.array(span), pa.array(same & ~own)]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "span", "later"])
+                runs = pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "span", "later"])
+                for start in range(0, len(row), _ROWS):
+                    yield runs.slice(start, _ROWS)
 
     rows = base.select("doc", F.encode("body", "UTF-8").alias("body"))
     return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {kind}, span long, later boolean")
@@ -163,7 +167,7 @@ def drop_repeated_spans(
     half = _half(min_words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place, _CUT_BYTES)):
             texts, counts, removed = [], [], []
             for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(fields)).to_pylist(), strict=True):
                 kept, n, gone = _without(text, spans or [], half)

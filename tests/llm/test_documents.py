@@ -4,10 +4,12 @@ import hashlib
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +300,34 @@ def test_signatures_within_the_threshold_share_a_bucket():
         assert set(keys[0]) & set(keys[1])
 
 
+def test_keys_leave_in_small_batches():
+    """A batch of classes is keyed without holding all its keys; no meeting is lost."""
+    rng = np.random.default_rng(5)
+    origins = rng.integers(0, 256, (40, near_dup.K), dtype=np.uint8)
+    sig = origins[rng.integers(0, 40, 10_000)]
+    sig[rng.random(sig.shape) < 0.1] = 7
+    node = rng.permutation(10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in sig], pa.binary())], names=["node", "sig"])
+    rows, most = [], 0
+    tracemalloc.start()
+    for out in near_dup._spread(iter([batch])):
+        most = max(most, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 10_000 * 6 and peak < 16 << 20
+    rows = [r for out in near_dup._spread(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    buckets = defaultdict(list)
+    for n, keys in zip(node.tolist(), near_dup.bucket_keys(sig).view(np.int64).tolist(), strict=True):
+        for key in keys:
+            buckets[key].append(n)
+    expected = set()
+    for key, members in buckets.items():
+        members = sorted(members)
+        expected.add((key, members[0], None, None))
+        expected.update((key, n, members[0], before) for before, n in zip(members, members[1:], strict=False))
+    assert len(rows) == 10_000 * near_dup.K and set(rows) == expected
+
+
 def test_score_texts(docs, spark):
     rows = awkward_rows()
     tokens = [[*re.findall(WORD, lower(t)), "\n"] for _, t in rows]

@@ -26,3 +26,28 @@ def test_stages(spark, tmp_path):
     assert {1, 5, 4, 6} <= kept["exact_dedup"] and not {2, 3, 7} & kept["exact_dedup"]
     assert {1, 8} <= kept["near_dedup"] and not {5, 9, 10} & kept["near_dedup"]
     assert kept["near_dedup"] == kept["substring_dedup"] == kept["best_fit_packing"]
+
+
+def test_rows_travel_in_small_batches(spark, tmp_path):
+    """Neither an executor nor its worker holds ten thousand texts at once."""
+    before = spark.conf.get(corpus_pipeline._ARROW_ROWS)
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1)
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["rows"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            spark.conf.set(corpus_pipeline._ARROW_ROWS, before)
+            stage(spark, docs.limit(50), str(tmp_path))
+            found = [r.rows for r in docs.mapInArrow(sizes, "rows long").collect()]
+            assert sum(found) == 9000 and max(found) <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(corpus_pipeline._ARROW_ROWS, "500")
+        corpus_pipeline.without_copies(spark, docs, str(tmp_path))
+        assert spark.conf.get(corpus_pipeline._ARROW_ROWS) == "500"
+    finally:
+        spark.conf.set(corpus_pipeline._ARROW_ROWS, before)
