@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewfold.llm.common import n_buckets, texts_of
+from reviewfold.llm.common import n_buckets, split_sums, texts_of
 
 BUNDLE_BYTES = 24 << 20
 _FLUSH_BYTES = 32 << 20
@@ -98,6 +99,33 @@ class Words:
         self.codes = rank[np.concatenate(parts)] if parts else np.zeros(0, np.int32)
         self.sizes = np.array(self.sizes, dtype=np.int64)
 
+    @classmethod
+    def lower_cased(cls, bodies: pa.Array, end: bytes) -> Words:
+        """The lower-cased words of each text (binary, UTF-8) and one ``end``, no word itself.
+
+        Arrow's ASCII functions change A to Z only, and cut at U+0020 and U+0009
+        to U+000D only.
+        """
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(bodies.view(pa.string())))
+        encoded = lists.flatten().dictionary_encode()
+        distinct = pa.concat_arrays([encoded.dictionary, pa.array([end.decode()])])
+        order = pc.sort_indices(distinct).to_numpy()
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        found = rank[encoded.indices.to_numpy()]
+        distinct = distinct.take(pa.array(order)).view(pa.binary()).to_pylist()
+        # White space at a text's ends leaves an empty word there, the first in order.
+        blank = int(distinct[0] == b"")
+        kept = found >= blank
+        words = cls.__new__(cls)
+        words.distinct = distinct[blank:]
+        words.sizes = split_sums(pc.list_value_length(lists).to_numpy().astype(np.int64), kept.astype(np.int64)) + 1
+        words.codes = np.full(int(words.sizes.sum()), rank[-1] - blank, dtype=np.int32)
+        inside = np.ones(len(words.codes), dtype=bool)
+        inside[np.cumsum(words.sizes) - 1] = False
+        words.codes[inside] = found[kept] - blank
+        return words
+
     def blocks(self, n_blocks: int) -> list[np.ndarray]:
         """Positions of the distinct words of each block."""
         block = np.fromiter(map(zlib.crc32, self.distinct), np.uint32, len(self.distinct)) % np.uint32(n_blocks)
@@ -115,7 +143,7 @@ class _Numbering(dict):
 def word_requests(
     bundles: DataFrame,
     n_blocks: int,
-    tokens_of: Callable[[pa.Table], list[Sequence[bytes]]],
+    words_of: Callable[[list[pa.Table]], Words],
     facts_of: Callable[[list[pa.Table], Words], dict[str, np.ndarray]] | None = None,
 ) -> DataFrame:
     """``(block, bundle, blob)``: the distinct words of each bundle, in blocks.
@@ -126,7 +154,7 @@ def word_requests(
     def ask(table: pa.Table) -> pa.Table:
         bundle = table.column("bundle")[0].as_py()
         tables = list(texts_in(table.column("blob")))
-        words = Words(tokens for t in tables for tokens in tokens_of(t))
+        words = words_of(tables)
         facts = facts_of(tables, words) if facts_of else {}
         distinct = pa.array(words.distinct, pa.binary())
         rows = []
@@ -168,16 +196,16 @@ def answer_words(requests: DataFrame, answer: Callable[[list[pa.Table]], list[pa
 
 def combined_words(asked: list[pa.Table]) -> tuple[list[bytes], list[np.ndarray]]:
     """Distinct words of several requests, and each request's words as numbers."""
-    number = _Numbering()
-    codes = [np.fromiter(map(number.__getitem__, t.column("word").to_pylist()), np.int64, t.num_rows) for t in asked]
-    return list(number), codes
+    words = pa.concat_arrays([c for t in asked for c in t.column("word").chunks]).dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    return words.dictionary.to_pylist(), np.split(codes, np.cumsum([t.num_rows for t in asked])[:-1])
 
 
 def with_answers(
     bundles: DataFrame,
     answers: DataFrame,
     n_blocks: int,
-    tokens_of: Callable[[pa.Table], list[Sequence[bytes]]],
+    words_of: Callable[[list[pa.Table]], Words],
     finish: Callable[[list[pa.Table], Words, pa.Table], pa.Table],
     schema: str,
 ) -> DataFrame:
@@ -189,7 +217,7 @@ def with_answers(
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = list(texts_in(left.column("blob")))
-        words = Words(tokens for t in tables for tokens in tokens_of(t))
+        words = words_of(tables)
         mine = words.blocks(n_blocks)
         found = {b.as_py(): unpack_table(x.as_py()) for b, x in zip(right.column("block"), right.column("blob"), strict=True)}
         blocks = sorted(found)

@@ -41,9 +41,9 @@ from reviewfold.llm.common import stored
 MIX = 0.15
 BITS_PER_ENTRY = 8
 PROBES = 5
-# Text of a bundle, and tokens whose bigrams are probed at once: what a worker holds.
+# Text of a bundle: what a worker holds. Bigrams that are probed at once stay in its cache.
 BUNDLE_BYTES = 10 << 20
-_AT_ONCE = 1 << 19
+_AT_ONCE = 1 << 16
 # Bigrams a segment is planned for, and bytes of segments broadcast at once.
 SEGMENT_TOKENS = 8 << 20
 ROUND_BYTES = 192 << 20
@@ -53,9 +53,8 @@ _HASH_BITS = 48
 _END = b"\n"
 
 
-def _tokens(table: pa.Table) -> list[list[bytes]]:
-    # bytes.lower changes A to Z only, bytes.split cuts at U+0020 and U+0009 to U+000D only.
-    return [[*text.lower().split(), _END] for text in table.column("body").to_pylist()]
+def _words(tables: list[pa.Table]) -> Words:
+    return Words.lower_cased(pa.concat_arrays([c for t in tables for c in t.column("body").chunks]), _END)
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -92,30 +91,53 @@ class Filter:
 
     def counts(self, pairs: np.ndarray) -> np.ndarray:
         """Quantised count of each bigram; 0 if it was not entered."""
-        level = np.zeros(len(pairs), dtype=np.int64)
-        segment = (pairs >> np.uint64(_HASH_BITS - self.segment_bits)).astype(np.int64)
+        # Each bigram is looked up once, segment by segment: the bits of one lie together.
+        order = np.argsort(pairs)
+        ordered = pairs[order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(pairs)), bool), ordered[1:] != ordered[:-1]]))
+        distinct = ordered[starts]
+        found = np.zeros(len(distinct), dtype=np.int8)
+        segment = distinct >> np.uint64(_HASH_BITS - self.segment_bits)
         for number, (bits, raw) in self.parts.items():
-            live = np.flatnonzero(segment == number)
-            step = 1
-            while len(live):
-                here = pairs[live]
-                found = np.ones(len(live), dtype=bool)
-                for where in _places(here, step, bits):
-                    found &= (raw[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                live = live[found]
-                level[live] = step
-                step += 1
+            first, last = np.searchsorted(segment, np.array([number, number + 1], np.uint64))
+            for at in range(first, last, _AT_ONCE):
+                live, step = np.arange(at, min(at + _AT_ONCE, last)), 1
+                while len(live):
+                    live = live[_entered(distinct[live], step, bits, raw)]
+                    found[live] = step
+                    step += 1
+        level = np.empty(len(pairs), dtype=np.int8)
+        level[order] = np.repeat(found, np.diff(np.append(starts, len(pairs))))
         return level
 
 
-def _places(pairs: np.ndarray, level: int, bits: int):
-    """Bit positions of a bigram at one level: two hashes, combined."""
+def _entered(pairs: np.ndarray, level: int, bits: int, raw: np.ndarray) -> np.ndarray:
+    """Positions of the bigrams all of whose bits at a level are set. What misses
+    one is not looked up further once that pays for the copy."""
+    left = np.arange(len(pairs))
+    a, b = _mixed(pairs, level)
+    found = np.ones(len(left), dtype=bool)
+    for k in range(PROBES):
+        where = _place(a, b, k, bits)
+        found &= (raw[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        if np.count_nonzero(found) < 0.7 * len(found):
+            left, a, b = left[found], a[found], b[found]
+            found = np.ones(len(left), dtype=bool)
+    return left[found]
+
+
+def _mixed(pairs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a bigram at one level."""
     with np.errstate(over="ignore"):
         a = _mix64(pairs + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
-        b = _mix64(a + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        for k in range(PROBES):
-            # The high part of a product maps the hash to the range without a division.
-            yield (((a + np.uint64(k) * b) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+        return a, _mix64(a + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _place(a: np.ndarray, b: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th bit position of bigrams, from their two hashes."""
+    with np.errstate(over="ignore"):
+        # The high part of a product maps the hash to the range without a division.
+        return (((a + np.uint64(k) * b) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
 
 
 def expected_count(level: np.ndarray) -> np.ndarray:
@@ -137,8 +159,9 @@ def _segment(table: pa.Table) -> pa.Table:
     bits = min(max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8), (1 << 32) - 8)
     raw = np.zeros(bits, dtype=bool)
     for level in range(1, int(levels.max()) + 1):
-        for where in _places(pairs[levels >= level], level, bits):
-            raw[where] = True
+        a, b = _mixed(pairs[levels >= level], level)
+        for k in range(PROBES):
+            raw[_place(a, b, k, bits)] = True
     return pa.table(
         {
             "segment": pa.array([number], pa.int32()),
@@ -158,7 +181,7 @@ def _filter_segments(bundles: DataFrame, segment_bits: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         tables = list(texts_in(table.column("blob")))
-        words = Words(tokens for t in tables for tokens in _tokens(t))
+        words = _words(tables)
         pairs, _ = _bigrams(words)
         pairs = np.sort(pairs[np.repeat(_trained(tables), words.sizes)])
         starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, int)
@@ -204,7 +227,7 @@ def _word_counts(bundles: DataFrame, n_blocks: int) -> DataFrame:
         tables[0] = tables[0].replace_schema_metadata({k: str(v) for k, v in sums.items()})
         return tables
 
-    return answer_words(word_requests(bundles, n_blocks, _tokens, own_counts), answer)
+    return answer_words(word_requests(bundles, n_blocks, _words, own_counts), answer)
 
 
 def _totals(answers: DataFrame) -> tuple[int, int]:
@@ -276,11 +299,8 @@ def score_texts(
             context_count = c[before].astype(float)
             known = context_count > 0
             mine = known & np.isin(pairs >> np.uint64(_HASH_BITS - segment_bits), np.array(chosen, np.uint64))
-            p1 = 10.0 ** base[words.codes[mine]]
-            model, asked = Filter(segment_bits, parts), pairs[mine]
-            level = np.zeros(len(asked), dtype=np.int8)
-            for at in range(0, len(asked), _AT_ONCE):
-                level[at : at + _AT_ONCE] = model.counts(asked[at : at + _AT_ONCE])
+            p1 = (10.0**base)[words.codes[mine]]
+            level = Filter(segment_bits, parts).counts(pairs[mine])
             share = np.minimum(expected_count(level), context_count[mine]) / context_count[mine]
             gain = np.zeros(len(pairs))
             gain[mine] = np.log10((1.0 - mix) * p1 + mix * share) - base[words.codes[mine]]
@@ -296,7 +316,7 @@ def score_texts(
                 }
             )
 
-        return with_answers(bundles, answers, n_bundles, _tokens, finish, f"{schema}, gain double")
+        return with_answers(bundles, answers, n_bundles, _words, finish, f"{schema}, gain double")
 
     rounds = _rounds(segments, segment_bits, round_bytes)
     if len(rounds) == 1:

@@ -38,9 +38,9 @@ def _pieces(path: str) -> pa.Array:
     return _LOADED[key]
 
 
-def _tokens(table: pa.Table) -> list[list[bytes]]:
+def _words(tables: list[pa.Table]) -> Words:
     # bytes.split cuts at U+0020 and U+0009 to U+000D only.
-    return [text.split() for text in table.column("body").to_pylist()] + [[_NOTHING]]
+    return Words(tokens for t in tables for tokens in [*(text.split() for text in t.column("body").to_pylist()), [_NOTHING]])
 
 
 def encode_round_trip(
@@ -109,5 +109,5 @@ def encode_round_trip(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<long>, decoded string" if outputs else ""
-    answers = answer_words(word_requests(bundles, n, _tokens), encode)
-    return with_answers(bundles, answers, n, _tokens, finish, schema).withColumnRenamed("doc", id_col)
+    answers = answer_words(word_requests(bundles, n, _words), encode)
+    return with_answers(bundles, answers, n, _words, finish, schema).withColumnRenamed("doc", id_col)

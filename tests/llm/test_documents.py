@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewfold.llm import near_dup, ngram_model
-from reviewfold.llm.bundles import BUNDLE_BYTES
+from reviewfold.llm.bundles import BUNDLE_BYTES, Words
 from reviewfold.llm.common import crc_mod
 from reviewfold.llm.content_sort import content_groups, drop_copies
 from reviewfold.llm.near_dup import near_duplicates
@@ -357,6 +357,42 @@ def test_score_texts(docs, spark):
                 assert abs(r.score - exact) <= 0.35 * size + 0.5
 
 
+def test_words_of_a_bundle():
+    """Numbered by Arrow as by Python."""
+    texts = [(t or "") for _, t in awkward_rows()] + [" Ab  c\x0b\x0cD\r\n\tÀe\x1c\x85 x\x00y ", "\x01 \x08", "a", ""]
+    bodies = [t.encode() for t in texts]
+    for rows in (bodies, [b""], [b" "], [b"one"]):
+        tokens = [[*b.lower().split(), b"\n"] for b in rows]
+        found, plain = Words.lower_cased(pa.array(rows, pa.binary()), b"\n"), Words(iter(tokens))
+        assert found.distinct == plain.distinct
+        assert found.codes.tolist() == plain.codes.tolist() and found.codes.dtype == plain.codes.dtype
+        assert found.sizes.tolist() == plain.sizes.tolist()
+
+
+def test_lookups_stop_at_the_first_bit_that_is_missing(monkeypatch):
+    """A bigram that was not entered costs about two of the five bits, not all."""
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 1 << 47, 40_000, dtype=np.uint64)
+    table = {"high": (pairs >> np.uint64(32)).astype(np.uint16), "low": (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)}
+    blob = ngram_model.pack_table(pa.table({k: pa.array(v) for k, v in table.items()} | {"n": pa.array(np.ones(40_000, np.int64))}))
+    built = ngram_model._segment(pa.table({"segment": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())}))
+    bits, raw = built.column("bits")[0].as_py(), np.frombuffer(built.column("raw")[0].as_py(), np.uint8)
+
+    class Counted(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, at):
+            Counted.reads += np.size(at)
+            return np.asarray(super().__getitem__(at))
+
+    model = ngram_model.Filter(1, {0: (bits, raw.view(Counted))})
+    assert (model.counts(pairs) >= 1).all()
+    Counted.reads = 0
+    absent = rng.integers(0, 1 << 47, 40_000, dtype=np.uint64)
+    model.counts(absent)
+    assert Counted.reads < 3 * len(absent)
+
+
 def test_quantised_counts_never_miss_an_entry():
     rng = np.random.default_rng(4)
     pairs = np.unique(rng.integers(0, 1 << 47, 5000).astype(np.uint64))
