@@ -54,8 +54,8 @@ def tokens(col: Column) -> Column:
 
 
 def pick(col: Column, position: int) -> Column:
-    """Token at ``position``: 1 is the first one, -1 the last one."""
-    return F.element_at(tokens(col), position)
+    """Token at ``position``: 1 is the first one, -1 the last one; NULL when there is none."""
+    return F.try_element_at(tokens(col), F.lit(position))
 
 
 def strip_prefix(col: Column, prefix: str) -> Column:
