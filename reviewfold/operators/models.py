@@ -336,9 +336,9 @@ def fit_rbf_svm(
     max_rows: int | None = None,
     **tfidf,
 ) -> RbfSvm:
-    """Hinge loss on random Fourier features of TF-IDF; approximate by design. At most
-    about ``max_rows`` texts are used, all without a limit. The driver holds one number
-    per random feature, and no term."""
+    """Hinge loss on random Fourier features of TF-IDF; approximate by design. All texts
+    are used unless the caller sets ``max_rows``, which no query does. The driver holds one
+    number per random feature, and no term."""
     train = training_sample(train, text, max_rows)
     features = fit_term_features(train, text, stop_words, **tfidf)
     mapped = rbf_features(features.transform(train), "features", "_rbf", gamma, n_features, seed)
