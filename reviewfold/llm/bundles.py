@@ -206,25 +206,33 @@ def with_answers(
     answers: DataFrame,
     n_blocks: int,
     words_of: Callable[[list[pa.Table]], Words],
-    finish: Callable[[list[pa.Table], Words, pa.Table], pa.Table],
+    finish: Callable[..., pa.Table],
     schema: str,
+    more: DataFrame | None = None,
 ) -> DataFrame:
     """Bring the answers of every bundle's words back to its texts.
 
     ``finish`` gets the bundle's tables, its words and a table of answers with
-    a row per distinct word, in order.
+    a row per distinct word, in order. If there are ``more`` answers in the same
+    columns, it also gets the list of a bundle's tables among them, by block.
     """
 
+    handed = more is not None
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = list(texts_in(left.column("blob")))
         words = words_of(tables)
         mine = words.blocks(n_blocks)
         found = {b.as_py(): unpack_table(x.as_py()) for b, x in zip(right.column("block"), right.column("blob"), strict=True)}
-        blocks = sorted(found)
+        others = [found[b] for b in sorted((b for b in found if b < 0), reverse=True)]
+        blocks = sorted(b for b in found if b >= 0)
         facts = pa.concat_tables([found[b] for b in blocks])
         at = np.concatenate([mine[b] for b in blocks])
         inverse = np.empty(len(at), dtype=np.int64)
         inverse[at] = np.arange(len(at))
-        return finish(tables, words, facts.take(pa.array(inverse)))
+        return finish(tables, words, facts.take(pa.array(inverse)), *([others] if handed else []))
 
+    if handed:
+        # Their blocks are numbered from -1 down.
+        answers = answers.unionByName(more.withColumn("block", -1 - F.col("block")))
     return bundles.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(meet, schema)

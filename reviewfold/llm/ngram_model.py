@@ -3,9 +3,12 @@
 After Talbot and Osborne (2007): an n-gram of count c is entered once for each
 level 1 to 1 + floor(log2 c), and a lookup probes level after level until one
 is missing. The filter is cut into segments by the bigram's hash, sized by the
-bigrams it holds; segments are broadcast in rounds of a fixed number of bytes,
-and each round scores the tokens whose bigram lies in it. Word counts are exact
-and come from one group per block of words (see ``bundles``).
+bigrams it holds. A bundle of texts sends the hashes of its distinct bigrams to
+their segments, with their training counts; the task that builds a segment also
+looks up what was sent to it, and the levels come back by position. So no task
+holds more than one segment, and the texts are scored in one pass, however large
+the filter is. Word counts are exact and come from one group per block of words
+(see ``bundles``).
 
 A token w after v has the probability
 ``(1 - mix) * p1(w) + mix * c(v w) / c(v)`` with the unigram estimate
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,9 @@ PROBES = 5
 # Text of a bundle: what a worker holds. Bigrams that are probed at once stay in its cache.
 BUNDLE_BYTES = 10 << 20
 _AT_ONCE = 1 << 16
-# Bigrams a segment is planned for, and bytes of segments broadcast at once.
+# Bigrams a segment is planned for.
 SEGMENT_TOKENS = 8 << 20
+# Of no effect since segments are no longer broadcast in rounds.
 ROUND_BYTES = 192 << 20
 # Bigrams are known by 48 bits of a hash; their first bits name the segment.
 _HASH_BITS = 48
@@ -147,28 +150,57 @@ def expected_count(level: np.ndarray) -> np.ndarray:
 
 def _segment(table: pa.Table) -> pa.Table:
     """Build one segment from the counts of every bundle."""
-    number = table.column("segment")[0].as_py()
-    found = [unpack_table(b.as_py()) for b in table.column("blob")]
-    pairs = np.concatenate([_joined(t) for t in found])
-    counts = np.concatenate([t.column("n").to_numpy() for t in found])
+    pairs, counts = _entries([unpack_table(b.as_py()) for b in table.column("blob")])
+    order, starts = _stretches(pairs)
+    bits, raw = _built(pairs[order][starts], np.add.reduceat(counts[order], starts))
+    return pa.table(
+        {
+            "segment": table.column("segment").slice(0, 1),
+            "bits": pa.array([bits], pa.int64()),
+            "raw": pa.array([raw.tobytes()], pa.binary()),
+        }
+    )
+
+
+def _entries(found: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of several tables with their counts, one after the other."""
+    return np.concatenate([_joined(t) for t in found]), np.concatenate([t.column("n").to_numpy() for t in found])
+
+
+def _stretches(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal bigrams together, and the first place of each in it."""
     order = np.argsort(pairs, kind="stable")
-    pairs, counts = pairs[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-    pairs, counts = pairs[starts], np.add.reduceat(counts, starts)
+    ordered = pairs[order]
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _built(pairs: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of bits and bytes of a segment that holds these distinct bigrams."""
     levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
     bits = min(max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8), (1 << 32) - 8)
     raw = np.zeros(bits, dtype=bool)
-    for level in range(1, int(levels.max()) + 1):
+    for level in range(1, int(levels.max(initial=0)) + 1):
         a, b = _mixed(pairs[levels >= level], level)
         for k in range(PROBES):
             raw[_place(a, b, k, bits)] = True
-    return pa.table(
-        {
-            "segment": pa.array([number], pa.int32()),
-            "bits": pa.array([bits], pa.int64()),
-            "raw": pa.array([np.packbits(raw, bitorder="little").tobytes()], pa.binary()),
-        }
-    )
+    return bits, np.packbits(raw, bitorder="little")
+
+
+def _answered(table: pa.Table, segment_bits: int) -> pa.Table:
+    """Build one segment and look up in it all bigrams that were sent to it, each once."""
+    number = table.column("segment")[0].as_py()
+    found = [unpack_table(b.as_py()) for b in table.column("blob")]
+    pairs, counts = _entries(found)
+    order, starts = _stretches(pairs)
+    distinct, total = pairs[order[starts]], np.add.reduceat(counts[order], starts)
+    del pairs, counts
+    entered = total > 0
+    bits, raw = _built(distinct[entered], total[entered])
+    level = np.empty(len(order), np.int8)
+    level[order] = np.repeat(Filter(segment_bits, {number: (bits, raw)}).counts(distinct), np.diff(np.append(starts, len(order))))
+    ends = np.cumsum([t.num_rows for t in found])
+    blobs = [pack_table(pa.table({"level": pa.array(part)})) for part in np.split(level, ends[:-1])]
+    return pa.table({"bundle": table.column("bundle"), "block": table.column("segment"), "blob": pa.array(blobs, pa.binary())})
 
 
 def _joined(t: pa.Table) -> np.ndarray:
@@ -176,17 +208,17 @@ def _joined(t: pa.Table) -> np.ndarray:
     return (high << np.uint64(32)) | t.column("low").to_numpy().astype(np.uint64)
 
 
-def _filter_segments(bundles: DataFrame, segment_bits: int) -> DataFrame:
-    """``(segment, bits, raw)`` from the bigrams of the training texts."""
+def _levels(bundles: DataFrame, segment_bits: int) -> DataFrame:
+    """``(bundle, block, blob)``: the filter's level of every distinct bigram of every
+    bundle, in the order of the bigrams; a block is a segment."""
 
-    def count(table: pa.Table) -> pa.Table:
+    def ask(table: pa.Table) -> pa.Table:
         tables = list(texts_in(table.column("blob")))
         words = _words(tables)
-        pairs, _ = _bigrams(words)
-        pairs = np.sort(pairs[np.repeat(_trained(tables), words.sizes)])
-        starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, int)
-        counts = np.diff(np.append(starts, len(pairs)))
-        pairs = pairs[starts]
+        pairs, trained = _bigrams(words)[0], np.repeat(_trained(tables), words.sizes)
+        order, starts = _stretches(pairs)
+        counts = np.add.reduceat(trained[order].astype(np.int64), starts)
+        pairs = pairs[order[starts]]
         segment = (pairs >> np.uint64(_HASH_BITS - segment_bits)).astype(np.int64)
         bounds = np.searchsorted(segment, np.arange((1 << segment_bits) + 1))
         rows = []
@@ -197,15 +229,19 @@ def _filter_segments(bundles: DataFrame, segment_bits: int) -> DataFrame:
                 content = {
                     "high": pa.array((mine >> np.uint64(32)).astype(np.uint16)),
                     "low": pa.array((mine & np.uint64(0xFFFFFFFF)).astype(np.uint32)),
-                    "n": pa.array(counts[a:b].astype(np.int64)),
+                    "n": pa.array(counts[a:b]),
                 }
                 rows.append((number, pack_table(pa.table(content))))
         return pa.table(
-            {"segment": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())}
+            {
+                "segment": pa.array([r[0] for r in rows], pa.int32()),
+                "bundle": pa.array([table.column("bundle")[0].as_py()] * len(rows), pa.int32()),
+                "blob": pa.array([r[1] for r in rows], pa.binary()),
+            }
         )
 
-    counted = bundles.groupBy("bundle").applyInArrow(count, "segment int, blob binary")
-    return counted.groupBy("segment").applyInArrow(_segment, "segment int, bits long, raw binary")
+    asked = bundles.groupBy("bundle").applyInArrow(ask, "segment int, bundle int, blob binary")
+    return asked.groupBy("segment").applyInArrow(lambda table: _answered(table, segment_bits), "bundle int, block int, blob binary")
 
 
 def _word_counts(bundles: DataFrame, n_blocks: int) -> DataFrame:
@@ -245,20 +281,6 @@ def _totals(answers: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _rounds(segments: DataFrame, segment_bits: int, round_bytes: int) -> list[list[int]]:
-    """All segment numbers in rounds of at most ``round_bytes`` (one at least)."""
-    size = {r["segment"]: r["bits"] // 8 for r in segments.select("segment", "bits").collect()}
-    rounds: list[list[int]] = [[]]
-    room = round_bytes
-    for number in range(1 << segment_bits):
-        if rounds[-1] and size.get(number, 0) > room:
-            rounds.append([])
-            room = round_bytes
-        rounds[-1].append(number)
-        room -= size.get(number, 0)
-    return rounds
-
-
 def score_texts(
     docs: DataFrame,
     train: Column,
@@ -274,57 +296,41 @@ def score_texts(
     ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10). A NULL
     or empty text is one end token. Without training texts every token has the
     estimate of an unseen one. Repeated rows count and are scored each on their
-    own. An empty table gives no rows.
+    own. An empty table gives no rows. ``round_bytes`` has no effect any more.
     """
     bundles, n_bundles = text_bundles(docs, id_col, text_col, BUNDLE_BYTES, train=F.coalesce(train, F.lit(False)))
     answers = stored(_word_counts(bundles, n_bundles), "word-counts")
     n_tokens, n_distinct = _totals(answers)
     segment_bits = max(1, math.ceil(math.log2(max(1, n_tokens) / SEGMENT_TOKENS + 1)))
-    segments = stored(_filter_segments(bundles, segment_bits), "filter")
-    context = docs.sparkSession.sparkContext
+    levels = _levels(bundles, segment_bits)
     kind = docs.schema[id_col].dataType.simpleString()
-    facts_kept = ["doc", "held_out", "n_tokens", "n_known", "base_score", "text_hash", "repeat"]
-    schema = f"doc {kind}, held_out boolean, n_tokens long, n_known long, base_score double, text_hash long, repeat int"
-
-    def one_round(chosen: list[int]) -> DataFrame:
-        rows = segments.filter(F.col("segment").isin(chosen)).collect()
-        shared = context.broadcast([(r["segment"], r["bits"], bytes(r["raw"])) for r in rows])
-        del rows
-
-        def finish(tables: list[pa.Table], words: Words, facts: pa.Table) -> pa.Table:
-            parts = {s: (bits, np.frombuffer(raw, np.uint8)) for s, bits, raw in shared.value}
-            c = facts.column("c").to_numpy()
-            base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_distinct + 1)))
-            pairs, before = _bigrams(words)
-            context_count = c[before].astype(float)
-            known = context_count > 0
-            mine = known & np.isin(pairs >> np.uint64(_HASH_BITS - segment_bits), np.array(chosen, np.uint64))
-            p1 = (10.0**base)[words.codes[mine]]
-            level = Filter(segment_bits, parts).counts(pairs[mine])
-            share = np.minimum(expected_count(level), context_count[mine]) / context_count[mine]
-            gain = np.zeros(len(pairs))
-            gain[mine] = np.log10((1.0 - mix) * p1 + mix * share) - base[words.codes[mine]]
-            return pa.table(
-                {
-                    "doc": _column(tables, "doc"),
-                    "held_out": pa.array(~_trained(tables)),
-                    "n_tokens": pa.array(words.sizes),
-                    "n_known": pa.array(_by_text(words, c[words.codes] > 0).astype(np.int64)),
-                    "base_score": pa.array(_by_text(words, base[words.codes])),
-                    **_identity(tables),
-                    "gain": pa.array(_by_text(words, gain)),
-                }
-            )
-
-        return with_answers(bundles, answers, n_bundles, _words, finish, f"{schema}, gain double")
+    schema = f"doc {kind}, held_out boolean, n_tokens long, n_known long, base_score double, gain double"
+
+    def finish(tables: list[pa.Table], words: Words, facts: pa.Table, found: list[pa.Table]) -> pa.Table:
+        c = facts.column("c").to_numpy()
+        base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_distinct + 1)))
+        pairs, before = _bigrams(words)
+        order, starts = _stretches(pairs)
+        level = np.empty(len(pairs), np.int8)
+        level[order] = np.repeat(np.concatenate([t.column("level").to_numpy() for t in found]), np.diff(np.append(starts, len(pairs))))
+        context_count = c[before].astype(float)
+        known = context_count > 0
+        p1 = (10.0**base)[words.codes[known]]
+        share = np.minimum(expected_count(level[known]), context_count[known]) / context_count[known]
+        gain = np.zeros(len(pairs))
+        gain[known] = np.log10((1.0 - mix) * p1 + mix * share) - base[words.codes[known]]
+        return pa.table(
+            {
+                "doc": _column(tables, "doc"),
+                "held_out": pa.array(~_trained(tables)),
+                "n_tokens": pa.array(words.sizes),
+                "n_known": pa.array(_by_text(words, c[words.codes] > 0).astype(np.int64)),
+                "base_score": pa.array(_by_text(words, base[words.codes])),
+                "gain": pa.array(_by_text(words, gain)),
+            }
+        )
 
-    rounds = _rounds(segments, segment_bits, round_bytes)
-    if len(rounds) == 1:
-        whole = one_round(rounds[0])
-    else:
-        # Every round is stored before the next filter is broadcast.
-        parts = [stored(one_round(chosen), "round") for chosen in rounds]
-        whole = reduce(DataFrame.unionAll, parts).groupBy(*facts_kept).agg(F.sum("gain").alias("gain"))
+    whole = with_answers(bundles, answers, n_bundles, _words, finish, schema, more=levels)
     return whole.select(
         F.col("doc").alias(id_col),
         "held_out",
@@ -340,19 +346,6 @@ def _column(tables: list[pa.Table], name: str) -> pa.ChunkedArray:
     return pa.chunked_array([c for t in tables for c in t.column(name).chunks], type=tables[0].schema.field(name).type)
 
 
-def _identity(tables: list[pa.Table]) -> dict[str, pa.Array]:
-    """What tells a row from all others in every round: the text's hash and,
-    among rows equal in id and text, a number."""
-    hashes, repeats, seen = [], [], {}
-    for table in tables:
-        for doc, body in zip(table.column("doc").to_pylist(), table.column("body").to_pylist(), strict=True):
-            key = xxhash.xxh3_64_intdigest(body) - (1 << 63)
-            seen[doc, key] = number = seen.get((doc, key), -1) + 1
-            hashes.append(key)
-            repeats.append(number)
-    return {"text_hash": pa.array(hashes, pa.int64()), "repeat": pa.array(repeats, pa.int32())}
-
-
 def _by_text(words: Words, values: np.ndarray) -> np.ndarray:
     starts = np.cumsum(words.sizes) - words.sizes
     return np.add.reduceat(values.astype(float), starts)
