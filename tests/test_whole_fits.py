@@ -56,4 +56,19 @@ def test_the_past_may_lie_in_a_file(spark, monkeypatch):
         found.append(linear._direction(steps[0][0], steps[0][1], past, dot))
     assert len(past) == linear.HISTORY
     assert np.allclose(found[0], found[1])
-    assert all(np.array_equal(x, y) for x, y in zip(next(linear._Past.parts(past, 9, 0, 3))[1:], (steps[-1][0][:3], steps[-1][3][:3]), strict=True))
+    assert all(np.array_equal(x, y) for x, y in zip(next(past.parts(9, 0, 3))[1:], (steps[-1][0][:3], steps[-1][3][:3]), strict=True))
+
+
+def test_a_run_that_has_arrived_costs_no_more_passes(spark, monkeypatch):
+    """Runs of few texts end early; a pass then works on the others alone."""
+    rows = [(i, f"w{i % 5} w{i % 7} w{i % 3}", float(i % 2)) for i in range(200)]
+    table = linear.Inverted.of(spark.createDataFrame(rows, "id int, text string, label double"), "id", "text", "label", (), 1, 3, 2)
+    member = np.ones((200, 3), dtype=bool)
+    member[4:, 1] = False
+    widths = []
+    plain = linear._sum_by_row
+    monkeypatch.setattr(linear, "_sum_by_row", lambda terms, shape, *a: widths.append(shape[1]) or plain(terms, shape, *a))
+    together = linear.fit_runs(table, member)
+    assert widths[:2] == [3, 3] and widths[-1] < 3 and together.gradient.max() <= linear.TOLERANCE
+    for run in range(3):
+        assert np.allclose(linear.fit_runs(table, member[:, [run]]).margins[:, 0], together.margins[:, run], atol=1e-6)
